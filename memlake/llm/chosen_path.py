@@ -2,11 +2,12 @@
 
 Each document becomes the set of its 5-word shingles. Documents with equal sets form one class; the join runs over classes.
 Independent trees branch the classes by selected minwise tokens: a first token per tree, then two more, then four more, chosen
-by a hash of the path so far. Nodes with few members are compared exhaustively; larger nodes are branched further, and every
-one of their members is also compared with a few pivots. A 256-bit sketch drops pairs that are far below the threshold and
+by a hash of the path so far. Nodes with few members are compared exhaustively. Every member of a larger node is compared with a
+few pivots; a node most of whose members are like a pivot is a group of copies, which branching would not divide, and is
+kept for the second round; other large nodes are branched further. A 256-bit sketch drops pairs that are far below the threshold and
 every remaining pair is confirmed on the full sets. Members already connected are not compared again: a second round
 confirms only pairs whose ends are still in different components, among them all pairs of members outside a large node's main
-component with every other member, so that no link is left to the size of a node.
+component with every other member, so that no link is lost to the size of a node.
 
 Recall: a pair at similarity s survives one tree with probability about s * (1-(1-s^2)^3) * (1-(1-s^4)^4); at 0.85 eight
 trees miss about 1 pair in 200,000, and components have many more ways to meet.
@@ -35,8 +36,8 @@ COORDS = 64
 SMALL_NODE = 32
 #: (tokens chosen, branches) of the levels below the first.
 LEVELS = ((2, 3), (4, 4))
-#: Of the 256 sketch bits, so many may differ: similarity near 0.6, over five deviations below 0.85.
-SKETCH_DIFF = 51
+#: Of the 256 sketch bits, so many may differ: at similarity 0.85 the mean is 19 and the deviation 6.5.
+SKETCH_DIFF = 44
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,7 +140,7 @@ def chosen_path_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "tops", "deep", "s0", "s1", "s2", "s3")])
     )
     rows = classes.select(*CARRIED, F.posexplode("tops").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), *CARRIED)
-    small, stars, rest = [], [], None
+    small, stars, held = [], [], []
     for level in range(len(LEVELS) + 1):
         rows = cut(rows) if level else rows
         sizes = cut(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
@@ -148,14 +149,19 @@ def chosen_path_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         small.append(few.alias("x").join(few.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.cid") < F.col("y.cid")) & _near("x", "y", percent)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
         rest = rows.where(F.col("size") > SMALL_NODE).drop("size")
         if rest.isEmpty():
-            rest = None
             break
         pivots = cut(rest.groupBy("node").agg(*[F.min(F.struct(F.xxhash64("cid", F.lit(p)).alias("o"), *CARRIED)).alias(f"p{p}") for p in range(3)]))
-        with_pivots = rest.alias("x").join(pivots.alias("v"), "node")
+        with_pivots = rest.join(pivots, "node").select("node", F.struct(*CARRIED).alias("x"), "p0", "p1", "p2")
+        near = cut(with_pivots.select("node", "x", *[F.when(_near("x", f"p{p}", percent), F.col(f"p{p}.cid")).alias(f"c{p}") for p in range(3)]))
         for p in range(3):
-            y = with_pivots.select(F.struct(*[F.col(f"x.{c}") for c in CARRIED]).alias("x"), F.col(f"v.p{p}").alias("y"))
-            stars.append(y.where((F.col("x.cid") != F.col("y.cid")) & _near("x", "y", percent)).select(*_ordered(F.col("x.cid"), F.col("y.cid"))))
-        if level < len(LEVELS):
+            stars.append(near.where(F.col("x.cid") != F.col(f"c{p}")).select(*_ordered(F.col("x.cid"), F.col(f"c{p}"))))
+        alike = near.groupBy("node").agg(F.avg(F.coalesce("c0", "c1", "c2").isNotNull().cast("int")).alias("share"))
+        rest = cut(rest.join(cut(alike), "node"))
+        held.append(rest.where("share >= 0.5").drop("share"))
+        rest = rest.where("share < 0.5").drop("share")
+        if level == len(LEVELS):
+            held.append(rest)
+        else:
             tokens, branches = LEVELS[level]
             seeded = rest.join(classes.select("cid", "deep"), "cid").select("*", F.explode(F.array(*[F.lit(b) for b in range(branches)])).alias("branch"))
             chosen = [F.element_at("deep", (F.pmod(F.xxhash64("node", "branch", F.lit(t)), F.lit(DEEP)) + 1).cast("int")) for t in range(tokens)]
@@ -169,7 +175,7 @@ def chosen_path_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = first.union(star) if star is not None else first
     members = ends.select("me")
     if star is not None:
-        members = members.union(star.select("a")).union(star.select("b")).union(rest.select("cid")) if rest is not None else members.union(star.select("a")).union(star.select("b"))
+        members = union([members, star.select("a"), star.select("b"), *[h.select("cid") for h in held]])
     wanted = members.distinct().join(classes.select(F.col("cid").alias("me"), "rep", "n"), "me").where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
     sets = cut(base.join(cut(wanted), "doc_id", "left_semi").select("text").mapInPandas(_sets(width), "cid binary, shingles array<long>").dropDuplicates(["cid"]))
 
@@ -182,8 +188,8 @@ def chosen_path_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labels = components(links)
     at = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
     apart = exhaustive.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    if rest is not None:
-        held = cut(rest.join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
+    if held:
+        held = cut(union(held).join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
         main = cut(held.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main")))
         outside = cut(held.join(main, "node").where("label <> main").drop("main"))
         far = outside.alias("x").join(held.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y", percent))
