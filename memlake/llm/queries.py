@@ -85,10 +85,10 @@ comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
 
 OP4_SQL = f"""
 WITH RECURSIVE words AS (
-  SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 ids AS (
   SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s FROM words),
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
 each AS (SELECT id, unnest(s) AS x FROM ids),
 common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM each a JOIN each b ON a.x = b.x AND a.id < b.id GROUP BY ALL),
 links AS (SELECT a, b FROM common JOIN ids p ON p.id = a JOIN ids q ON q.id = b WHERE 100 * c >= 85 * (len(p.s) + len(q.s) - c)),
@@ -102,7 +102,7 @@ links AS (SELECT a.id AS a, b.id AS b FROM ids a JOIN ids b ON a.label = b.label
 SELECT id AS vec_id, (SELECT count(*) FROM links WHERE ids.id IN (a, b)) AS n_links, component_id, id = component_id AS kept FROM ids JOIN comp USING (id)"""
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS q FROM embeddings),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 10"""
