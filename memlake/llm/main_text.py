@@ -161,7 +161,8 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
                     k, w = ("w:" + key, len(data.split())) if is_word else (key, 1)
                     seen[k] += w
                     inside[k] += w * main
-        yield pd.DataFrame({"key": list(seen), "inside": [float(inside[k]) for k in seen], "seen": [float(x) for x in seen.values()]})
+        if seen:
+            yield pd.DataFrame({"key": list(seen), "inside": [float(inside[k]) for k in seen], "seen": [float(x) for x in seen.values()]})
 
     counts = picked.mapInPandas(count, "key string, inside double, seen double").groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("seen").alias("seen"))
     rows = counts.orderBy(F.desc("seen"), "key").limit(4096).collect()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from memlake.llm.common import cut, fold_bucket, small_batches
 
 SAMPLE = 20_000
-HASHES = 1 << 22
+HASHES = 1 << 20
 FEATURES = 4096
 FACTORS = 6
 EPOCHS = 30
@@ -62,15 +62,13 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], seed: int = 3) -> FactorizationMachine:
-    """rows: (label 0 or 1, hashed terms). AdaGrad on the logistic loss with L2."""
+def fit(y: np.ndarray, lens: np.ndarray, flat: np.ndarray, seed: int = 3) -> FactorizationMachine:
+    """y: labels 0 or 1; lens: terms of each row; flat: the rows' hashed terms, one after another. AdaGrad on the logistic loss with L2."""
     rng = np.random.default_rng(seed)
-    y = np.array([r[0] for r in rows], float)
+    y = y.astype(float)
     pos, neg = y.sum(), len(y) - y.sum()
     if not pos or not neg:
         return FactorizationMachine(-30.0 if not pos else 30.0, {}, np.empty(0), np.empty((0, FACTORS)))
-    lens = np.array([len(r[1]) for r in rows])
-    flat = np.concatenate([r[1] for r in rows]).astype(np.int64) if lens.sum() else np.empty(0, np.int64)
     a = np.bincount(flat, np.repeat(y, lens), HASHES)
     n = np.bincount(flat, minlength=HASHES)
     b, c, d = n - a, pos - a, neg - (n - a)
@@ -124,8 +122,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
             yield pd.DataFrame({"toxic": pdf.toxic, "terms": [sorted(hashed_terms(t, memo)) for t in pdf.text]})
 
     found = docs.join(F.broadcast(picked), "doc_id").select("toxic", "text").mapInPandas(terms, "toxic int, terms array<int>")
-    rows = found.orderBy(F.xxhash64("terms"), "toxic").limit(sample).collect()
-    return fit([(r.toxic, np.array(r.terms, dtype=np.int64)) for r in rows])
+    rows = found.orderBy(F.xxhash64("terms"), "toxic").limit(sample).toArrow()
+    terms_of = rows["terms"].combine_chunks()
+    flat = terms_of.flatten().to_numpy(zero_copy_only=False)
+    return fit(rows["toxic"].to_numpy(), terms_of.value_lengths().to_numpy(zero_copy_only=False), flat)
 
 
 def scorer(model: FactorizationMachine):
