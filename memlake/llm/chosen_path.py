@@ -6,8 +6,9 @@ by a hash of the path so far. Nodes with few members are compared exhaustively.
 few pivots; a node most of whose members are like a pivot is a group of copies, which branching would not divide, and is
 kept for the second round; other large nodes are branched further. A 256-bit sketch drops pairs that are far below the threshold and
 every remaining pair is confirmed on the full sets. Members already connected are not compared again: a second round
-confirms only pairs whose ends are still in different components, among them all pairs of members outside a large node's main
-component with every other member, so that no link is lost to the size of a node.
+confirms only pairs whose ends are still in different components. For large nodes these are the pairs of members outside the main
+component with every other member; they meet in blocks of bounded size, from which only a spanning forest of the links leaves, so
+that no link is lost to the size of a node and no list of its pairs is made.
 
 Recall: a pair at similarity s survives one tree with probability about s * (1-(1-s^2)^3) * (1-(1-s^4)^4); at 0.85 eight
 trees miss about 1 pair in 200,000, and components have many more ways to meet.
@@ -34,6 +35,8 @@ TREES = 8
 DEEP = 32
 COORDS = 64
 SMALL_NODE = 32
+#: Rows and shingles of a block, as large groups are compared.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: (tokens chosen, branches) of the levels below the first.
 LEVELS = ((2, 3), (4, 4))
 #: Of the 256 sketch bits, so many may differ: at similarity 0.85 the mean is 19 and the deviation 6.5.
@@ -124,6 +127,66 @@ def _near(a: str, b: str, percent: int):
 CARRIED = ("cid", "n", "s0", "s1", "s2", "s3")
 
 
+def _block_links(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links that join components, among the visitors and residents of two blocks."""
+        out: list[tuple[bytes, bytes]] = []
+        x, y = pdf[pdf.visitor].reset_index(drop=True), pdf[~pdf.visitor].reset_index(drop=True)
+        if len(x) and len(y):
+            known, flat = np.unique(np.concatenate(list(y.shingles)), return_inverse=True)
+            mark = np.zeros(len(known), np.int32)
+            ny = y.shingles.map(len).to_numpy()
+            starts = ny.cumsum() - ny
+            part = pd.factorize(pd.concat([x.label, y.label], ignore_index=True))[0]
+            rank = np.unique(np.array([*x.cid, *y.cid], object), return_inverse=True)[1]
+            part_y, rank_y, sketch_y, outside = part[len(x) :], rank[len(x) :], y[list(CARRIED[2:])].to_numpy(np.int64).view(np.uint64), y.outside.to_numpy(bool)
+            node, met = pdf.node.iloc[0], {}
+            for j, nodes in enumerate(y.nodes):
+                for h in nodes:
+                    met.setdefault(h, []).append(j)
+            sketch_x = x[list(CARRIED[2:])].to_numpy(np.int64).view(np.uint64)
+            for i, shingles in enumerate(x.shingles):
+                n = len(shingles)
+                able = (part_y != part[i]) & (np.minimum(ny, n) * 100 >= np.maximum(ny, n) * percent) & ~(outside & (rank_y <= rank[i]))
+                able &= np.bitwise_count(sketch_y ^ sketch_x[i]).sum(axis=1) <= SKETCH_DIFF
+                for h in x.nodes[i]:
+                    if h < node:
+                        able[met.get(h, [])] = False
+                able = np.flatnonzero(able)
+                if not len(able):
+                    continue
+                at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+                at = at[known[at] == shingles]
+                mark[at] = 1
+                common = np.add.reduceat(mark[flat], starts)[able] if len(able) * 4 > len(y) else np.array([mark[flat[starts[j] : starts[j] + ny[j]]].sum() for j in able])
+                mark[at] = 0
+                for j in able[common * 100 >= (n + ny[able] - common) * percent]:
+                    if part_y[j] != part[i]:
+                        out.append(tuple(sorted((x.cid[i], y.cid[j]))))
+                        part[part == part_y[j]] = part[i]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def block_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components, among ``held`` (node, label, outside, CARRIED): each member outside its node's main
+    component is compared with every other member. Members are dealt by a hash into blocks of about BLOCK rows or
+    BLOCK_SHINGLES shingles; visitors and residents of two blocks meet in one task, and at most a spanning forest leaves it. A pair that
+    shares several nodes is compared in the least of them."""
+    blocks = lambda rows, n: F.greatest(F.lit(1), F.ceil(F.greatest(rows / BLOCK, n / BLOCK_SHINGLES))).cast("int")
+    away = lambda c: F.sum(F.when(F.col("outside"), c).otherwise(0))
+    sizes = held.groupBy("node").agg(blocks(F.count("*"), F.sum("n")).alias("ys"), away(F.lit(1)).alias("away"), blocks(away(F.lit(1)), away(F.col("n"))).alias("xs")).where("away > 0").drop("away")
+    nodes = held.groupBy("cid").agg(F.collect_set("node").alias("nodes"))
+    rows = cut(held.join(cut(sizes), "node").join(nodes, "cid").join(sets, "cid"))
+    block = lambda n: F.pmod(F.xxhash64("cid", F.lit(7)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    carried = ["node", "label", "outside", "nodes", "shingles", *CARRIED]
+    visitors = rows.where("outside").select(*carried, F.lit(True).alias("visitor"), block("xs").alias("x"), every("ys").alias("y"))
+    residents = rows.select(*carried, F.lit(False).alias("visitor"), every("xs").alias("x"), block("ys").alias("y"))
+    return visitors.union(residents).groupBy("node", "x", "y").applyInPandas(_block_links(percent), "a binary, b binary").distinct()
+
+
 def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -188,18 +251,15 @@ def chosen_path_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labels = components(links)
     at = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
     apart = exhaustive.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    blocked = None
     if held:
         held = cut(union(held).join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
         main = cut(held.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main")))
-        outside = cut(held.join(main, "node").where("label <> main").drop("main"))
-        far = outside.alias("x").join(held.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y", percent))
-        apart = apart.union(far.select(*_ordered(F.col("x.cid"), F.col("y.cid"))))
-    apart = cut(apart.distinct())
-    if not apart.isEmpty():
-        more = cut(confirmed(apart))
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+        blocked = cut(block_links(held.join(main, "node").withColumn("outside", F.col("label") != F.col("main")).drop("main"), sets, percent))
+    more = cut(confirmed(cut(apart.distinct())))
+    more = more.union(blocked) if blocked is not None else more
+    if not more.isEmpty():
+        labels = components(links.union(more))
     grouped = classes.select("cid", "rep").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = cut(grouped.groupBy("label").agg(F.min("rep").alias("component_id")))
     named = cut(cut(grouped).join(least, "label").select("cid", "component_id"))
