@@ -57,6 +57,19 @@ def test_chosen_path_matches_brute_force(spark):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_chosen_path_large_group_of_near_misses(spark):
+    """Many members of a node are just below the threshold: they meet in blocks, and every link is found."""
+    r = random.Random(8)
+    base, docs = words(4, 150).split(), {}
+    for i in range(300):
+        v = base[:]
+        for _ in range(r.randrange(1, 4)):
+            v[r.randrange(len(v))] = f"new{r.random()}"
+        docs[i] = " ".join(v)
+    got = chosen_path_join(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute.near_groups(docs)
+
+
 def test_chosen_path_large_group_of_near_copies(spark):
     w = words(3, 150).split()
     docs = {i: " ".join(w[:j] + [f"z{i}"] + w[j + 1 :]) for i, j in ((i, (i * 7) % 150) for i in range(150))}
