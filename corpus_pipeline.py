@@ -22,6 +22,8 @@ from memlake.llm.toxicity_fm import learn, scorer
 #: Target weights by language; sources of a language weigh the same.
 WEIGHTS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 EPOCHS = 2
+#: Documents are near duplicates from this percentage of common 5-word shingles on.
+SIMILAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the least id, once if the row is repeated. Rows with a null id
     stay unless their text has the same shingles as a row with an id."""
-    found = chosen_path_join(docs)
+    found = chosen_path_join(docs, percent=SIMILAR)
     kept = cut(found.where("kept and doc_id is not null").select("doc_id").distinct())
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null")

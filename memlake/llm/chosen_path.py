@@ -11,7 +11,7 @@ component with every other member; they meet in blocks of bounded size, from whi
 that no link is lost to the size of a node and no list of its pairs is made.
 
 Recall: a pair at similarity s survives one tree with probability about s * (1-(1-s^2)^3) * (1-(1-s^4)^4); at 0.85 eight
-trees miss about 1 pair in 200,000, and components have many more ways to meet.
+trees miss about 1 pair in 200,000, at 0.8 about 1 in 7,000, and components have many more ways to meet.
 
 Defined results: null or blank text has an empty set, n_shingles 0, and is linked with nothing; a null doc_id takes part
 through its text but never becomes a component id (it gets the component of its text, null if no other row has that text) and
@@ -21,6 +21,7 @@ is kept only if that is null; repeated rows share one component; extra columns a
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ SMALL_NODE = 32
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: (tokens chosen, branches) of the levels below the first.
 LEVELS = ((2, 3), (4, 4))
-#: Of the 256 sketch bits, so many may differ: at similarity 0.85 the mean is 19 and the deviation 6.5.
-SKETCH_DIFF = 44
+#: Sketch bits may differ by the mean at the threshold and so many deviations.
+SKETCH_DEVIATIONS = 3.8
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,17 +118,26 @@ def _sets(width: int):
     return run
 
 
+def sketch_diff(percent: int) -> int:
+    """How many of the 256 sketch bits may differ: 44 at 85 percent. A minwise token differs with chance 1 - s, then half of its four bits."""
+    s = percent / 100
+    mean, variance = 2 * COORDS * (1 - s), COORDS * (1 - s) * (4 * s + 1)
+    return math.ceil(mean + SKETCH_DEVIATIONS * math.sqrt(variance))
+
+
 def _near(a: str, b: str, percent: int):
     """The cheap tests of a pair: the sizes allow the similarity and the sketches are close."""
     diff = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0))
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (diff <= SKETCH_DIFF)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (diff <= sketch_diff(percent))
 
 
 CARRIED = ("cid", "n", "s0", "s1", "s2", "s3")
 
 
 def _block_links(percent: int):
+    most = sketch_diff(percent)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links that join components, among the visitors and residents of two blocks."""
         out: list[tuple[bytes, bytes]] = []
@@ -148,7 +158,7 @@ def _block_links(percent: int):
             for i, shingles in enumerate(x.shingles):
                 n = len(shingles)
                 able = (part_y != part[i]) & (np.minimum(ny, n) * 100 >= np.maximum(ny, n) * percent) & ~(outside & (rank_y <= rank[i]))
-                able &= np.bitwise_count(sketch_y ^ sketch_x[i]).sum(axis=1) <= SKETCH_DIFF
+                able &= np.bitwise_count(sketch_y ^ sketch_x[i]).sum(axis=1) <= most
                 for h in x.nodes[i]:
                     if h < node:
                         able[met.get(h, [])] = False

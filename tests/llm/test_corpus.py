@@ -57,6 +57,20 @@ def test_chosen_path_matches_brute_force(spark):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_chosen_path_at_eighty_percent(spark):
+    r, docs = random.Random(11), {}
+    for g in range(40):
+        w = words(500 + g, 100).split()
+        for c in range(4):
+            v = w[:]
+            for j in r.sample(range(len(v)), r.randrange(0, 3)):
+                v[j] = f"new{r.random()}"
+            docs[len(docs)] = " ".join(v)
+    got = chosen_path_join(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), percent=80).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute.near_groups(docs, 80)
+    assert brute.near_groups(docs, 80) != brute.near_groups(docs, 85)
+
+
 def test_chosen_path_large_group_of_near_misses(spark):
     """Many members of a node are just below the threshold: they meet in blocks, and every link is found."""
     r = random.Random(8)
