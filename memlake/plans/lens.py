@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.operators.access import LEVELS, Principal
-from memlake.plans.registry import table
+from memlake.plans.tables import table
 
 READER = Principal("u1", "en", ("g0",))
 

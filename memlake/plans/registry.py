@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from memlake.plans.tables import table  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,8 +24,4 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from memlake.plans import access_queries, analytics_queries, container_queries, graph_queries, ingest_queries, retrieval_queries, stream_queries  # noqa: E402, F401
+from memlake.plans import access_queries, analytics_queries, container_queries, graph_queries, ingest_queries, lifecycle_queries, retrieval_queries, source_queries, state_queries, stream_queries, text_queries  # noqa: E402, F401
