@@ -3,9 +3,9 @@
 A page is a sequence of word and tag tokens. Words score by how often words of their innermost container are inside the article
 on labelled pages, tags cost the more the less often they are inside; both weights are learnt from a bounded sample (SAMPLE
 pages, chosen by a hash of the id) of pages that mark their article themselves (article or main element), on top of fixed
-priors for tags that the sample may lack. One linear scan finds the best run. Inside it, scripts, styles, forms and containers
-that are boilerplate by the same weights are left out, character references are decoded, inline tags join and block tags
-separate words.
+priors for tags that the sample may lack. Tokens inside boilerplate containers are counted apart from all others. One linear scan
+finds the best run. Inside it, scripts, styles, forms and containers that are boilerplate by name are left out, character references
+are decoded, inline tags join and block tags separate words.
 
 Defined results: null or empty html, and pages where no run scores above zero, give the empty text. Whole pages are read,
 whatever their length. Extra columns are ignored.
@@ -98,8 +98,13 @@ def parse(page: str) -> list[tuple]:
     return out
 
 
+def in_context(key: str, noise: bool) -> str:
+    """The key that a token is counted by: list items, links and tables of boilerplate say nothing about those of articles."""
+    return key + "~" if noise else key
+
+
 class Weights:
-    """Scores of words and tags by container key; ``inside`` and ``seen`` count tokens of labelled pages."""
+    """Scores of words and tags by container key and context; ``inside`` and ``seen`` count tokens of labelled pages."""
 
     PRIOR = 4.0
 
@@ -108,6 +113,7 @@ class Weights:
 
     def share(self, key: str, noise: bool) -> float:
         prior = 0.02 if noise or key.strip("/") in MAIN | {"html", "body"} and not key.startswith("w:") else 0.7
+        key = in_context(key, noise)
         n = self.seen.get(key, 0)
         return (self.inside.get(key, 0) + prior * self.PRIOR) / (n + self.PRIOR)
 
@@ -139,7 +145,7 @@ def extract(page: str | None, weights: Weights) -> str:
     pieces = []
     for is_word, key, _, noise, data in parsed[span[0] : span[1] + 1]:
         if is_word:
-            if not noise and weights.share("w:" + key, noise) >= 0.5:
+            if not noise:
                 pieces.append(htmllib.unescape(data) if "&" in data else data)
         elif data not in INLINE:
             pieces.append(" ")
@@ -157,8 +163,9 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
         inside, seen = Counter(), Counter()
         for pdf in batches:
             for page in pdf.html:
-                for is_word, key, main, _, data in parse(page):
+                for is_word, key, main, noise, data in parse(page):
                     k, w = ("w:" + key, len(data.split())) if is_word else (key, 1)
+                    k = in_context(k, noise)
                     seen[k] += w
                     inside[k] += w * main
         if seen:

@@ -225,6 +225,18 @@ def test_main_text(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_keeps_lists_links_and_tables_of_articles(spark):
+    """Also where the labelled pages have lists, links and tables only in their boilerplate."""
+    row = "<tr><td>cell</td><td>data</td></tr>"
+    nav = f"<nav><ul>{'<li><a href=/>home</a></li>' * 5}</ul><table>{row * 5}</table></nav>"
+    learnt = [(i, "u", f"<html><body>{nav}<article><p>{words(i, 80)}</p></article></body></html>") for i in range(60)]
+    inner = "<p>see <a href=x>the link</a> here</p><ul><li>first item</li><li>second item</li></ul><table><tr><td>left</td><td>right</td></tr></table><p>short tail</p>"
+    text = "see the link here first item second item left right short tail"
+    asked = [(100, "u", f"<html><body>{nav}<article><p>{words(7, 80)}</p>{inner}</article></body></html>"), (101, "u", f"<html><body>{nav}<div><p>{words(7, 80)}</p>{inner}</div></body></html>")]
+    rows = main_text(spark.createDataFrame(learnt + asked, "page_id long, url string, html string")).where("page_id >= 100").collect()
+    assert [x.text for x in rows] == [f"{words(7, 80)} {text}"] * 2
+
+
 def test_packing(spark):
     r = random.Random(2)
     sizes = sorted((r.randrange(1, 65) for _ in range(500)), reverse=True)
