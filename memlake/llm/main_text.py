@@ -7,6 +7,10 @@ priors for tags that the sample may lack. Tokens inside boilerplate containers a
 finds the best run. Inside it, scripts, styles, forms and containers that are boilerplate by name are left out, character references
 are decoded, inline tags join and block tags separate words.
 
+Never boilerplate: html and body; what holds an article or main, or, on pages that mark none, most of the words; inside an
+article or main what holds most of its words, and names that are usual for its own text (INNER_NOISE has the others). Aside, nav,
+footer and the like stay boilerplate whatever they hold, unless the page's only article or main is in them.
+
 Defined results: null or empty html, and pages where no run scores above zero, give the empty text. Whole pages are read,
 whatever their length. Extra columns are ignored.
 """
@@ -33,7 +37,12 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "button", "select", "head", "title", "dialog", "menu", "fieldset", "option", "legend"}
 #: Class or id names of boilerplate containers.
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|sidebar|related|recommend\w*|comments?|reply|replies|disqus|breadcrumbs?|nav\w*|menu|footer|header|widget|login|signup|pagination|pager|tags|meta|byline|skip)(?:$|[\s_-])", re.I)
+#: Names that also inside an article are boilerplate; a notice, a line of meta data or a section on related work is text there.
+INNER_NOISE = re.compile(r"(?:^|[\s_-])(?:(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|popup|modal|newsletter|subscribe|share|sharing|social|sidebar|recommend\w*|comments?|reply|replies|disqus|breadcrumbs?|nav\w*|menu|footer|widget|login|signup|pagination|pager)(?:$|[\s_-])|related(?:[_-](?:articles?|content|items?|links?|news|posts?|stories))?(?:$|\s))", re.I)
 MAIN = {"article", "main"}
+ROOT = {"html", "body"}
+#: Elements of BOILERPLATE that some pages put around everything.
+WRAPPERS = {"form", "fieldset", "dialog", "header"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -58,43 +67,77 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 at = close.start() if close else end
 
 
-def _key(name: str, attributes: str) -> tuple[str, bool]:
+def _key(name: str, attributes: str, inside: bool) -> tuple[str, bool]:
     """A container's key (element, and boilerplate class if it has one) and whether it is boilerplate by name."""
     if name in BOILERPLATE:
         return name, True
-    names = " ".join(x for g in _NAMED.findall(attributes) for x in g if x) if attributes else ""
-    return (f"{name}.noise", True) if names and name not in MAIN and NOISE.search(names) else (name, False)
+    names = " ".join(x for g in _NAMED.findall(attributes) for x in g if x) if attributes and name not in MAIN | ROOT else ""
+    return (f"{name}.noise", True) if names and (INNER_NOISE if inside else NOISE).search(names) else (name, False)
+
+
+def _holders(nodes: list[list]) -> None:
+    """Clears the boilerplate mark of elements that hold the text itself; nodes: name, marked, parent, main element around it, words,
+    outermost article and main elements in it. Parents come before children."""
+    for i in range(len(nodes) - 1, 0, -1):
+        name, _, parent, around, n, holds = nodes[i]
+        nodes[parent][4] += n
+        nodes[parent][5] += holds + (name in MAIN and not around)
+    page, own = nodes[0][4], nodes[0][5]
+    for node in nodes[1:]:
+        name, marked, _, around, n, holds = node
+        if not marked:
+            continue
+        if around:
+            node[1] = name in BOILERPLATE or 2 * n <= nodes[around][4]
+        elif name in BOILERPLATE and name not in WRAPPERS:
+            node[1] = not holds or holds < own
+        else:
+            node[1] = not (holds or not own and 2 * n > page)
 
 
 def parse(page: str) -> list[tuple]:
     """Tokens with context: (is_word, key, main, noise, text). Words' key is the innermost block container, tags' their own."""
-    out, stack = [], []
-    main = noise = 0
+    found, stack, nodes = [], [0], [["", False, 0, 0, 0, 0]]
+    named = [""]
     for kind, name, data in tokens(page):
         if kind == "text":
             if data:
-                key = next((k for n, k, _, _ in reversed(stack) if n not in INLINE and n not in MAIN), "body")
-                out.append((True, key, main > 0, noise > 0, data))
+                found.append(("text", stack[-1], data))
+                nodes[stack[-1]][4] += len(data.split())
         elif kind == "open":
-            key, bad = _key(name, data)
-            inside = main > 0 and name not in MAIN
-            out.append((False, key, inside, noise > 0 or bad, name))
+            if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and nodes[stack[-1]][0] == name and name not in VOID and not data.rstrip().endswith("/"):
+                stack.pop()
+            around = nodes[stack[-1]][3] or (stack[-1] if nodes[stack[-1]][0] in MAIN else 0)
+            key, bad = _key(name, data, around > 0)
+            nodes.append([name, bad, stack[-1], around, 0, 0])
+            named.append(key)
+            found.append(("open", len(nodes) - 1, name))
             if name not in VOID and not data.rstrip().endswith("/") and name not in RAW:
-                if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
-                    stack.pop()
-                stack.append((name, key, name in MAIN, bad))
-                main += name in MAIN
-                noise += bad
+                stack.append(len(nodes) - 1)
         else:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            key, bad = name, False
+            at = next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]][0] == name), None)
             if at is not None:
-                key, bad = stack[at][1], stack[at][3]
-                for _, _, m, b in stack[at:]:
-                    main -= m
-                    noise -= b
+                found.append(("close", stack[at], name))
                 del stack[at:]
-            out.append((False, "/" + key, main > 0 and name not in MAIN, noise > 0 or bad, name))
+            else:
+                found.append(("stray", stack[-1], name))
+    if any(x[1] for x in nodes):
+        _holders(nodes)
+    noise, keys, block = [False], [""], ["body"]
+    for (name, bad, parent, _, _, _), key in zip(nodes[1:], named[1:], strict=True):
+        noise.append(noise[parent] or bad)
+        keys.append(key if bad else name)
+        block.append(block[parent] if name in INLINE or name in MAIN else keys[-1])
+    out = []
+    for kind, i, data in found:
+        name, _, _, around, _, _ = nodes[i]
+        main = around > 0 or kind in ("text", "stray") and name in MAIN
+        if kind == "text":
+            out.append((True, block[i], main, noise[i], data))
+        elif kind == "stray":
+            out.append((False, "/" + data, main and data not in MAIN, noise[i], data))
+        else:
+            out.append((False, keys[i] if kind == "open" else "/" + keys[i], main and name not in MAIN, noise[i], data))
     return out
 
 

@@ -237,6 +237,24 @@ def test_main_text_keeps_lists_links_and_tables_of_articles(spark):
     assert [x.text for x in rows] == [f"{words(7, 80)} {text}"] * 2
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<body class='post has-sidebar'>@</body>", "<html class='nav-open'><body>@</body></html>", "<div class='layout header-fixed'>@</div>", "<div id='page' class='comments-open'>@</div>", "<div role=main class=menu-left><div class='tags'>@</div></div>", "<form id=login><div class=page>@</div></form>"],
+)
+@pytest.mark.parametrize("article", ["article", "main", "div"])
+def test_main_text_inside_wrappers_with_boilerplate_names(wrapper, article):
+    inner = "<p class='meta'>By someone</p><div class='alert'>mind the gap</div><section id='related-work'><p>others did too</p></section>" if article != "div" else ""
+    page = f"<nav>home</nav><{article}><p>{words(1, 60)}</p>{inner}<div class='share'>like this</div></{article}><div class='comments'>me first</div><footer>bye</footer>"
+    text = words(1, 60) + (" By someone mind the gap others did too" if inner else "")
+    assert extract(wrapper.replace("@", page), Weights({}, {})) == text
+
+
+def test_main_text_without_teasers_and_comments():
+    page = f"<main><article><p>{words(1, 60)}</p></article><div id='comments'><article>me first</article></div></main><aside><article>a teaser</article></aside>"
+    assert extract(page, Weights({}, {})) == words(1, 60)
+    assert extract("<ul><li class='menu'>home<li>first<li>second</ul>", Weights({}, {})) == "first second"
+
+
 def test_packing(spark):
     r = random.Random(2)
     sizes = sorted((r.randrange(1, 65) for _ in range(500)), reverse=True)
