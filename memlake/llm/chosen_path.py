@@ -8,10 +8,11 @@ kept for the second round; other large nodes are branched further. A 256-bit ske
 every remaining pair is confirmed on the full sets. Members already connected are not compared again: a second round
 confirms only pairs whose ends are still in different components. For large nodes these are the pairs of members outside the main
 component with every other member; they meet in blocks of bounded size, from which only a spanning forest of the links leaves, so
-that no link is lost to the size of a node and no list of its pairs is made.
+that no link is lost to the size of a node (only to the sketch, see recall) and no list of its pairs is made.
 
 Recall: a pair at similarity s survives one tree with probability about s * (1-(1-s^2)^3) * (1-(1-s^4)^4); at 0.85 eight
-trees miss about 1 pair in 200,000, at 0.8 about 1 in 7,000, and components have many more ways to meet.
+trees miss about 1 pair in 200,000, at 0.8 about 1 in 7,000, and components have many more ways to meet. The sketch is the same for
+all trees and blocks: it drops at most 1 pair in 10 million at the threshold, fewer above it.
 
 Defined results: null or blank text has an empty set, n_shingles 0, and is linked with nothing; a null doc_id takes part
 through its text but never becomes a component id (it gets the component of its text, null if no other row has that text) and
@@ -21,7 +22,6 @@ is kept only if that is null; repeated rows share one component; extra columns a
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +40,8 @@ SMALL_NODE = 32
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: (tokens chosen, branches) of the levels below the first.
 LEVELS = ((2, 3), (4, 4))
-#: Sketch bits may differ by the mean at the threshold and so many deviations.
-SKETCH_DEVIATIONS = 3.8
+#: Chance that the sketch drops a pair at the threshold.
+SKETCH_LOSS = 1e-7
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,10 +119,14 @@ def _sets(width: int):
 
 
 def sketch_diff(percent: int) -> int:
-    """How many of the 256 sketch bits may differ: 44 at 85 percent. A minwise token differs with chance 1 - s, then half of its four bits."""
-    s = percent / 100
-    mean, variance = 2 * COORDS * (1 - s), COORDS * (1 - s) * (4 * s + 1)
-    return math.ceil(mean + SKETCH_DEVIATIONS * math.sqrt(variance))
+    """How many of the 256 sketch bits may differ so that at most SKETCH_LOSS of the pairs at the threshold are dropped. A minwise token
+    differs with chance 1 - s, then each of its four bits with chance half."""
+    apart = 1 - percent / 100
+    bits, one = np.ones(1), np.array([1 - apart, 0, 0, 0, 0]) + apart * np.array([1, 4, 6, 4, 1]) / 16
+    for _ in range(COORDS):
+        bits = np.convolve(bits, one)
+    more = bits[::-1].cumsum()[::-1]
+    return int((more > SKETCH_LOSS).sum()) - 1
 
 
 def _near(a: str, b: str, percent: int):

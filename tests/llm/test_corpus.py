@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from memlake.llm.best_fit import best_fit, pack
-from memlake.llm.chosen_path import chosen_path_join
+from memlake.llm.chosen_path import COORDS, chosen_path_join, sketch_diff
 from memlake.llm.impact_index import impact_topk
 from memlake.llm.language_mixture import language_mixture
 from memlake.llm.license_index import license_scan
@@ -57,6 +57,16 @@ def test_chosen_path_matches_brute_force(spark):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_sketch_keeps_pairs_at_the_threshold(percent):
+    """The exact distribution of differing sketch bits: each of 64 coordinates agrees, or has four random bits."""
+    apart = 1 - percent / 100
+    bits, one = np.ones(1), np.array([1 - apart, 0, 0, 0, 0]) + apart * np.array([1, 4, 6, 4, 1]) / 16
+    for _ in range(COORDS):
+        bits = np.convolve(bits, one)
+    assert bits[sketch_diff(percent) + 1 :].sum() < 1e-5 / 2
+
+
 def test_chosen_path_at_eighty_percent(spark):
     r, docs = random.Random(11), {}
     for g in range(40):
