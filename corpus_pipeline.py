@@ -35,13 +35,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the least id, once if the row is repeated. Rows with a null id
-    stay unless their text has the same shingles as a row with an id."""
-    found = chosen_path_join(docs, percent=SIMILAR)
-    kept = cut(found.where("kept and doc_id is not null").select("doc_id").distinct())
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    return (named.unionByName(nameless) if not nameless.isEmpty() else named).select(docs.columns)
+    """One row of each near-duplicate group: the one with the least id, one with a null id only where no other row has an id. Every
+    row takes part by a key of its own, so rows that share an id but not their text are told apart. Rows without words have no near
+    duplicates; of those, repeated rows with an id stay once."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = chosen_path_join(rows, id_col="_row", percent=SIMILAR).select(F.col("doc_id").alias("_row"), "component_id", (F.col("n_shingles") == 0).alias("_blank"))
+    keys = rows.select("_row", "doc_id", F.xxhash64("text").alias("_text")).join(found, "_row")
+    repeated = F.col("_blank") & F.col("doc_id").isNotNull()
+    group = [F.when(~repeated, F.col("component_id")).alias("g"), F.when(repeated, F.col("doc_id")).alias("i"), F.when(repeated, F.col("_text")).alias("t")]
+    kept = cut(keys.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")).select("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,8 +253,11 @@ def chosen_path_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = ends.select("me")
     if star is not None:
         members = union([members, star.select("a"), star.select("b"), *[h.select("cid") for h in held]])
-    wanted = members.distinct().join(classes.select(F.col("cid").alias("me"), "rep", "n"), "me").where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(base.join(cut(wanted), "doc_id", "left_semi").select("text").mapInPandas(_sets(width), "cid binary, shingles array<long>").dropDuplicates(["cid"]))
+    wanted = cut(members.distinct().join(classes.select(F.col("cid").alias("me"), "rep"), "me").select(F.col("rep").alias("doc_id")).distinct())
+    texts = base.join(wanted, "doc_id", "left_semi").select("text")
+    if not wanted.where("doc_id is null").isEmpty():
+        texts = texts.union(base.where("doc_id is null").select("text"))
+    sets = cut(texts.mapInPandas(_sets(width), "cid binary, shingles array<long>").dropDuplicates(["cid"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")

@@ -336,3 +336,17 @@ def test_pipeline_stages(spark):
     pii = spark.createDataFrame([(1, "call +1 (017) 555-7713 or a@b.de", "en", "s", 32)], docs.schema)
     assert corpus_pipeline.redact_personal_data(spark, pii, SF).first().text == "call [PHONE] or [EMAIL]"
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicates_of_rows_without_or_with_one_id(spark):
+    a, b, c, d = (words(i, 100) for i in (201, 202, 203, 204))
+    rows = [(None, a), (None, a), (None, a + " tail"), (3, b), (None, b + " tail"), (7, c), (7, d), (7, d), (8, ""), (8, ""), (8, None), (None, " ")]
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in rows], DOCS)
+    kept = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    nameless = [t for i, t in kept if i is None]
+    assert len(nameless) == 2 and " " in nameless and (a in nameless or a + " tail" in nameless)
+    assert sorted(((i, str(t)) for i, t in kept if i is not None)) == sorted([(3, b), (7, c), (7, d), (8, ""), (8, "None")])
+    got = {(x.doc_id, x.n_shingles): (x.component_id, x.kept) for x in chosen_path_join(spark.createDataFrame([(3, b), (None, b + " tail")], "doc_id long, text string")).collect()}
+    assert got == {(3, 96): (3, True), (None, 97): (3, False)}
