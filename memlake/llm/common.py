@@ -4,36 +4,83 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder shared by driver and executors: spark.checkpoint.dir. Where that is unset, a local folder in local mode (tests), else
+    an error, as executors could not see one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="memlake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut`` writes inside are deleted at the end; nothing that reads them may be used after it."""
+    token = _WRITTEN.set([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.get():
+            delete(spark, path)
+        _WRITTEN.reset(token)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut")
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Few rows per Arrow batch, since a single text may be megabytes long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def packed(docs: DataFrame, **added: Column) -> DataFrame:
+    """``docs`` as one struct column ``doc`` beside the ``added`` columns, so that no name can clash; ``unpacked`` undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[v.alias(k) for k, v in added.items()])
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    return rows.select(*[changed.get(c, F.col("doc").getField(c)).alias(c) for c in columns])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sampled(key: list[str], sample: int, rows: int, seed: int = 9) -> Column:
+    """Condition that about ``sample`` of ``rows`` rows meet, chosen by 63 bits of a hash of ``key``: the same rows however they are partitioned."""
+    most = (1 << 63) - 1
+    cutoff = most if rows <= sample else max(1, most * sample // rows)
+    return F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 1) <= F.lit(cutoff)
 
 
 def ascii_lower(col: Column) -> Column:
