@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by an inverted multi-index.
 
-Two codebooks, fitted by k-means on a bounded sample (SAMPLE vectors), quantise the halves of each unit vector; their product is
-a grid of cells per label. Every vector is filed in its own cell and visits cells in multi-sequence order (least sum of the two
+Two codebooks, fitted by k-means on a bounded sample (SAMPLE vectors, or PER_ENTRY for each entry), quantise the halves of each unit vector; their product is
+a grid of cells per label, as fine as the largest label needs for cells of about CELL vectors (up to ENTRIES x ENTRIES cells,
+enough for 17 billion vectors of a label). Every vector is filed in its own cell and visits cells in multi-sequence order (least sum of the two
 half distances first). The number of visits is calibrated on the sample: vectors are perturbed to exactly the threshold and the
 smallest count that reaches the target recall from either side is taken. Visitors and residents of a cell meet in blocks of
 bounded size and are verified by cosine in double precision. A pair is evaluated once, where its lesser key visits; only link
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from memlake.llm.common import components, cut
 from memlake.llm.vectors import usable
 
-SAMPLE = 4096
-CELL = 64
+#: Vectors that the codebooks are fitted on at least, and for each of their entries; vectors of a cell; most entries of a codebook.
+SAMPLE, PER_ENTRY = 4096, 8
+CELL = 256
+ENTRIES = 8192
 RESIDENTS, VISITORS = 512, 2048
 
 
@@ -74,7 +77,12 @@ def calibrate(x: np.ndarray, books, threshold: float, recall: float, rng) -> int
     noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
     y = threshold * x + np.sqrt(1 - threshold**2) * noise
     (x1, x2), (y1, y2) = _half_distances(x, books), _half_distances(y, books)
-    rank = lambda a, b, c, d: ((a[:, :, None] + b[:, None, :]) < (np.take_along_axis(a, c.argmin(1)[:, None], 1) + np.take_along_axis(b, d.argmin(1)[:, None], 1))[:, :, None]).sum((1, 2))
+
+    def rank(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Cells nearer than the one that c and d are in."""
+        least = np.take_along_axis(a, c.argmin(1)[:, None], 1) + np.take_along_axis(b, d.argmin(1)[:, None], 1)
+        return np.array([np.searchsorted(np.sort(y), t - x).sum() for x, y, t in zip(a, b, least, strict=True)])
+
     met = np.minimum(rank(x1, x2, y1, y2), rank(y1, y2, x1, x2)) + 1
     return int(np.quantile(met, recall, method="higher"))
 
@@ -92,7 +100,8 @@ def _meet(threshold: float):
                 order = {k: i for i, k in enumerate(sorted({*rk, *vk}))}
                 ro, vo = np.array([order[k] for k in rk]), np.array([order[k] for k in vk])
                 own = vis.own.to_numpy()
-                visited = {c: np.array([c in set(x) for x in res.visits]) for c in set(own)}
+                seen = np.stack(res.visits.to_list())
+                visited = {c: (seen == c).any(axis=1) for c in set(own)}
                 mutual = np.array([visited[c] for c in own])
                 linked &= np.where((own == cell)[:, None], vo[:, None] < ro, ~(mutual & (vo[:, None] > ro)))
                 rm, vm = res.mult.to_numpy(), vis.mult.to_numpy()
@@ -122,8 +131,8 @@ def multi_index_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     if not shape.n:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     rng, width = np.random.default_rng(7), shape.width + shape.width % 2
-    sample = _unit([x.vec for x in classes.orderBy(F.xxhash64("key")).select("vec").limit(SAMPLE).collect()], width)
-    k = int(max(2, min(256, round((shape.n / CELL) ** 0.5))))
+    k = int(max(2, min(ENTRIES, round((shape.n / CELL) ** 0.5))))
+    sample = _unit([x.vec for x in classes.orderBy(F.xxhash64("key")).select("vec").limit(max(SAMPLE, PER_ENTRY * k)).collect()], width)
     books = [_codebook(sample[:, : width // 2], k, rng), _codebook(sample[:, width // 2 :], k, rng)]
     visits = calibrate(sample, books, threshold, recall, rng)
 
