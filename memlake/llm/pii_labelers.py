@@ -8,8 +8,8 @@ expectation-maximisation on that table estimates each labeler's reliability and
 classifier of single candidates is trained on those probabilities. Base spans that pass their checks always stay; other
 candidates are added if the classifier accepts them, no check speaks against them, and no span is overlapped.
 
-Everything else happens in the row of the text. Positions are code points, end exclusive. Matches are found by splitting the text
-at the pattern: the pieces between matches give the positions. Defined results: null and empty texts have no spans; repeated
+Everything else happens in the row of the text: its candidates are found once and written, fitting and selecting read them. Positions
+are code points, end exclusive. Matches are found by splitting the text at the pattern: the lengths of the pieces give the positions. Defined results: null and empty texts have no spans; repeated
 rows each get a row; extra columns are ignored.
 """
 
@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm.common import cut, let
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: The base patterns. Possessive forms and the look-behind change no match; they keep the search linear.
@@ -45,17 +47,55 @@ AROUND = 24
 ACCEPT = 0.5
 
 
-def _found(text: Column, gaps: str, hits: str) -> Column:
-    """Structs (start, end, match, before, after) of the matches ``hits``, ``gaps`` being the pieces between them."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>").alias("out"))
+#: Elements folded at once by ``running``, code points of a piece of text in ``redact``.
+FOLD, PIECE = 64, 1024
+
+
+def running(values: Column, start: int, step) -> Column:
+    """For each element of an array of integers, ``step`` folded over all elements before it. Folds of FOLD elements, then of their
+    results, keep the work proportional to the number of elements."""
+    empty = F.array().cast("array<int>")
+
+    def fold(part: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), empty.alias("out"))
+        return F.aggregate(part, begin, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def blocks(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(FOLD)), lambda b: F.slice(v, b + 1, F.lit(FOLD)))
+        return let(parts, lambda p: F.flatten(F.zip_with(p, fold(F.transform(p, lambda x: F.aggregate(x, F.lit(start), lambda a, b: step(a, b))), F.lit(start)), fold)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, blocks(v)).otherwise(empty))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(hits, i))
-        one = F.struct(start.alias("start"), end.alias("end"), F.get(hits, i).alias("match"), F.substring(F.get(gaps, i), -AROUND, AROUND).alias("before"), F.substring(F.get(gaps, i + 1), 1, AROUND).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(F.transform(hits, lambda m, i: i), zero, step, lambda acc: acc["out"])
+def _found(text: Column, pattern: str) -> Column:
+    """Structs (start, end, match, before, after) of the matches of ``pattern``; the pieces between them give the positions."""
+
+    def place(hits: Column) -> Column:
+        def each(p: Column) -> Column:
+            gap = lambda i: F.get(p["gaps"], i)
+            lengths = F.transform(hits, lambda m, i: F.length(m) + F.length(gap(i)))
+
+            def one(starts: Column) -> Column:
+                return F.transform(
+                    hits,
+                    lambda m, i: F.struct(
+                        (F.get(starts, i) + F.length(gap(i))).alias("start"),
+                        (F.get(starts, i) + F.length(gap(i)) + F.length(m)).alias("end"),
+                        m.alias("match"),
+                        F.substring(gap(i), -AROUND, AROUND).alias("before"),
+                        F.substring(gap(i + 1), 1, AROUND).alias("after"),
+                    ),
+                )
+
+            return let(running(lengths, 0, _add), one)
+
+        return F.when(F.size(hits) > 0, let(F.struct(F.split(text, pattern, -1).alias("gaps")), each))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
 def _digits(text: Column) -> Column:
@@ -85,7 +125,7 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(no, -1).when(yes, 1).otherwise(0)
 
 
-def _candidates(kind: str, base: bool, found: str) -> Column:
+def _candidates(kind: str, base: bool, found: Column) -> Column:
     """Structs (kind, base, start, end, votes) of one pattern's matches. base: passes as a base span."""
 
     def judge(x: Column) -> Column:
@@ -112,20 +152,25 @@ def _candidates(kind: str, base: bool, found: str) -> Column:
     return F.transform(found, judge)
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``candidates``; ``text`` must be a string column of it."""
-    rows, parts = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))), []
-    for base, patterns in ((True, BASE_PATTERNS), (False, LOOSE_PATTERNS)):
-        for kind, pattern in patterns.items():
-            name = f"_{kind}{int(base)}"
-            cheap = {"email": F.instr("_t", "@") > 0 if base else F.lower("_t").rlike(r"[\[(]at[\])]"), "phone": F.instr("_t", "+") > 0 if base else F.col("_t").rlike("[0-9]{3}[.-][0-9]{4}")}.get(kind, F.lit(True))
-            rows = rows.withColumn(f"{name}h", F.when(cheap, F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-            rows = rows.withColumn(f"{name}g", F.when(F.size(f"{name}h") > 0, F.split("_t", pattern, -1)))
-            rows = rows.withColumn(name, F.when(F.size(f"{name}h") > 0, _found(F.col("_t"), f"{name}g", f"{name}h"))).drop(f"{name}h", f"{name}g")
-            rows = rows.withColumn(name, F.when(F.col(name).isNotNull(), _candidates(kind, base, name)))
-            parts.append(name)
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,votes:struct<check:int,gazetteer:int,context:int,border:int>>>")
-    return rows.withColumn("candidates", F.concat(*[F.coalesce(F.col(p), empty) for p in parts])).drop("_t", *parts)
+CANDIDATES = "array<struct<kind:int,start:int,end:int,base:boolean,votes:struct<check:int,gazetteer:int,context:int,border:int>>>"
+
+
+def candidates(text: Column) -> Column:
+    """All candidates of a text. Write them once (``cut``): fitting and selecting both read them."""
+    empty = F.array().cast(CANDIDATES)
+
+    def judged(kind: str, base: bool):
+        return lambda found: F.when(found.isNotNull(), _candidates(kind, base, found))
+
+    def each(t: Column) -> Column:
+        parts = []
+        for base, patterns in ((True, BASE_PATTERNS), (False, LOOSE_PATTERNS)):
+            for kind, pattern in patterns.items():
+                cheap = {"email": F.instr(t, "@") > 0 if base else F.lower(t).rlike(r"[\[(]at[\])]"), "phone": F.instr(t, "+") > 0 if base else t.rlike("[0-9]{3}[.-][0-9]{4}")}.get(kind, F.lit(True))
+                parts.append(F.coalesce(F.when(cheap, let(_found(t, pattern), judged(kind, base))), empty))
+        return F.concat(*parts)
+
+    return let(F.coalesce(text.cast("string"), F.lit("")), each)
 
 
 def expectation_maximisation(table: list[tuple[int, tuple[int, ...], int]], rounds: int = 40) -> tuple[list[float], list[dict[tuple[int, int], float]]]:
@@ -172,9 +217,9 @@ def train(table: list[tuple[int, tuple[int, ...], int]], prob: list[float], roun
     return w
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> list[float]:
-    """Classifier weights learnt from the votes over all of ``docs``."""
-    found = candidates(docs.select(F.col(text_col).alias("text"))).select(F.explode("candidates").alias("c"))
+def fit(rows: DataFrame) -> list[float]:
+    """Classifier weights learnt from the votes over all of ``rows``, which hold a column ``candidates``."""
+    found = rows.select(F.explode("candidates").alias("c"))
     counted = found.groupBy("c.kind", *[F.col(f"c.votes.{n}") for n in LABELERS]).count().collect()
     table = sorted((r.kind, tuple(r[n] for n in LABELERS), r["count"]) for r in counted)
     return train(table, expectation_maximisation(table)[0]) if table else [-1.0] + [0.0] * (len(KINDS) + 2 * len(LABELERS))
@@ -195,34 +240,61 @@ def accepted(weights: list[float]):
     return test
 
 
-def with_spans(docs: DataFrame, weights: list[float], text: str = "text") -> DataFrame:
-    """``docs`` with arrays ``base_spans`` and ``spans`` of (kind, start, end), each by kind as in KINDS, then start."""
-    rows = candidates(docs, text)
-    slim = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
-    test = accepted(weights)
-    rows = rows.withColumn("base_spans", F.transform(F.filter("candidates", lambda c: c["base"]), slim))
-    rows = rows.withColumn("_more", F.filter("candidates", lambda c: ~c["base"] & test(c)))
-    free = F.filter("_more", lambda c: ~F.exists("base_spans", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    return rows.withColumn("spans", F.array_sort(F.concat("base_spans", F.transform(free, slim)))).drop("candidates", "_more")
+SPANS = "array<struct<kind:int,start:int,end:int>>"
+
+
+def _free(more: Column, base: Column) -> Column:
+    """Those of ``more`` that overlap none of ``base``: no base span that starts before ends later, none starts inside."""
+    mark = lambda spans, n: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("own"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    def each(row: Column) -> Column:
+        ends = F.transform(row, lambda s: F.when(s["own"] == 0, s["end"]).otherwise(-1))
+        starts = F.transform(F.reverse(row), lambda s: F.when(s["own"] == 0, s["start"]).otherwise(2**31 - 1))
+        near = F.struct(running(ends, -1, F.greatest).alias("end"), F.reverse(running(starts, 2**31 - 1, F.least)).alias("start"))
+        test = lambda n: F.transform(row, lambda s, i: F.when((s["own"] == 1) & (F.get(n["end"], i) <= s["start"]) & (F.get(n["start"], i) >= s["end"]), F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+        return F.array_compact(let(near, test))
+
+    return F.when((F.size(more) > 0) & (F.size(base) > 0), let(F.array_sort(F.concat(mark(base, 0), mark(more, 1))), each)).otherwise(more)
+
+
+def with_spans(rows: DataFrame, weights: list[float]) -> DataFrame:
+    """``rows`` with arrays ``base_spans`` and ``spans`` of (kind, start, end) for their ``candidates``, each by kind as in KINDS, then start."""
+    slim = lambda a: F.transform(a, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).cast(SPANS)
+    test, others = accepted(weights), [c for c in rows.columns if c != "candidates"]
+    kept = F.struct(slim(F.filter("candidates", lambda c: c["base"])).alias("base"), slim(F.filter("candidates", lambda c: ~c["base"] & test(c))).alias("more"))
+    both = let(kept, lambda k: F.struct(k["base"].alias("base"), F.array_sort(F.concat(k["base"], _free(k["more"], k["base"]))).alias("all")))
+    return rows.select(*others, both.alias("_found")).select(*others, F.col("_found.base").alias("base_spans"), F.col("_found.all").alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans are replaced once."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), F.get(names, s["kind"]))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), piece.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    def piece(pieces: Column, a: Column, b: Column) -> Column:
+        def part(j: Column) -> Column:
+            begin = F.greatest(a - j * PIECE, F.lit(0))
+            return F.substring(F.get(pieces, j), begin + 1, F.least(b - j * PIECE, F.lit(PIECE)) - begin)
+
+        return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")), part), "")).otherwise("")
 
-    return F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def join(x: Column) -> Column:
+        at = lambda i: F.get(x["done"], i)
+        parts = F.transform(x["order"], lambda s, i: F.when(s["start"] >= at(i), F.concat(piece(x["pieces"], at(i), s["start"]), F.get(names, s["kind"]))).otherwise(""))
+        end = F.array_max(F.transform(x["order"], lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), piece(x["pieces"], end, F.length(text)))
+
+    def each(order: Column) -> Column:
+        done = running(F.transform(order, lambda s: s["end"]), 0, F.greatest)
+        return let(F.struct(order.alias("order"), done.alias("done"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces")), join)
+
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.when(F.size(spans) > 0, let(order, each)).otherwise(text)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, base_spans, spans."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return with_spans(base, fit(base))
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), candidates(F.col(text_col)).alias("candidates")))
+    return with_spans(rows, fit(rows))
 
 
 def span_text(spans: str) -> Column:
@@ -231,8 +303,9 @@ def span_text(spans: str) -> Column:
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans."""
-    rows = find_pii(docs, id_col, text_col)
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans. Texts are not carried on."""
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), candidates(F.col(text_col)).alias("candidates")))
+    rows = with_spans(rows, fit(rows))
     of = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     counts = [of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(span_text("base_spans"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
