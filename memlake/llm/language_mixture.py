@@ -1,7 +1,7 @@
 """Language proportions of each document by expectation-maximisation over n-gram likelihoods.
 
-Every language has a multinomial over hashed character 1- to 3-grams, learnt from labelled rows outside the held-out fold (at
-most PER_LANGUAGE documents of each language, chosen by a hash). A document is a mixture of languages; EM finds the
+Every language has a multinomial over hashed character 1- to 3-grams, learnt from labelled rows outside the held-out fold (about
+PER_LANGUAGE different documents of each language, chosen by a hash; all of them where there are fewer). A document is a mixture of languages; EM finds the
 proportions. The set of languages grows greedily from the best single one while the log-likelihood, with each gram counted as a
 third of an observation as they overlap, gains more than the penalty for one more language. The prediction is the language with
 the largest proportion, the score that proportion.
@@ -19,11 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import fold_bucket, small_batches
+from memlake.llm.common import fold_bucket, sampled
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 1500
 MIN_SHARE = 0.03
+UNIT = 1 << 20
 
 _LETTER: list[np.ndarray] = []
 
@@ -85,40 +86,41 @@ def mixture(p: np.ndarray, n: np.ndarray) -> tuple[list[int], np.ndarray]:
     return chosen, share
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and their gram likelihoods (language x bucket). docs: doc_id, text, lang."""
-    spark = docs.sparkSession
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, totals: dict[str, int] | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages and their gram likelihoods (language x bucket). docs: doc_id, text, lang. totals: documents of each language, if known."""
     rows = docs.where((fold_bucket() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    totals = totals or {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
         return [], np.empty((0, BUCKETS))
-    full = 1 << 20
-    cutoffs = spark.createDataFrame([(k, int(full * min(1.0, per_language / v))) for k, v in totals.items()], "lang string, cutoff int")
-    sample = rows.join(F.broadcast(cutoffs), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(full)) < F.col("cutoff")).select("lang", "text")
+    chosen = F.lit(False)
+    for lang, n in sorted(totals.items()):
+        if n > per_language:
+            chosen = F.when(F.col("lang") == lang, sampled(["doc_id", "text"], per_language, n, 11)).otherwise(chosen)
+    few = [lang for lang, n in totals.items() if n <= per_language]
+    sample = rows.where(F.col("lang").isin(few) | chosen).select("lang", "text").distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts in units of 2^-20, a document weighing at most 3,000 grams: whole numbers, so that their order does not matter."""
         held: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, text in zip(pdf.lang, pdf.text, strict=True):
                 at, n = gram_counts(text)
                 if lang not in held:
-                    held[lang] = np.zeros(BUCKETS)
-                held[lang][at] += n / max(1.0, n.sum() / 3000)
+                    held[lang] = np.zeros(BUCKETS, np.int64)
+                held[lang][at] += np.rint(n * (UNIT / max(1.0, n.sum() / 3000))).astype(np.int64)
         for lang, n in held.items():
             at = np.nonzero(n)[0]
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
 
-    grams = sample.mapInPandas(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    grams = sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(totals)
     table = np.full((len(langs), BUCKETS), 0.5)
-    np.add.at(table, (grams.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(int), grams.bucket.to_numpy(int)), grams.n.to_numpy(float))
+    np.add.at(table, (grams.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(int), grams.bucket.to_numpy(int)), grams.n.to_numpy(float) / UNIT)
     return langs, table / table.sum(1, keepdims=True)
 
 
 def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, and mixture: the chosen languages with their proportions, largest first."""
-    spark = docs.sparkSession
-    small_batches(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     langs, table = learn(base, per_language)
     table = table.astype(np.float32)

@@ -1,14 +1,14 @@
 """Main text of a web page as the maximum-scoring contiguous run of its tokens.
 
 A page is a sequence of word and tag tokens. Words score by how often words of their innermost container are inside the article
-on labelled pages, tags cost the more the less often they are inside; both weights are learnt from a bounded sample (SAMPLE
-pages, chosen by a hash of the id) of pages that mark their article themselves (article or main element), on top of fixed
+on labelled pages, tags cost the more the less often they are inside; both weights are learnt from a bounded sample (about
+SAMPLE pages, chosen by a hash) of pages that mark their article themselves (article or main element), on top of fixed
 priors for tags that the sample may lack. Tokens inside boilerplate containers are counted apart from all others. One linear scan
 finds the best run. Inside it, scripts, styles, forms and containers that are boilerplate by name are left out, character references
 are decoded, inline tags join and block tags separate words.
 
 Never boilerplate: html and body; what holds an article or main, or, on pages that mark none, most of the words; inside an
-article or main what holds most of its words, and names that are usual for its own text (INNER_NOISE has the others). Aside, nav,
+article or main what holds most of its words, the headings of a header, and names that are usual for its own text (INNER_NOISE has the others). Aside, nav,
 footer and the like stay boilerplate whatever they hold, unless the page's only article or main is in them.
 
 Defined results: null or empty html, and pages where no run scores above zero, give the empty text. Whole pages are read,
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import small_batches
+from memlake.llm.common import sampled
 
 SAMPLE = 800
 
@@ -41,6 +41,7 @@ NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|co
 INNER_NOISE = re.compile(r"(?:^|[\s_-])(?:(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|popup|modal|newsletter|subscribe|share|sharing|social|sidebar|recommend\w*|comments?|reply|replies|disqus|breadcrumbs?|nav\w*|menu|footer|widget|login|signup|pagination|pager)(?:$|[\s_-])|related(?:[_-](?:articles?|content|items?|links?|news|posts?|stories))?(?:$|\s))", re.I)
 MAIN = {"article", "main"}
 ROOT = {"html", "body"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements of BOILERPLATE that some pages put around everything.
 WRAPPERS = {"form", "fieldset", "dialog", "header"}
 
@@ -98,7 +99,7 @@ def _holders(nodes: list[list]) -> None:
 def parse(page: str) -> list[tuple]:
     """Tokens with context: (is_word, key, main, noise, text). Words' key is the innermost block container, tags' their own."""
     found, stack, nodes = [], [0], [["", False, 0, 0, 0, 0]]
-    named = [""]
+    named, standing = [""], Counter()
     for kind, name, data in tokens(page):
         if kind == "text":
             if data:
@@ -106,7 +107,7 @@ def parse(page: str) -> list[tuple]:
                 nodes[stack[-1]][4] += len(data.split())
         elif kind == "open":
             if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and nodes[stack[-1]][0] == name and name not in VOID and not data.rstrip().endswith("/"):
-                stack.pop()
+                standing[nodes[stack.pop()][0]] -= 1
             around = nodes[stack[-1]][3] or (stack[-1] if nodes[stack[-1]][0] in MAIN else 0)
             key, bad = _key(name, data, around > 0)
             nodes.append([name, bad, stack[-1], around, 0, 0])
@@ -114,18 +115,22 @@ def parse(page: str) -> list[tuple]:
             found.append(("open", len(nodes) - 1, name))
             if name not in VOID and not data.rstrip().endswith("/") and name not in RAW:
                 stack.append(len(nodes) - 1)
+                standing[name] += 1
+        elif standing[name]:
+            while nodes[stack[-1]][0] != name:
+                standing[nodes[stack.pop()][0]] -= 1
+            standing[name] -= 1
+            found.append(("close", stack.pop(), name))
         else:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]][0] == name), None)
-            if at is not None:
-                found.append(("close", stack[at], name))
-                del stack[at:]
-            else:
-                found.append(("stray", stack[-1], name))
+            found.append(("stray", stack[-1], name))
     if any(x[1] for x in nodes):
         _holders(nodes)
-    noise, keys, block = [False], [""], ["body"]
-    for (name, bad, parent, _, _, _), key in zip(nodes[1:], named[1:], strict=True):
-        noise.append(noise[parent] or bad)
+    noise, keys, block, cause = [False], [""], ["body"], [0]
+    for i, ((name, bad, parent, _, _, _), key) in enumerate(zip(nodes[1:], named[1:], strict=True), 1):
+        cause.append(cause[parent] or (i if bad else 0))
+        headline = name in HEADINGS and nodes[cause[i]][0] == "header" and nodes[cause[i]][3] > 0
+        cause[i] *= not headline
+        noise.append(cause[i] > 0)
         keys.append(key if bad else name)
         block.append(block[parent] if name in INLINE or name in MAIN else keys[-1])
     out = []
@@ -195,12 +200,10 @@ def extract(page: str | None, weights: Weights) -> str:
     return " ".join("".join(pieces).split())
 
 
-def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Token counts of at most ``sample`` pages that mark their article; pages: page_id, html."""
+def learn(pages: DataFrame, sample: int = SAMPLE, rows: int | None = None) -> Weights:
+    """Token counts of about ``sample`` different pages that mark their article; pages: page_id, html. rows: how many there are, if known."""
     picked = pages.where(F.col("html").rlike(r"(?i)<(?:article|main)[\s>]")).select("page_id", "html")
-    n = picked.count()
-    full = 1 << 20
-    picked = picked.where(F.pmod(F.xxhash64("page_id", F.lit(9)), F.lit(full)) < int(full * min(1.0, sample / max(n, 1)))).limit(2 * sample)
+    picked = picked.where(sampled(["page_id", "html"], sample, picked.count() if rows is None else rows)).distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inside, seen = Counter(), Counter()
@@ -221,7 +224,6 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars."""
-    small_batches(pages.sparkSession)
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     weights = learn(base, sample)
 
