@@ -1,8 +1,10 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Each document becomes the set of its 5-word shingles. Documents with equal sets form one class; the join runs over classes.
-Independent trees branch the classes by selected minwise tokens: a first token per tree, then two more, then four more, chosen
-by a hash of the path so far. Nodes with few members are compared exhaustively. Every member of a larger node is compared with a
+Independent trees branch the classes by selected minwise tokens: a first token per tree, then two more, then four more at each
+level, chosen by a hash of the path so far. Nodes with few members are compared exhaustively, from the third level on nodes of up to
+BLOCKED members in blocks; larger ones are branched until they are small (a node still larger after seven levels, whose members share 23
+tokens, is compared in blocks too). Every member of a larger node is compared with a
 few pivots; a node most of whose members are like a pivot is a group of copies, which branching would not divide, and is
 kept for the second round; other large nodes are branched further. A 256-bit sketch drops pairs that are far below the threshold and
 every remaining pair is confirmed on the full sets. Members already connected are not compared again: a second round
@@ -10,9 +12,10 @@ confirms only pairs whose ends are still in different components. For large node
 component with every other member; they meet in blocks of bounded size, from which only a spanning forest of the links leaves, so
 that no link is lost to the size of a node (only to the sketch, see recall) and no list of its pairs is made.
 
-Recall: a pair at similarity s survives one tree with probability about s * (1-(1-s^2)^3) * (1-(1-s^4)^4); at 0.85 eight
-trees miss about 1 pair in 200,000, at 0.8 about 1 in 7,000, and components have many more ways to meet. The sketch is the same for
-all trees and blocks: it drops at most 1 pair in 10 million at the threshold, fewer above it.
+Recall: a pair at similarity s survives one tree's first three levels with probability about s * (1-(1-s^2)^3) * (1-(1-s^4)^4);
+were the trees independent, eight would miss about 1 pair in 200,000 at 0.85 and 1 in 7,000 at 0.8. They share the DEEP tokens of the
+lower levels, so the README gives the recall as measured. The sketch is the same for all trees and blocks: it drops at most 1
+pair in 10 million at the threshold, fewer above it.
 
 Defined results: null or blank text has an empty set, n_shingles 0, and is linked with nothing; a null doc_id takes part
 through its text but never becomes a component id (it gets the component of its text, null if no other row has that text) and
@@ -30,16 +33,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import components, cut, small_batches
+from memlake.llm.common import components, cut
 
 TREES = 8
-DEEP = 32
+DEEP = 56
 COORDS = 64
 SMALL_NODE = 32
 #: Rows and shingles of a block, as large groups are compared.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: (tokens chosen, branches) of the levels below the first.
-LEVELS = ((2, 3), (4, 4))
+LEVELS = ((2, 3), (4, 4), (4, 6), (4, 6), (4, 6), (4, 6))
+#: From this level on nodes up to this size are small enough for the exhaustive comparison in blocks.
+BLOCKED_FROM, BLOCKED = 2, 1024
 #: Chance that the sketch drops a pair at the threshold.
 SKETCH_LOSS = 1e-7
 
@@ -208,7 +213,6 @@ def _ordered(a, b):
 def chosen_path_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links are pairs with 100*|A and B| >= percent*|A or B|."""
     spark = docs.sparkSession
-    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(base.mapInPandas(_signatures(width, "doc_id", "text"), "doc_id long, n int, cid binary, tops array<long>, deep array<int>, s0 long, s1 long, s2 long, s3 long"))
     classes = cut(
@@ -236,9 +240,11 @@ def chosen_path_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rest = cut(rest.join(cut(alike), "node"))
         held.append(rest.where("share >= 0.5").drop("share"))
         rest = rest.where("share < 0.5").drop("share")
-        if level == len(LEVELS):
-            held.append(rest)
-        else:
+        if level >= BLOCKED_FROM:
+            sized = cut(rest.join(sizes, "node"))
+            held.append(sized.where((F.col("size") <= BLOCKED) | F.lit(level == len(LEVELS))).drop("size"))
+            rest = sized.where(F.col("size") > BLOCKED).drop("size")
+        if level < len(LEVELS):
             tokens, branches = LEVELS[level]
             seeded = rest.join(classes.select("cid", "deep"), "cid").select("*", F.explode(F.array(*[F.lit(b) for b in range(branches)])).alias("branch"))
             chosen = [F.element_at("deep", (F.pmod(F.xxhash64("node", "branch", F.lit(t)), F.lit(DEEP)) + 1).cast("int")) for t in range(tokens)]
