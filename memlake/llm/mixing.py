@@ -8,8 +8,8 @@ epochs and a token-prefix of one more, in an order seeded by epoch. The prefix i
 units fall into hash buckets of about BUCKET units, bucket sums are accumulated, and only the bucket where the budget ends is
 ordered.
 
-A unit is a document id: rows that share an id, a null id too, are one unit with their tokens summed and the least level names.
-Null levels are the level ``null``. Weights are by path ("a", "a/b", ...) or, failing that, by the level's own name, failing that
+A unit is a document id: rows that share an id are one unit with their tokens summed and the least level names. Rows with a null
+id are one unit only where their levels and texts are equal. Null levels are the level ``null``. Weights are by path ("a", "a/b", ...) or, failing that, by the level's own name, failing that
 1; weight 0 takes nothing. Units without tokens are never selected. Empty tables give no rows. Extra columns are ignored.
 """
 
@@ -39,7 +39,7 @@ def _weight(paths: list[str], weights: dict[str, float]) -> Column:
 
 def _order(seed: int, epoch: Column) -> Column:
     """40 seeded bits of a unit in an epoch."""
-    key = F.concat_ws(":", F.lit(seed).cast("string"), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    key = F.concat_ws(":", F.lit(seed).cast("string"), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.col("unit"))))
     return F.conv(F.substring(F.md5(key), 1, _BITS // 4), 16, 10).cast("long")
 
 
@@ -66,10 +66,16 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, float], bud
     return rows.join(shared, levels).select(*levels, "tokens", "units", F.floor(F.col("given") + 1e-6).cast("long").alias("budget"))
 
 
+def nameless(id_col: Column, levels: list[Column], content: Column) -> Column:
+    """What tells rows with a null id apart: a hash of levels and content; null where there is an id."""
+    return F.when(id_col.isNull(), F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("null")) for c in levels], content))
+
+
 def mix(docs: DataFrame, levels: list[str], weights: dict[str, float], share: float = 1.0, max_epochs: int = 4, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """doc_id, the levels, epoch (from 0), n_tokens, taken (tokens used in that epoch). Budget: ``share`` of all tokens."""
-    base = docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c) for c in levels], (F.col(count_col).cast("long") if count_col else word_count(text_col)).alias("n_tokens"))
-    units = cut(base.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in levels], F.sum("n_tokens").alias("n_tokens")).where("n_tokens > 0"))
+    """doc_id, unit (of rows with a null id, see ``nameless``), the levels, epoch (from 0), n_tokens, taken (tokens used in that epoch). Budget: ``share`` of all tokens."""
+    own = nameless(F.col(id_col), [F.col(c) for c in levels], F.col(count_col or text_col))
+    base = docs.select(F.col(id_col).alias("doc_id"), own.alias("unit"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c) for c in levels], (F.col(count_col).cast("long") if count_col else word_count(text_col)).alias("n_tokens"))
+    units = cut(base.groupBy("doc_id", "unit").agg(*[F.min(c).alias(c) for c in levels], F.sum("n_tokens").alias("n_tokens")).where("n_tokens > 0"))
     leaves = cut(units.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("units")))
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first().n
     plan = budgets(leaves, levels, weights, float(int(total * share)), max_epochs)
@@ -81,11 +87,11 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, float], share: fl
     sums = cut(sums.withColumn("before", F.coalesce(F.sum("held").over(run), F.lit(0))).select(*levels, "bucket", "held", "before"))
     rows = placed.join(sums, [*levels, "bucket"])
     ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") > F.col("rest"))
-    inside = Window.partitionBy(*levels, "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*levels, "bucket").orderBy("order", "doc_id", "unit").rowsBetween(Window.unboundedPreceding, -1)
     last = rows.where(ends).withColumn("room", F.col("rest") - F.col("before") - F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     last = last.withColumn("part", F.greatest(F.lit(0), F.least("n_tokens", "room")))
     other = rows.where(~ends).withColumn("part", F.when(F.col("before") < F.col("rest"), F.col("n_tokens")).otherwise(0))
-    keep = ["doc_id", *levels, "n_tokens", "whole", "part"]
+    keep = ["doc_id", "unit", *levels, "n_tokens", "whole", "part"]
     both = last.select(*keep).union(other.select(*keep)).where("whole > 0 or part > 0")
     epochs = F.sequence(F.lit(0), F.col("whole") - F.when(F.col("part") > 0, 0).otherwise(1))
-    return both.select("*", F.explode(epochs).alias("epoch")).select("doc_id", *levels, "epoch", "n_tokens", F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens")).otherwise(F.col("part")).alias("taken"))
+    return both.select("*", F.explode(epochs).alias("epoch")).select("doc_id", "unit", *levels, "epoch", "n_tokens", F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens")).otherwise(F.col("part")).alias("taken"))
