@@ -1,90 +1,10 @@
-"""A training corpus in five stages: drop toxic documents, keep one of each near-duplicate group, redact personal data, mix
-sources to target weights, pack into sequences.
-
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and reread as the next
-stage's docs. All but the last return the columns of documents; extra columns pass through.
-"""
+"""The corpus pipeline: a corpus made ready for training in five stages, defined in ``memlake.llm.stages``."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from memlake.llm.best_fit import best_fit
-from memlake.llm.chosen_path import chosen_path_join
-from memlake.llm.common import cut, scratch_dir, small_batches
-from memlake.llm.mixing import mix
-from memlake.llm.pii_labelers import fit, redact, with_spans
-from memlake.llm.toxicity_fm import learn, scorer
-
-#: Target weights by language; sources of a language weigh the same.
-WEIGHTS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
-EPOCHS = 2
-#: Documents are near duplicates from this percentage of common 5-word shingles on.
-SIMILAR = 80
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine does not predict toxic. The machine is learnt from the labels of ``sf_dir``."""
-    small_batches(spark)
-    score = scorer(learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    text = F.col("text").cast("string")
-    return docs.withColumn("_score", score(text)).where("_score < 0.5").drop("_score")
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: the one with the least id, one with a null id only where no other row has an id. Every
-    row takes part by a key of its own, so rows that share an id but not their text are told apart. Rows without words have no near
-    duplicates; of those, repeated rows with an id stay once."""
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = chosen_path_join(rows, id_col="_row", percent=SIMILAR).select(F.col("doc_id").alias("_row"), "component_id", (F.col("n_shingles") == 0).alias("_blank"))
-    keys = rows.select("_row", "doc_id", F.xxhash64("text").alias("_text")).join(found, "_row")
-    repeated = F.col("_blank") & F.col("doc_id").isNotNull()
-    group = [F.when(~repeated, F.col("component_id")).alias("g"), F.when(repeated, F.col("doc_id")).alias("i"), F.when(repeated, F.col("_text")).alias("t")]
-    kept = cut(keys.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")).select("_row"))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
-
-
-def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with each span of personal data replaced by its kind in brackets and n_chars counted anew where it changed."""
-    rows = with_spans(docs, fit(docs))
-    hit = F.size("spans") > 0
-    rows = rows.withColumn("text", F.when(hit, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
-    return rows.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the target proportions of languages and sources, as many tokens as there are; a document is repeated for
-    each epoch that it is selected in, and the one at which a source's budget ends is kept whole."""
-    chosen = mix(docs, ["lang", "source"], WEIGHTS, 1.0, EPOCHS)
-    times = cut(chosen.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_times")))
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(docs.columns)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every document's pieces in sequences of permitted lengths."""
-    return best_fit(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("minhash_dedup", drop_near_duplicates),
-    ("pii", redact_personal_data),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
+from memlake.llm.stages import STAGES, drop_near_duplicates, drop_toxic, mix_sources, pack_sequences, redact_personal_data, run
 
+#: SQL cannot express the stages; they are tested in tests/llm.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = f"{scratch_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "drop_near_duplicates", "drop_toxic", "mix_sources", "pack_sequences", "redact_personal_data", "run"]
