@@ -37,24 +37,26 @@ def rank(level: Column) -> Column:
 
 
 def strictest(level: str = "access_level", shared: str = "shared_with") -> tuple[Column, Column]:
-    """Aggregates of a group of records: its strictest level and who is left of the lists of its shared and restricted members.
-    Listed principals are those in as many of these lists as there are; none left makes the level private."""
+    """Aggregates of a group of records: its strictest level, and for shared and restricted ones the principals that are in the lists
+    of all shared and restricted members, perhaps none. Other levels have no principals."""
     named = F.col(level).isin("shared", "restricted")
     lists = F.collect_set(F.when(named, F.array_sort(F.array_distinct(shared))))
-    left = F.when(F.size(lists) > 0, F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0))), F.get(lists, F.lit(0)), F.array_intersect)).otherwise(F.array().cast("array<string>"))
+    left = F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0))), F.get(lists, F.lit(0)), F.array_intersect)
     least = F.get(F.array(*[F.lit(x) for x in LEVELS]), F.min(rank(F.col(level))))
-    return F.when(least.isin("shared", "restricted") & (F.size(left) == 0), "private").otherwise(least), F.array_sort(left)
+    return least, F.when(least.isin("shared", "restricted"), F.array_sort(left)).otherwise(F.array().cast("array<string>"))
 
 
 def assigned(asked: Column, principals: Column, scope: Column) -> Column:
-    """The level of a write: the asked one or the connection's default, refused if wider than the connection or without the
-    principals it needs. A struct (level, error)."""
-    default = F.when(scope == "personal", "private").otherwise("org")
-    level = F.coalesce(asked, default)
-    ceiling = F.when(scope == "personal", rank(F.lit("shared"))).otherwise(rank(F.lit("public")))
+    """The level of a write, a struct (level, principals, error). A shared connection writes for the organisation, a personal one or none
+    privately, unless a level is asked for. A connection is a ceiling: a level wider than its own is refused; without a
+    connection nothing is. Shared and restricted need principals, other levels drop them."""
+    default = F.when(scope == "shared", "org").otherwise("private")
+    level = F.coalesce(F.nullif(asked, F.lit("")), default)
+    needs = level.isin("shared", "restricted")
+    listed = F.array_sort(F.array_distinct(F.coalesce(principals, F.array().cast("array<string>"))))
     error = (
         F.when(~level.isin(*LEVELS), "unknown_level")
-        .when(rank(level) > ceiling, "wider_than_connection")
-        .when(level.isin("shared", "restricted") & (F.size(principals) == 0), "principals_required")
+        .when(scope.isNotNull() & (rank(level) > rank(default)), "wider_than_connection")
+        .when(needs & (F.size(listed) == 0), "principals_required")
     )
-    return F.struct(level.alias("level"), error.alias("error"))
+    return F.struct(level.alias("level"), F.when(needs, listed).otherwise(F.array().cast("array<string>")).alias("principals"), error.alias("error"))

@@ -16,22 +16,23 @@ def acl_visible(spark, sf_dir):
   SELECT project_id, min(list_position(['private','restricted','shared','org','public'], access_level)) AS r,
     list(DISTINCT list_sort(shared_with)) FILTER (access_level IN ('shared','restricted')) AS l FROM items GROUP BY 1),
 h AS (SELECT *, CASE WHEN l IS NULL THEN [] ELSE list_sort(list_reduce(l, lambda a, b: list_intersect(a, b))) END AS p FROM g)
-SELECT project_id, CASE WHEN r IN (2, 3) AND len(p) = 0 THEN 'private' ELSE ['private','restricted','shared','org','public'][r] END AS level,
-  array_to_string(p, ',') AS principals FROM h""")
+SELECT project_id, ['private','restricted','shared','org','public'][r] AS level, CASE WHEN r IN (2, 3) THEN array_to_string(p, ',') ELSE '' END AS principals FROM h""")
 def acl_strictest(spark, sf_dir):
     level, left = strictest()
     return items(spark, sf_dir).groupBy("project_id").agg(level.alias("level"), F.array_join(left, ",").alias("principals"))
 
 
-@query(f"""WITH {ITEMS_SQL} SELECT data_id, CASE WHEN data_id % 4 = 0 THEN NULL ELSE access_level END AS asked,
-  coalesce(CASE WHEN data_id % 4 = 0 THEN NULL ELSE access_level END, CASE WHEN data_id % 2 = 0 THEN 'private' ELSE 'org' END) AS level,
-  CASE WHEN data_id % 2 = 0 AND data_id % 4 <> 0 AND access_level IN ('org','public') THEN 'wider_than_connection'
-       WHEN data_id % 4 <> 0 AND access_level IN ('shared','restricted') AND data_id % 3 = 0 THEN 'principals_required' END AS error FROM items""")
+@query(f"""WITH {ITEMS_SQL}, w AS (SELECT data_id, CASE WHEN data_id % 4 <> 0 THEN access_level END AS asked, ['shared', 'personal', NULL][(data_id % 3 + 1)::INT] AS scope,
+  CASE WHEN data_id % 7 = 0 THEN [] ELSE list_sort(list_distinct(shared_with)) END AS listed FROM items),
+l AS (SELECT *, CASE WHEN asked IS NOT NULL THEN asked WHEN scope = 'shared' THEN 'org' ELSE 'private' END AS level FROM w)
+SELECT data_id, asked, scope, level, CASE WHEN level IN ('shared', 'restricted') THEN array_to_string(listed, ',') ELSE '' END AS principals,
+  CASE WHEN scope = 'personal' AND level <> 'private' THEN 'wider_than_connection' WHEN scope = 'shared' AND level = 'public' THEN 'wider_than_connection'
+       WHEN level IN ('shared', 'restricted') AND len(listed) = 0 THEN 'principals_required' END AS error FROM l""")
 def acl_for_write(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumn("asked", F.when(F.col("data_id") % 4 != 0, F.col("access_level")))
-    scope = F.when(F.col("data_id") % 2 == 0, "personal").otherwise("shared")
-    listed = F.when(F.col("data_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("shared_with"))
-    return rows.withColumn("a", assigned(F.col("asked"), listed, scope)).select("data_id", "asked", "a.level", "a.error")
+    scope = F.when(F.col("data_id") % 3 == 0, "shared").when(F.col("data_id") % 3 == 1, "personal")
+    listed = F.when(F.col("data_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("shared_with"))
+    rows = items(spark, sf_dir).withColumn("asked", F.when(F.col("data_id") % 4 != 0, F.col("access_level"))).withColumn("scope", scope)
+    return rows.withColumn("a", assigned(F.col("asked"), listed, F.col("scope"))).select("data_id", "asked", "scope", "a.level", F.array_join("a.principals", ",").alias("principals"), "a.error")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT data_id, left(text, 80) AS preview, event_time FROM seen WHERE data_id < 500 ORDER BY data_id DESC LIMIT 50")
