@@ -10,35 +10,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: what parts paragraphs.
 _BREAK = re.compile(r"\n\s*\n")
 
 
+def paragraphs(text: str) -> list[tuple[int, int]]:
+    """Spans between the breaks, breaks left out; the whole text if there is nothing else."""
+    breaks = [m.span() for m in _BREAK.finditer(text)]
+    edges = zip([0, *[b for _, b in breaks]], [*[a for a, _ in breaks], len(text)], strict=True)
+    return [(a, b) for a, b in edges if b > a] or [(0, len(text))]
+
+
+def windows(a: int, b: int, most: int, overlap: int) -> list[tuple[int, int]]:
+    step = most - overlap if most > overlap else most
+    count = 1 + max(0, -(-(b - a - most) // step))
+    return [(a + i * step, min(a + i * step + most, b)) for i in range(count)]
+
+
 def spans(text: str, most: int = 1200, overlap: int = 150) -> list[tuple[int, int]]:
-    """Paragraphs packed while a chunk stays within ``most`` characters; a longer paragraph is cut into windows that overlap;
-    blank chunks are left out. Spans count code points."""
-    ends = [m.end() for m in _BREAK.finditer(text)]
-    edges = [0, *ends, len(text)]
+    """Paragraphs packed while a chunk, from the first one's start to the last one's end, stays within ``most`` characters; a longer
+    paragraph is cut into windows that overlap; blank chunks are left out. Spans count code points."""
     out: list[tuple[int, int]] = []
-    start = None
-    stop = 0
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if start is not None and b - start > most:
-            out.append((start, stop))
-            start = None
-        if start is None:
-            if b - a > most:
-                at = a
-                while at < b:
-                    to = min(at + most, b)
-                    out.append((at, to))
-                    if to == b:
-                        break
-                    at = max(to - overlap, at + 1)
-                continue
-            start = a
-        stop = b
-    if start is not None:
-        out.append((start, stop))
+    open_ = False
+    for a, b in paragraphs(text):
+        if b - a > most:
+            out += windows(a, b, most, overlap)
+            open_ = False
+        elif open_ and b - out[-1][0] <= most:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+            open_ = True
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
@@ -54,10 +56,12 @@ def chunks(texts: DataFrame, most: int = 1200, overlap: int = 150) -> DataFrame:
 
 
 def hash_embedding(text: str | None, dim: int) -> np.ndarray:
+    """Signed counts of hashed tokens, length one. The first four bytes of a token's digest choose the place, the low bit of the fifth
+    the sign; a text without tokens, or whose tokens cancel out, points along the first axis."""
     v = np.zeros(dim)
     for token in re.findall(r"[a-z0-9]+", (text or "").lower()):
-        h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
-        v[h % dim] += 1.0 if h >> 63 else -1.0
+        h = hashlib.blake2b(token.encode(), digest_size=8).digest()
+        v[int.from_bytes(h[:4], "big") % dim] += 1.0 if h[4] % 2 else -1.0
     n = np.linalg.norm(v)
     if not n:
         v[0] = n = 1.0

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.written import written
+
 
 def expiry(added: str = "added_at", ttl: str = "ttl") -> Column:
     """When a membership ends; null if its memory's type has no time to live."""
@@ -22,14 +26,16 @@ def effective_expiry(memberships: DataFrame) -> DataFrame:
 
 def closure(links: DataFrame, roots: DataFrame, depth: int = 12) -> DataFrame:
     """links: child, parent; roots: root. (root, id, depth) of everything contained, the root itself included, at its least depth.
-    Frontier joins up to ``depth`` levels, ending when a level finds nothing new, so cycles and diamonds end too."""
+    Frontier joins up to ``depth`` levels, ending when a level finds nothing new, so cycles and diamonds end too. Each frontier is
+    written before the next is planned."""
+    below = written(links.select(F.col("parent").alias("id"), "child").distinct())
     met = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct()
     frontier = met
     for d in range(1, depth + 1):
-        step = frontier.join(links.select(F.col("parent").alias("id"), "child"), "id").select("root", F.col("child").alias("id")).distinct().join(met, ["root", "id"], "left_anti")
-        if step.isEmpty():
+        step = frontier.join(below, "id").select("root", F.col("child").alias("id")).distinct().join(met.select("root", "id"), ["root", "id"], "left_anti")
+        frontier = written(step.withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
             break
-        frontier = step.withColumn("depth", F.lit(d))
         met = met.union(frontier)
     return met
 
@@ -67,3 +73,15 @@ def route_cases(records: DataFrame, cases: DataFrame) -> DataFrame:
     inferred = mine.join(theirs, "identifier").select("data_id", "case_id", F.lit(0.8).alias("confidence"))
     best = asserted.union(inferred).groupBy("data_id", "case_id").agg(F.max("confidence").alias("confidence"))
     return best.withColumn("basis", F.when(F.col("confidence") == 1.0, "asserted").otherwise("inferred"))
+
+
+def purged(store: DataFrame, gone: DataFrame, reached: Column) -> DataFrame:
+    """What a purge leaves of a store: rows of records that are not ``gone``, and those that it did not reach."""
+    marked = store.join(gone.select("data_id", F.lit(True).alias("gone")), "data_id", "left")
+    return marked.where(F.col("gone").isNull() | ~F.coalesce(reached, F.lit(False))).drop("gone")
+
+
+def remaining(stores: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
+    """tab, remaining, complete: rows of each store that still refer to a record that is ``gone``."""
+    counts = [rows.join(gone, "data_id", "left_semi").agg(F.count("*").alias("remaining")).select(F.lit(name).alias("tab"), "remaining") for name, rows in stores.items()]
+    return reduce(DataFrame.union, counts).withColumn("complete", F.col("remaining") == 0)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.operators.written import written
+
 
 def holds_at(when: Column, start: str = "valid_from", end: str = "valid_to") -> Column:
     """Half-open: start <= when < end, an open end never passed."""
@@ -14,13 +16,13 @@ def holds_at(when: Column, start: str = "valid_from", end: str = "valid_to") ->
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """edges: a, b, undirected; seeds: id. Each reachable id with its least number of hops. Unrolled frontier joins: each level
-    joins only what is new and drops what was met before, so paths are not enumerated."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    joins only what is new and drops what was met before, so paths are not enumerated; frontiers are written, so plans stay small."""
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     met = seeds.select("id", F.lit(0).alias("hops")).distinct()
     frontier = met
     for h in range(1, hops + 1):
-        step = frontier.join(both.withColumnRenamed("a", "id"), "id").select(F.col("b").alias("id")).distinct().join(met, "id", "left_anti")
-        frontier = step.withColumn("hops", F.lit(h))
+        step = frontier.join(both.withColumnRenamed("a", "id"), "id").select(F.col("b").alias("id")).distinct().join(met.select("id"), "id", "left_anti")
+        frontier = written(step.withColumn("hops", F.lit(h)))
         met = met.union(frontier)
     return met
 
@@ -29,8 +31,8 @@ def supersede(claims: DataFrame) -> DataFrame:
     """claims of one single-valued relation: subject, object, valid_from, fact_id (order of arrival) -> the facts they leave:
     subject, object, fact_id, valid_from, valid_to, evidence.
 
-    A claim equal to an open fact is more evidence for it and may move its start back. A new fact closes the subject's other open
-    facts that start strictly earlier; an older claim that arrives late stays open beside the newer one. What a claim does
+    A claim equal to an open fact is more evidence for it and may move its start back. Every claim closes, at its own date, the subject's other
+    open facts that start strictly earlier; an older claim that arrives late stays open beside the newer one. What a claim does
     depends on the facts left by earlier ones, so each subject is folded in order of arrival."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -40,13 +42,11 @@ def supersede(claims: DataFrame) -> DataFrame:
             if same:
                 same["evidence"] += 1
                 same["valid_from"] = min(same["valid_from"], c.valid_from)
-                start = same["valid_from"]
             else:
-                start = c.valid_from
-                facts.append({"subject": c.subject, "object": c.object, "fact_id": c.fact_id, "valid_from": start, "valid_to": None, "evidence": 1})
+                facts.append({"subject": c.subject, "object": c.object, "fact_id": c.fact_id, "valid_from": c.valid_from, "valid_to": None, "evidence": 1})
             for f in facts:
-                if f["object"] != c.object and f["valid_to"] is None and f["valid_from"] < start:
-                    f["valid_to"] = start
+                if f["object"] != c.object and f["valid_to"] is None and f["valid_from"] < c.valid_from:
+                    f["valid_to"] = c.valid_from
         out = pd.DataFrame(facts, columns=["subject", "object", "fact_id", "valid_from", "valid_to", "evidence"])
         return out.assign(valid_to=pd.to_datetime(out.valid_to))
 

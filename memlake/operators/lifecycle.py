@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.operators.written import written
+
 #: Relations by name: what kind of subject and object they take, whether they are structural and whether one value holds at a time.
 REGISTRY = (
     ("located_in", ("customer", "supplier", "nation"), ("nation", "region"), "structural", True),
@@ -27,13 +29,18 @@ def checked_edges(edges: DataFrame) -> DataFrame:
     return known.withColumn("refused", refused).withColumn("class", F.coalesce("class", F.lit("interpretive"))).drop("domain", "range", "single")
 
 
-def merged(entities: DataFrame, depth: int = 4) -> DataFrame:
-    """entities: id, merged_into -> id, survivor: the end of each chain of merges, followed ``depth`` times doubling the reach, so
-    chains of up to 2^depth merges end; a cycle keeps its least member within reach."""
-    at = entities.select("id", F.coalesce("merged_into", "id").alias("survivor"))
-    for _ in range(depth):
-        at = at.join(at.select(F.col("id").alias("survivor"), F.col("survivor").alias("next")), "survivor", "left").select("id", F.coalesce("next", "survivor").alias("survivor"))
-    return at
+def merged(entities: DataFrame) -> DataFrame:
+    """entities: id, merged_into -> id, survivor: the end of each chain of merges. Every round doubles the reach, until no more chains
+    end; what is left then leads into a cycle of merges and stays itself."""
+    at = written(entities.select("id", F.coalesce("merged_into", "id").alias("survivor"), F.coalesce(F.col("merged_into") == F.col("id"), F.lit(True)).alias("done")))
+    left = at.where("not done").count()
+    while left:
+        hop = at.select(F.col("id").alias("survivor"), F.col("survivor").alias("next"), F.col("done").alias("ended"))
+        at = written(at.join(hop, "survivor", "left").select("id", F.coalesce("next", "survivor").alias("survivor"), (F.col("done") | F.coalesce("ended", F.lit(True))).alias("done")))
+        before, left = left, at.where("not done").count()
+        if left == before:
+            break
+    return at.select("id", F.when(F.col("done"), F.col("survivor")).otherwise(F.col("id")).alias("survivor"))
 
 
 def write_results(rows: DataFrame, known: DataFrame, most: int) -> DataFrame:

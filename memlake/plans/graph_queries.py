@@ -16,13 +16,15 @@ def entity_normalize(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), normalize_name(F.col("c_name")).alias("name"), normalize_identifier(mail).alias("identifier"))
 
 
-@query("""WITH m AS (SELECT o_orderkey AS data_id, 'customer#' || lpad((o_custkey % 200)::VARCHAR, 9, '0') AS name, o_custkey FROM orders),
-e AS (SELECT min(c_custkey) AS entity_id, lower(c_name) AS name FROM customer GROUP BY 2)
+@query("""WITH m AS (SELECT o_orderkey AS data_id, 'customer ' || lpad((o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 10000000 ELSE 0 END)::VARCHAR, 9, '0') AS name FROM orders),
+e AS (SELECT min(c_custkey) AS entity_id, replace(lower(c_name), '#', ' ') AS name FROM customer GROUP BY 2)
 SELECT m.data_id, e.entity_id, e.entity_id IS NULL AS created FROM m LEFT JOIN e USING (name)""")
 def entity_resolve(spark, sf_dir):
-    """Mentions to entities by exact normal form; a mention without a match would create one."""
-    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("data_id"), F.concat(F.lit("customer#"), F.lpad((F.col("o_custkey") % 200).cast("string"), 9, "0")).alias("name"))
-    e = table(spark, sf_dir, "customer").groupBy(F.lower("c_name").alias("name")).agg(F.min("c_custkey").alias("entity_id"))
+    """Mentions to entities by their normal form; a mention without a match would create one."""
+    unknown = F.when(F.col("o_orderkey") % 5 == 0, 10_000_000).otherwise(0)
+    written = F.concat(F.lit("Dr. CUSTOMER-"), F.lpad((F.col("o_custkey") + unknown).cast("string"), 9, "0"), F.lit(", Jr."))
+    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("data_id"), normalize_name(written).alias("name"))
+    e = table(spark, sf_dir, "customer").groupBy(normalize_name(F.col("c_name")).alias("name")).agg(F.min("c_custkey").alias("entity_id"))
     return m.join(e, "name", "left").select("data_id", "entity_id", F.col("entity_id").isNull().alias("created"))
 
 

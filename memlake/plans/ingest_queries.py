@@ -29,8 +29,8 @@ def idempotent_replay(spark, sf_dir):
 @query("""WITH i AS (SELECT doc_id AS id, text AS body, CASE WHEN doc_id % 5 = 0 THEN 'manual' END AS declared, CASE WHEN doc_id % 3 = 0 THEN 'chat' END AS memory_default,
     CASE doc_id % 4 WHEN 0 THEN 'text/csv' WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/x-other' END AS claimed FROM documents
   UNION ALL SELECT 1000000 + page_id, html, NULL, NULL, CASE WHEN page_id % 2 = 0 THEN 'text/csv' ELSE 'text/html' END FROM pages),
-s AS (SELECT *, CASE WHEN lower(left(ltrim(body), 1024)) LIKE '<!doctype html%' OR contains(lower(left(ltrim(body), 1024)), '<html') THEN 'text/html'
-    WHEN left(ltrim(body), 1) IN ('{', '[') THEN 'application/json' ELSE 'text/plain' END AS real FROM i),
+s AS (SELECT *, CASE WHEN trim(body, ' ' || chr(9) || chr(10) || chr(13)) = '' OR (regexp_matches(body, '^\\s*[{{\\[]') AND right(body, 1) IN ('}}', ']')) THEN 'application/json'
+    WHEN regexp_matches(lower(left(body, 1024)), '^\\s*(<!doc|<html)') OR (regexp_matches(lower(left(body, 1024)), '^\\s*(<[?]xml|<!--)') AND contains(lower(left(body, 1024)), '<html')) THEN 'text/html' ELSE 'text/plain' END AS real FROM i),
 k AS (SELECT *, CASE real WHEN 'text/html' THEN 'page' WHEN 'application/json' THEN 'record' ELSE 'note' END AS by_real,
     CASE WHEN real = 'text/plain' OR claimed = real THEN CASE claimed WHEN 'text/html' THEN 'page' WHEN 'text/csv' THEN 'table' END END AS believed FROM s)
 SELECT id, coalesce(declared, memory_default, believed, by_real) AS kind, CASE WHEN declared IS NOT NULL THEN 1 WHEN memory_default IS NOT NULL THEN 3 WHEN believed IS NOT NULL THEN 4 ELSE 5 END AS layer FROM k""")

@@ -9,8 +9,8 @@ from memlake.plans.lens import ITEMS_SQL, MEMBERS_SQL, READER, items, members
 from memlake.plans.registry import query, table
 from memlake.streaming.events import as_of, delivery_state, evaluate_gap, new_matches, timeline, verify_machine
 
-SELECTOR = {"k": {"gt": 20, "lt": 80, "not_in": [50, 51]}, "missing": {"exists": False}}
-_SELECTOR_SQL = "coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) > 20 AND TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) < 80, false) AND coalesce(json_extract_string(props, '$.k') NOT IN ('50', '51'), true)"
+SELECTOR = {"k": {"op": "gt", "value": 20}, "missing": {"op": "exists", "value": False}}
+_SELECTOR_SQL = "coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) > 20, false)"
 
 
 def _log(spark, sf_dir):

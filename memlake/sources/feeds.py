@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.selectors import dig
+from memlake.operators.written import written
 
 
 def parse_time(value: Column) -> Column:
@@ -35,10 +36,10 @@ def traverse(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """links: source, target; roots: url. Every address reachable in ``depth`` steps, at its least step."""
     met = roots.select("url", F.lit(0).alias("step")).distinct()
     frontier = met
-    edges = links.select(F.col("source").alias("url"), "target").distinct()
+    edges = written(links.select(F.col("source").alias("url"), "target").distinct())
     for step in range(1, depth + 1):
-        fresh = frontier.join(edges, "url").select(F.col("target").alias("url")).distinct().join(met, "url", "left_anti")
-        frontier = fresh.withColumn("step", F.lit(step))
+        fresh = frontier.join(edges, "url").select(F.col("target").alias("url")).distinct().join(met.select("url"), "url", "left_anti")
+        frontier = written(fresh.withColumn("step", F.lit(step)))
         met = met.union(frontier)
     return met
 

@@ -106,10 +106,29 @@ def turns(lines: DataFrame) -> DataFrame:
 KIND_BY_MIME = {"text/html": "page", "application/json": "record", "text/csv": "table", "text/plain": "note"}
 
 
-def sniffed(content: Column) -> Column:
-    """MIME type by the first 1,024 characters."""
-    head = F.lower(F.substring(F.ltrim(content), 1, 1024))
-    return F.when(head.startswith("<!doctype html") | head.contains("<html"), "text/html").when(head.startswith("{") | head.startswith("["), "application/json").otherwise("text/plain")
+def looks_html(text: Column) -> Column:
+    """The text opens as a page; behind an XML declaration or a comment the page may open within the first 1,024 characters."""
+    head = F.lower(F.substring(F.regexp_replace(text, "^[\\x{FEFF} \\t\\r\\n]+", ""), 1, 1024))
+    return head.startswith("<!doc") | head.startswith("<html") | ((head.startswith("<?xml") | head.startswith("<!--")) & head.contains("<html"))
+
+
+def looks_binary(text: Column) -> Column:
+    """A NUL, or more than three tenths control characters, among the first 4,096 characters."""
+    head = F.substring(text, 1, 4096)
+    controls = F.length(head) - F.length(F.regexp_replace(head, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+    return F.contains(head, F.lit("\x00")) | ((F.length(head) > 0) & (controls > 0.3 * F.length(head)))
+
+
+def sniffed(text: Column) -> Column:
+    """MIME type of a text: JSON if it opens and ends with brackets (an empty text counts), a page by its opening, else plain."""
+    first, last = F.substring(F.regexp_replace(text, r"(?U)^\s+", ""), 1, 1), F.substring(F.regexp_replace(text, r"(?U)^\s+", ""), -1, 1)
+    return F.when(first.isin("{", "[", "") & last.isin("}", "]", ""), "application/json").when(looks_html(text), "text/html").otherwise("text/plain")
+
+
+def sniffed_bytes(content: Column) -> Column:
+    """MIME type of a payload without a magic number: what is not UTF-8, or decodes to control characters, is binary."""
+    text = F.when(F.is_valid_utf8(content), F.decode(content, "utf-8"))
+    return F.when(text.isNull() | looks_binary(text), "application/octet-stream").when(looks_html(text), "text/html").otherwise("text/plain")
 
 
 def classify(declared: Column, memory_default: Column, claimed: Column, content: Column) -> Column:
