@@ -4,11 +4,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.operators.access import visible
-from memlake.operators.containers import closure, duplicates, effective_expiry, expiry, route_cases, summary_spans, would_cycle
+from memlake.operators.containers import closure, duplicates, effective_expiry, expiry, purged, remaining, route_cases, summary_spans, would_cycle
 from memlake.plans.lens import ITEMS_SQL, MEMBERS_SQL, READER, items, members
 from memlake.plans.registry import query, table
 
-_NOW = "2024-01-02 06:00:00"
+_NOW = "2024-01-03 06:00:00"
 _LINKS_SQL = "links AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'r' || r_regionkey, 'w' FROM region UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"
 _EXPIRY_SQL = f"{MEMBERS_SQL}, e AS (SELECT *, added_at + to_seconds(ttl) AS ends FROM members), x AS (SELECT data_id, count_if(ends IS NULL) AS unbounded, max(ends) AS latest FROM e GROUP BY 1), eff AS (SELECT x.data_id, CASE WHEN unbounded = 0 THEN latest END AS expires_at, CASE WHEN unbounded = 0 THEN (SELECT 'm' || min(substr(memory_id, 2)::BIGINT) FROM e WHERE e.data_id = x.data_id AND ends = latest) END AS binding FROM x)"
 
@@ -34,12 +34,12 @@ def memory_context(spark, sf_dir):
     return members(spark, sf_dir).groupBy("memory_id").agg(F.countDistinct("data_id").alias("members"), F.count_if(F.col("role") == "user").alias("asked"), F.max(expiry()).alias("last_expiry"))
 
 
-@query(f"""WITH {MEMBERS_SQL} SELECT DISTINCT m.data_id FROM members m WHERE memory_id = 'm7'
-  AND NOT EXISTS (SELECT 1 FROM members o WHERE o.data_id = m.data_id AND o.memory_id <> 'm7')""")
+@query(f"""WITH {MEMBERS_SQL} SELECT DISTINCT m.memory_id, m.data_id FROM members m
+  WHERE NOT EXISTS (SELECT 1 FROM members o WHERE o.data_id = m.data_id AND o.memory_id <> m.memory_id)""")
 def sole_held(spark, sf_dir):
-    m = members(spark, sf_dir)
-    mine, other = m.where("memory_id = 'm7'").select("data_id").distinct(), m.where("memory_id <> 'm7'").select("data_id")
-    return mine.join(other, "data_id", "left_anti")
+    """Records that one memory alone holds."""
+    held = members(spark, sf_dir).groupBy("data_id").agg(F.min("memory_id").alias("memory_id"), F.max("memory_id").alias("other"))
+    return held.where("memory_id = other").select("memory_id", "data_id")
 
 
 @query(f"""WITH RECURSIVE {_LINKS_SQL}, c(root, id, depth) AS (SELECT 'w', 'w', 0 UNION SELECT root, child, depth + 1 FROM c JOIN links ON parent = id WHERE depth < 12)
@@ -78,15 +78,15 @@ def summary_span(spark, sf_dir):
     return summary_spans(items(spark, sf_dir).where(visible(READER)), "project_id")
 
 
-_CASES_SQL = """r AS (SELECT o_orderkey AS data_id, 'c' || (o_custkey % 500) AS external_id, ['p' || o_orderpriority, 'd' || (o_orderkey % 300)] AS ids FROM orders),
-k AS (SELECT c_custkey AS case_id, 'c' || c_custkey AS case_key, ['d' || (c_custkey * 7), 'x' || c_nationkey] AS ids FROM customer WHERE c_custkey < 100),
+_CASES_SQL = """r AS (SELECT o_orderkey AS data_id, 'c' || o_custkey AS external_id, ['p' || o_orderpriority, 'd' || o_orderkey] AS ids FROM orders),
+k AS (SELECT c_custkey AS case_id, 'c' || c_custkey AS case_key, ['d' || (c_custkey * 7), 'x' || c_nationkey] AS ids FROM customer),
 b AS (SELECT data_id, case_id, max(f) AS confidence FROM (SELECT data_id, case_id, 1.0 AS f FROM r JOIN k ON external_id = case_key
   UNION ALL SELECT data_id, case_id, 0.8 FROM (SELECT data_id, unnest(ids) AS i FROM r) JOIN (SELECT case_id, unnest(ids) AS i FROM k) USING (i)) GROUP BY 1, 2)"""
 
 
 def _cases(spark, sf_dir):
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_custkey < 100")
-    r = o.select(F.col("o_orderkey").alias("data_id"), F.concat(F.lit("c"), F.col("o_custkey") % 500).alias("external_id"), F.array(F.concat(F.lit("p"), "o_orderpriority"), F.concat(F.lit("d"), F.col("o_orderkey") % 300)).alias("identifiers"))
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    r = o.select(F.col("o_orderkey").alias("data_id"), F.concat(F.lit("c"), "o_custkey").alias("external_id"), F.array(F.concat(F.lit("p"), "o_orderpriority"), F.concat(F.lit("d"), "o_orderkey")).alias("identifiers"))
     k = c.select(F.col("c_custkey").alias("case_id"), F.concat(F.lit("c"), "c_custkey").alias("case_key"), F.array(F.concat(F.lit("d"), F.col("c_custkey") * 7), F.concat(F.lit("x"), "c_nationkey")).alias("identifiers"))
     return route_cases(r, k)
 
@@ -115,16 +115,23 @@ def purge_cascade(spark, sf_dir):
     return counted[0].union(counted[1]).union(counted[2])
 
 
-@query("SELECT 'labels' AS tab, 0::BIGINT AS remaining, true AS complete UNION ALL SELECT 'embeddings', 0, true")
+@query(f"""WITH {ITEMS_SQL}, gone AS (SELECT data_id FROM items WHERE project_id = (SELECT min(project_id) FROM items) AND data_id % 11 <> 0)
+SELECT 'labels' AS tab, count(*) AS remaining, count(*) = 0 AS complete FROM labels WHERE doc_id IN (SELECT data_id FROM gone) AND doc_id % 7 = 0
+UNION ALL SELECT 'embeddings', count(*), count(*) = 0 FROM embeddings WHERE vec_id IN (SELECT data_id FROM gone) AND vec_id % 3 = 0
+UNION ALL SELECT 'items', count(*), count(*) = 0 FROM items WHERE data_id IN (SELECT data_id FROM gone) AND deleted""")
 def erasure_proof(spark, sf_dir):
-    """After the purge nothing that refers to an erased record remains."""
-    gone = items(spark, sf_dir).where((F.col("project_id") == "src3") & (F.col("data_id") % 11 != 0)).select("data_id").distinct()
-    out = None
-    for name, key in (("labels", "doc_id"), ("embeddings", "vec_id")):
-        left = table(spark, sf_dir, name).select(F.col(key).alias("data_id")).join(gone, "data_id", "left_anti")
-        part = left.join(gone, "data_id", "left_semi").agg(F.count("*").alias("remaining")).select(F.lit(name).alias("tab"), "remaining", (F.col("remaining") == 0).alias("complete"))
-        out = part if out is None else out.union(part)
-    return out
+    """What still refers to an erased record after a purge that lost a seventh of the labels' deletions and a third of the
+    embeddings' and skipped records already marked as deleted."""
+    rows = items(spark, sf_dir)
+    project = rows.agg(F.min("project_id").alias("project_id"))
+    gone = rows.join(project, "project_id", "left_semi").where("data_id % 11 <> 0").select("data_id").distinct()
+    stores = {
+        "labels": (table(spark, sf_dir, "labels").select(F.col("doc_id").alias("data_id")), F.col("data_id") % 7 != 0),
+        "embeddings": (table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("data_id")), F.col("data_id") % 3 != 0),
+        "items": (rows.select("data_id", "deleted"), ~F.col("deleted")),
+    }
+    after = {name: purged(store, gone, reached).select("data_id") for name, (store, reached) in stores.items()}
+    return remaining(after, gone)
 
 
 @query(f"""WITH {ITEMS_SQL} SELECT data_id, CASE WHEN text = '' THEN 'unparsed' WHEN data_id NOT IN (SELECT vec_id FROM embeddings) THEN 'stored' ELSE 'searchable' END AS sweep

@@ -15,10 +15,10 @@ def write_statuses(spark, sf_dir):
     return write_results(d, d.where("key % 3 = 0"), 5000).select("key", "status")
 
 
-@query(f"WITH {ITEMS_SQL} SELECT data_id, data_id % 13 = 0 AS held FROM items WHERE project_id = 'src2' AND event_time < TIMESTAMP '2024-01-20' AND list_contains(shared_with, 'group:g1')")
+@query(f"WITH {ITEMS_SQL} SELECT data_id, data_id % 13 = 0 AS held FROM items WHERE project_id IS NOT NULL AND event_time < TIMESTAMP '2024-01-20' AND list_contains(shared_with, 'group:g1')")
 def deletion_plan(spark, sf_dir):
     rows = items(spark, sf_dir).withColumn("legal_hold", F.col("data_id") % 13 == 0)
-    due = (F.col("project_id") == "src2") & (F.col("event_time") < F.lit("2024-01-20").cast("timestamp_ntz")) & F.array_contains("shared_with", "group:g1")
+    due = F.col("project_id").isNotNull() & (F.col("event_time") < F.lit("2024-01-20").cast("timestamp_ntz")) & F.array_contains("shared_with", "group:g1")
     return deletion_selection(rows, due).select("data_id", "held")
 
 
