@@ -4,7 +4,7 @@ A page is a sequence of word and tag tokens. Words score by how often words of t
 on labelled pages, tags cost the more the less often they are inside; both weights are learnt from a bounded sample (about
 SAMPLE pages, chosen by a hash) of pages that mark their article themselves (article or main element), on top of fixed
 priors for tags that the sample may lack. Tokens inside boilerplate containers are counted apart from all others. One linear scan
-finds the best run. Inside it, scripts, styles, forms and containers that are boilerplate by name are left out, character references
+finds the best run; boilerplate inside an article or main, left out anyway, costs nothing there. Inside the run, scripts, styles, forms and containers that are boilerplate by name are left out, character references
 are decoded, inline tags join and block tags separate words.
 
 Never boilerplate: html and body; what holds an article or main, or, on pages that mark none, most of the words; inside an
@@ -179,9 +179,9 @@ def extract(page: str | None, weights: Weights) -> str:
     parsed = parse(page)
     best = total = 0.0
     start, span = 0, None
-    for i, (is_word, key, _, noise, data) in enumerate(parsed):
+    for i, (is_word, key, main, noise, data) in enumerate(parsed):
         words = len(data.split()) if is_word else 1
-        if is_word and not words:
+        if not words or noise and main:
             continue
         if total <= 0:
             total, start = 0.0, i
