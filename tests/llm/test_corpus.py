@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 
 from memlake.llm.best_fit import best_fit, pack
+from memlake.llm.common import sampled
 from memlake.llm.chosen_path import COORDS, chosen_path_join, sketch_diff
 from memlake.llm.impact_index import impact_topk
 from memlake.llm.language_mixture import language_mixture
-from memlake.llm.license_index import license_scan
+from memlake.llm.license_index import TEMPLATES, license_scan
 from memlake.llm.main_text import Weights, extract, main_text
 from memlake.llm.mixing import mix
 from memlake.llm.multi_index import multi_index_links, multi_sequence
@@ -350,3 +351,66 @@ def test_near_duplicates_of_rows_without_or_with_one_id(spark):
     assert sorted(((i, str(t)) for i, t in kept if i is not None)) == sorted([(3, b), (7, c), (7, d), (8, ""), (8, "None")])
     got = {(x.doc_id, x.n_shingles): (x.component_id, x.kept) for x in chosen_path_join(spark.createDataFrame([(3, b), (None, b + " tail")], "doc_id long, text string")).collect()}
     assert got == {(3, 96): (3, True), (None, 97): (3, False)}
+
+
+def test_samples_do_not_empty_at_any_size(spark):
+    rows = spark.range(2000)
+    assert rows.where(sampled(["id"], 10**9, 10**10)).count() in range(120, 280)
+    assert rows.where(sampled(["id"], 5000, 2000)).count() == 2000
+    chosen = lambda n: {x.id for x in rows.repartition(n).where(sampled(["id"], 100, 2000)).collect()}
+    assert chosen(1) == chosen(7) and 60 < len(chosen(1)) < 150
+    assert spark.range(1).select(sampled(["id"], 800, 10**10).alias("x")).first().x in (True, False)
+
+
+def test_pii_many_matches(spark):
+    text = " ".join(f"write to user{i}@mail{i}.example.com or 10.0.0.{i % 250} or 555-123-{1000 + i} now" for i in range(3000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii_report(docs).first()
+    assert (got.n_email, got.n_ip, got.base_sha256) == (3000, 3000, brute.span_digest(brute.base_spans(text)))
+
+
+def test_pages_with_many_open_and_stray_tags():
+    import time
+
+    took = []
+    for n in (4000, 8000, 16000):
+        began = time.perf_counter()
+        extract("<div>" * n + "x " + "</p>" * n, Weights({}, {}))
+        took.append(time.perf_counter() - began)
+    assert took[2] < 8 * took[0] + 0.5
+    headline = f"<article><header><h1>The headline</h1><p>by someone</p></header><p>{words(1, 60)}</p></article>"
+    assert extract(headline, Weights({}, {})) == "The headline " + words(1, 60)
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    extra = "candidates string, spans string, base_spans string, score double, _score int, _id long, row long, doc string, times int, unit string, rank int"
+    text = "call +1 (017) 555-7713 or a@b.de"
+    own = ("c", "s", "b", 0.9, 1, 2, 3, "d", 4, "u", 5)
+    docs = spark.createDataFrame([(1, text, "en", "s", 32, *own), (None, words(5, 50), "en", "s", 9, *own)], "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {tuple(x)[5:] for x in out.collect()} == {own}, name
+
+
+def test_licence_notices_near_and_whole(spark):
+    mit = next(t for t in TEMPLATES if t[0] == "mit" and len(t[1].split()) > 50)[1].split()
+    texts = [" ".join(mit), " ".join(mit[:70] + ["really"] + mit[70:]), " ".join(mit[:70] + mit[71:]), " ".join(mit[::-1]), " ".join(mit[:30])]
+    got = {x.doc_id: x for x in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all("mit" in got[i].labels.split(",") for i in (0, 1, 2)) and got[0].score == 1.0 and got[3].labels == ""
+
+
+def test_multi_index_recall_at_twenty_thousand(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(4000, 32))
+    side -= (side * x[:4000]).sum(1, keepdims=True) * x[:4000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.931, 0.96, (4000, 1))
+    x[16_000:] = c * x[:4000] + np.sqrt(1 - c**2) * side
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    links = sum(r.n_links for r in multi_index_links(rows).select("n_links").collect()) // 2
+    want = sum(int(np.triu(x[i : i + 2000] @ x.T >= 0.93, i + 1).sum()) for i in range(0, 20_000, 2000))
+    assert want >= 4000 and 0.97 * want <= links <= want
