@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,3 +64,48 @@ def passages(cited: DataFrame, texts: DataFrame, n: int = 3, chars: int = 280) -
     top = cited.where(F.col("rank") <= n).join(texts.select("data_id", "text"), "data_id")
     flat = F.substring(F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " ")), 1, chars)
     return top.select("rank", "data_id", F.concat(flat, F.lit(" ["), F.col("rank").cast("string"), F.lit("]")).alias("passage"))
+
+
+@dataclass(frozen=True)
+class Filter:
+    """What a search is narrowed to. Empty tuples and None filter nothing; both ends of the time range are included."""
+
+    project: str | None = None
+    tags: tuple[str, ...] = ()
+    memories: tuple[str, ...] = ()
+    keywords: tuple[str, ...] = ()
+    template: str | None = None
+    entities: tuple[str, ...] = ()
+    since: str | None = None
+    until: str | None = None
+
+
+def narrowed(records: DataFrame, f: Filter, members: DataFrame, artifacts: DataFrame, mentions: DataFrame) -> DataFrame:
+    """records: data_id, project_id, tags, template, event_time; members: memory_id, data_id; artifacts: data_id, keywords; mentions:
+    entity, data_id. Semi-joins, so that a record in several memories stays one row."""
+    listed = lambda xs: F.array(*[F.lit(x) for x in xs])
+    if f.project is not None:
+        records = records.where(F.col("project_id") == f.project)
+    if f.tags:
+        records = records.where(F.arrays_overlap("tags", listed(f.tags)))
+    if f.template is not None:
+        records = records.where(F.col("template") == f.template)
+    if f.since is not None:
+        records = records.where(F.col("event_time") >= F.lit(f.since).cast("timestamp_ntz"))
+    if f.until is not None:
+        records = records.where(F.col("event_time") <= F.lit(f.until).cast("timestamp_ntz"))
+    if f.memories:
+        records = records.join(members.where(F.col("memory_id").isin(*f.memories)).select("data_id"), "data_id", "left_semi")
+    if f.keywords:
+        records = records.join(artifacts.where(F.arrays_overlap("keywords", listed(f.keywords))).select("data_id"), "data_id", "left_semi")
+    if f.entities:
+        records = records.join(mentions.where(F.col("entity").isin(*f.entities)).select("data_id"), "data_id", "left_semi")
+    return records
+
+
+def graph_arm(reached: DataFrame, mentions: DataFrame, records: DataFrame, k: int) -> DataFrame:
+    """reached: id, hops; mentions: id, data_id; records: data_id, visible and narrowed. Records by their nearest entity, then by the
+    number of mentions -> data_id, hops, mentions, score, rank."""
+    touched = mentions.join(reached, "id").groupBy("data_id").agg(F.min("hops").alias("hops"), F.count("*").alias("mentions"))
+    seen = touched.join(records.select("data_id"), "data_id", "left_semi").withColumn("score", F.when(F.col("hops") == 0, 1.0).otherwise(0.5))
+    return ranked(seen, k, F.asc("hops"), F.desc("mentions"), F.asc("data_id"))
