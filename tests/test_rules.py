@@ -10,8 +10,11 @@ from memlake.functions.names import normalize_name
 from memlake.functions.selectors import compile_selector
 from memlake.operators.access import Principal, assigned, strictest, visible
 from memlake.operators.containers import closure, would_cycle
+from memlake.operators.evidence import drawn_under, from_source, known_at, readable, seeds, visible_facts, walk
 from memlake.operators.graph import conflicts, supersede
 from memlake.operators.lifecycle import merged
+from memlake.operators.retrieval import Filter, narrowed
+from memlake.operators.routing import fan_out, poll, route
 from memlake.sources.parsing import sniffed, sniffed_bytes
 
 
@@ -123,3 +126,86 @@ def test_long_merges(spark):
     rows = [(i, i - 1 if i else None) for i in range(50)] + [(100, 101), (101, 100), (102, 101)]
     got = {x.id: x.survivor for x in merged(spark.createDataFrame(rows, "id long, merged_into long")).collect()}
     assert {got[i] for i in range(50)} == {0} and (got[100], got[101], got[102]) == (100, 101, 102)
+
+
+ACL = "org_id string, owner_id string, access_level string, shared_with array<string>, deleted boolean"
+
+
+def test_facts_are_seen_through_evidence(spark):
+    me = Principal("me", "o")
+    row = lambda key, owner, level, deleted=False: (key, "o", owner, level, [], deleted)
+    records = spark.createDataFrame([row(1, "you", "org"), row(2, "you", "private"), row(3, "me", "private"), row(4, "me", "org", True)], f"data_id int, {ACL}")
+    own = [("open", "derived", "private"), ("hidden", "derived", "public"), ("erased", "derived", "public"), ("said", "asserted", "org"), ("unsaid", "asserted", "private"), ("two", "derived", "private")]
+    facts = spark.createDataFrame([(f, b, *row(0, "you", level)[1:]) for f, b, level in own], f"fact_id string, basis string, {ACL}")
+    backing = [("open", 1, "a"), ("open", 1, None), ("hidden", 2, "a"), ("erased", 4, "a"), ("unsaid", 1, "a"), ("two", 1, None), ("two", 3, "b"), ("two", 2, "a")]
+    seen = readable(spark.createDataFrame(backing, "fact_id string, data_id int, template string"), records, me)
+    held = visible_facts(facts, seen, me)
+    names = lambda df: {x.fact_id for x in df.collect()}
+    assert {(x.fact_id, x.evidence) for x in held.collect()} == {("open", 1), ("said", 0), ("two", 2)}
+    assert names(drawn_under(held, seen, "a")) == {"open"}
+    assert names(drawn_under(held, seen, None)) == {"open", "said", "two"}
+    assert names(from_source(held, seen, data_id=3)) == {"two"}
+    assert names(from_source(held, seen, data_id=2)) == set()
+    assert names(from_source(held, seen, members=records.where("data_id < 3").select("data_id"))) == {"open", "two"}
+
+
+def test_both_clocks(spark):
+    day = lambda d: datetime.datetime(2020, 1, d)
+    kind = "fact_id string, valid_from timestamp_ntz, valid_to timestamp_ntz, recorded_at timestamp_ntz, retracted_at timestamp_ntz"
+    facts = spark.createDataFrame([("open", day(1), None, day(2), None), ("closed", day(1), day(5), day(2), None), ("retracted", day(1), None, day(2), day(6))], kind)
+    at = lambda v, r: {x.fact_id for x in facts.where(known_at(F.lit(day(v)).cast("timestamp_ntz"), F.lit(day(r)).cast("timestamp_ntz"))).collect()}
+    assert at(1, 1) == set()
+    assert at(4, 2) == at(1, 5) == {"open", "closed", "retracted"}
+    assert at(5, 5) == {"open", "retracted"}
+    assert at(5, 6) == {"open"}
+
+
+def test_a_walk_passes_only_what_is_seen(spark):
+    facts = spark.createDataFrame([("f1", "a", "b"), ("f2", "c", "b"), ("f3", "a", "d"), ("f4", "e", "f")], "fact_id string, subject string, object string")
+    named = spark.createDataFrame([(x,) for x in "abcef"], "id string")
+    root = lambda x: spark.createDataFrame([(x,)], "id string")
+    nodes, between = walk(facts, named, root("a"), 2)
+    assert {(x.id, x.hops) for x in nodes.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert {x.fact_id for x in between.collect()} == {"f1", "f2"}
+    assert walk(facts, named, root("d"), 2)[0].count() == 0
+
+
+def test_seeds_are_named_and_mentioned(spark):
+    entities = spark.createDataFrame([("1", "ada"), ("2", "ada lovelace"), ("3", "ad"), ("4", "lovelace"), ("5", "babbage")], "id string, name string")
+    named = spark.createDataFrame([(x,) for x in ("1", "2", "3", "5")], "id string")
+    assert [x.id for x in seeds(entities, named, "who was ada lovelace").collect()] == ["2", "1"]
+
+
+def test_routing_of_writes(spark):
+    kind = "data_id int, project_id string, owner_id string, scope string, asked_type string, asked_key string"
+    writes = spark.createDataFrame([(1, "p", "u", "shared", "", "k"), (2, "p", "u", "shared", None, None), (3, "p", "u", None, None, ""), (4, "p", "u", "shared", None, None), (4, "p", "u", "shared", "thread", None)], kind)
+    members = spark.createDataFrame([(4,), (4,)], "data_id int")
+    got = {tuple(x) for x in route(writes, members).collect()}
+    assert got == {(1, "default", "k", "u", "explicit"), (2, "default", "p", None, "routed"), (3, "default", "u", "u", "routed"), (4, None, None, None, None), (4, "thread", None, "u", "explicit")}
+
+
+def test_feed_and_deliveries(spark):
+    keys = lambda key, *xs: spark.createDataFrame([(x,) for x in xs], f"{key} string")
+    events = [(1, "f", "r", None), (2, "g", "r", None), (3, None, "r", None), (4, None, "s", "m"), (5, None, "s", None), (6, "g", None, "m")]
+    observed = spark.createDataFrame(events, "sequence int, fact_id string, data_id string, memory_id string")
+    page = lambda since, limit: [x.sequence for x in poll(observed, keys("fact_id", "f"), keys("data_id", "r"), keys("memory_id", "m"), since, limit).collect()]
+    assert page(0, 9) == [1, 3, 4, 6]
+    assert page(1, 2) == [3, 4]
+    matches = spark.createDataFrame([(1, "p", "a"), (2, "p", "b"), (3, "q", "a")], "event_id int, project_id string, alert_id string")
+    kind = "subscription_id int, project_id string, alert_id string, enabled boolean, kind string"
+    subscriptions = spark.createDataFrame([(1, "p", "a", True, "alert"), (2, "p", None, True, "alert"), (3, "p", None, False, "alert"), (4, "q", None, True, "standing")], kind)
+    delivered = spark.createDataFrame([(2, 2)], "subscription_id int, event_id int")
+    assert {tuple(x) for x in fan_out(matches, subscriptions, delivered).collect()} == {(1, 1), (2, 1)}
+
+
+def test_narrowing_keeps_rows_single(spark):
+    day = datetime.datetime(2024, 1, 1)
+    records = spark.createDataFrame([(i, "p", ["t"], None, day) for i in (1, 2, 3)], "data_id int, project_id string, tags array<string>, template string, event_time timestamp_ntz")
+    members = spark.createDataFrame([("m", 1), ("n", 1), ("m", 2)], "memory_id string, data_id int")
+    artifacts = spark.createDataFrame([(1, ["k"]), (1, ["k"]), (2, ["x"])], "data_id int, keywords array<string>")
+    mentions = spark.createDataFrame([("e", 1), ("e", 3)], "entity string, data_id int")
+    found = lambda f: sorted(x.data_id for x in narrowed(records, f, members, artifacts, mentions).collect())
+    assert found(Filter()) == [1, 2, 3]
+    assert found(Filter(memories=("m", "n"))) == [1, 2]
+    assert found(Filter(memories=("m", "n"), keywords=("k",), entities=("e",), tags=("t",), project="p", since="2024-01-01", until="2024-01-01")) == [1]
+    assert found(Filter(template="z")) == found(Filter(tags=("u",))) == found(Filter(until="2023-12-31")) == []
