@@ -41,11 +41,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = cut(packed(docs, row=F.monotonically_increasing_id()))
     own = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
     found = chosen_path_join(own, id_col="row", percent=SIMILAR).select(F.col("doc_id").alias("row"), "component_id", (F.col("n_shingles") == 0).alias("blank"))
-    keys = own.select("row", "doc_id", F.xxhash64("text").alias("text")).join(found, "row")
+    keys = cut(own.select("row", "doc_id", F.xxhash64("text").alias("text")).join(found, "row"))
     repeated = F.col("blank") & F.col("doc_id").isNotNull()
     group = [F.when(~repeated, F.col("component_id")).alias("g"), F.when(repeated, F.col("doc_id")).alias("i"), F.when(repeated, F.col("text")).alias("t")]
-    kept = cut(keys.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")).select("row"))
-    return unpacked(rows.join(kept, "row", "left_semi"), docs.columns)
+    kept = keys.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")).select("row")
+    dropped = cut(keys.select("row").join(kept, "row", "left_anti"))
+    return unpacked(rows.join(dropped, "row", "left_anti"), docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
