@@ -15,11 +15,13 @@ id are one unit only where their levels and texts are equal. Null levels are the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.best_fit import word_count
-from memlake.llm.common import cut
+from memlake.llm.common import cut, packed, unpacked
 
 BUCKET = 4096
 _BITS = 40
@@ -71,11 +73,17 @@ def nameless(id_col: Column, levels: list[Column], content: Column) -> Column:
     return F.when(id_col.isNull(), F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("null")) for c in levels], content))
 
 
-def mix(docs: DataFrame, levels: list[str], weights: dict[str, float], share: float = 1.0, max_epochs: int = 4, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """doc_id, unit (of rows with a null id, see ``nameless``), the levels, epoch (from 0), n_tokens, taken (tokens used in that epoch). Budget: ``share`` of all tokens."""
+def _base(docs: DataFrame, levels: list[str], id_col: str, text_col: str, count_col: str | None) -> DataFrame:
     own = nameless(F.col(id_col), [F.col(c) for c in levels], F.col(count_col or text_col))
-    base = docs.select(F.col(id_col).alias("doc_id"), own.alias("unit"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c) for c in levels], (F.col(count_col).cast("long") if count_col else word_count(text_col)).alias("n_tokens"))
-    units = cut(base.groupBy("doc_id", "unit").agg(*[F.min(c).alias(c) for c in levels], F.sum("n_tokens").alias("n_tokens")).where("n_tokens > 0"))
+    return docs.select(F.col(id_col).alias("doc_id"), own.alias("unit"), *[_level(c).alias(c) for c in levels], (F.col(count_col).cast("long") if count_col else word_count(text_col)).alias("n_tokens"))
+
+
+def _level(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("null"))
+
+
+def _selected(units: DataFrame, levels: list[str], weights: dict[str, float], share: float, max_epochs: int, seed: int) -> DataFrame:
+    """The units (cut) that are selected: their leaf's whole epochs and the part of their tokens taken in the one after those."""
     leaves = cut(units.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("units")))
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first().n
     plan = budgets(leaves, levels, weights, float(int(total * share)), max_epochs)
@@ -91,7 +99,38 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, float], share: fl
     last = rows.where(ends).withColumn("room", F.col("rest") - F.col("before") - F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     last = last.withColumn("part", F.greatest(F.lit(0), F.least("n_tokens", "room")))
     other = rows.where(~ends).withColumn("part", F.when(F.col("before") < F.col("rest"), F.col("n_tokens")).otherwise(0))
-    keep = ["doc_id", "unit", *levels, "n_tokens", "whole", "part"]
-    both = last.select(*keep).union(other.select(*keep)).where("whole > 0 or part > 0")
+    keep = ["doc_id", "unit", *levels, "n_tokens", "order", "whole", "part"]
+    return last.select(*keep).union(other.select(*keep)).where("whole > 0 or part > 0")
+
+
+def mix(docs: DataFrame, levels: list[str], weights: dict[str, float], share: float = 1.0, max_epochs: int = 4, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """doc_id, unit (of rows with a null id, see ``nameless``), the levels, epoch (from 0), n_tokens, taken (tokens used in that epoch). Budget: ``share`` of all tokens."""
+    base = _base(docs, levels, id_col, text_col, count_col)
+    units = cut(base.groupBy("doc_id", "unit").agg(*[F.min(c).alias(c) for c in levels], F.sum("n_tokens").alias("n_tokens")).where("n_tokens > 0"))
+    chosen = _selected(units, levels, weights, share, max_epochs, seed)
     epochs = F.sequence(F.lit(0), F.col("whole") - F.when(F.col("part") > 0, 0).otherwise(1))
-    return both.select("*", F.explode(epochs).alias("epoch")).select("doc_id", "unit", *levels, "epoch", "n_tokens", F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens")).otherwise(F.col("part")).alias("taken"))
+    return chosen.select("*", F.explode(epochs).alias("epoch")).select("doc_id", "unit", *levels, "epoch", "n_tokens", F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens")).otherwise(F.col("part")).alias("taken"))
+
+
+def mixed(docs: DataFrame, levels: list[str], weights: dict[str, float], share: float = 1.0, max_epochs: int = 4, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, each once for every epoch that ``mix`` selects its unit in.
+
+    Whole rows are not shuffled: a leaf's selection is its whole epochs and, in the order of the one after them, the last unit
+    that takes part, so a row needs its leaf only. Rows whose id stands under several levels, or also on a row without
+    tokens, find their unit's leaf by id. Rows without tokens are left out unless they share an id with one that has some."""
+    base = _base(docs, levels, id_col, text_col, None)
+    differs = [F.min(c) != F.max(c) for c in levels]
+    uneven = reduce(Column.__or__, differs, (F.min("n_tokens") == 0)) & F.col("doc_id").isNotNull()
+    units = cut(base.groupBy("doc_id", "unit").agg(*[F.min(c).alias(c) for c in levels], F.sum("n_tokens").alias("n_tokens"), uneven.alias("uneven")).where("n_tokens > 0"))
+    chosen = _selected(units, levels, weights, share, max_epochs, seed)
+    ends = cut(chosen.groupBy(*levels).agg(F.max("whole").alias("whole"), F.max(F.when(F.col("part") > 0, F.struct("order", "doc_id", "unit"))).alias("last")))
+    several = cut(units.where("uneven").select(F.col("doc_id").alias("id"), F.struct(*levels).alias("of")))
+    own = nameless(F.col(id_col), [F.col(c) for c in levels], F.col(text_col))
+    worded = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = packed(docs, doc_id=F.col(id_col), unit=own, worded=worded, own=F.struct(*[_level(c).alias(c) for c in levels]))
+    rows = rows.join(several, F.col("doc_id") == F.col("id"), "left").where(F.col("worded") | F.col("id").isNotNull())
+    rows = rows.select("doc", "doc_id", "unit", F.coalesce("of", "own").alias("leaf")).select("doc", "doc_id", "unit", "leaf.*").join(ends, levels)
+    part = F.coalesce(F.struct(_order(seed, F.col("whole")).alias("order"), "doc_id", "unit") <= F.col("last"), F.lit(False))
+    times = (F.col("whole") + part.cast("int")).alias("times")
+    rows = rows.select("doc", times).where("times > 0")
+    return unpacked(rows.select("doc", F.explode(F.sequence(F.lit(1), "times")).alias("copy")), docs.columns)

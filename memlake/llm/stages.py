@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from memlake.llm.best_fit import best_fit
 from memlake.llm.chosen_path import chosen_path_join
 from memlake.llm.common import cut, delete, packed, scratch, scratch_path, unpacked
-from memlake.llm.mixing import mix, nameless
+from memlake.llm.mixing import mixed
 from memlake.llm.pii_labelers import candidates, fit, redact, with_spans
 from memlake.llm.toxicity_fm import learn, scorer
 
@@ -64,13 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the target proportions of languages and sources, as many tokens as there are; a document is repeated for
     each epoch that it is selected in, and the one at which a source's budget ends is kept whole. Rows that share an id, and
     nameless rows of one language, source and text, go together; null levels are a level; texts without tokens are never selected."""
-    levels = ["lang", "source"]
-    chosen = mix(docs.select("doc_id", *levels, "text"), levels, WEIGHTS, 1.0, EPOCHS)
-    times = cut(chosen.groupBy(F.col("doc_id").alias("id"), F.col("unit").alias("of")).agg(F.count("*").alias("times")))
-    own = nameless(F.col("doc_id"), [F.col(c) for c in levels], F.col("text"))
-    rows = packed(docs, doc_id=F.col("doc_id"), unit=own)
-    rows = rows.join(times, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("unit").eqNullSafe(F.col("of")))
-    return unpacked(rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")), docs.columns)
+    return mixed(docs, ["lang", "source"], WEIGHTS, 1.0, EPOCHS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
