@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from memlake.llm.best_fit import best_fit, pack
 from memlake.llm.common import sampled
@@ -13,7 +14,7 @@ from memlake.llm.impact_index import impact_topk
 from memlake.llm.language_mixture import language_mixture
 from memlake.llm.license_index import TEMPLATES, license_scan
 from memlake.llm.main_text import Weights, extract, main_text
-from memlake.llm.mixing import mix
+from memlake.llm.mixing import mix, mixed, nameless
 from memlake.llm.multi_index import multi_index_links, multi_sequence
 from memlake.llm.pii_labelers import expectation_maximisation, pii_report
 from memlake.llm.toxicity_fm import toxicity
@@ -203,6 +204,24 @@ def test_mixing_odd_rows(spark):
     assert mix(empty_docs(spark), ["lang", "source"], {}).count() == 0
 
 
+@pytest.mark.parametrize("share", [1.0, 0.3])
+def test_mixed_rows_follow_their_units(spark, share):
+    r = random.Random(3)
+    text = lambda: r.choice([None, " ".join("w" for _ in range(r.randrange(9)))])
+    rows = [(r.choice([None] * 30 + list(range(250))), text(), r.choice(["en", "fr", None]), r.choice("ab"), n) for n in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, unit long")
+    levels, weights = ["lang", "source"], {"en": 0.7, "fr": 0.2}
+    units = docs.withColumn("of", nameless(F.col("doc_id"), [F.col(c) for c in levels], F.col("text"))).collect()
+    times = {}
+    for x in mix(docs, levels, weights, share, 3).collect():
+        times[x.doc_id, x.unit] = times.get((x.doc_id, x.unit), 0) + 1
+    want = sorted(x.unit for x in units for _ in range(times.get((x.doc_id, x.of), 0)))
+    got = mixed(docs, levels, weights, share, 3)
+    assert got.columns == docs.columns
+    assert sorted(x.unit for x in got.collect()) == want and want
+    assert mixed(empty_docs(spark), levels, {}).count() == 0
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     both = language_mixture(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
