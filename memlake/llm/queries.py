@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.best_fit import best_fit
 from memlake.llm.chosen_path import chosen_path_join
+from memlake.llm.collocations import collocations
 from memlake.llm.impact_index import impact_topk
 from memlake.llm.language_mixture import language_mixture
 from memlake.llm.license_index import license_scan
@@ -74,8 +75,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_language, op4_minhash, op5_html, op6_toxicity, op7_packing, op8_license, op9_embedding, op10_topk)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_language, op4_minhash, op5_html, op6_toxicity, op7_packing, op8_license, op9_embedding, op10_topk, op11_collocations)}
 
 
 _COMPONENTS = """reach(id, other) AS (
@@ -107,7 +112,20 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGIN
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 10"""
 
+OP11_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) s(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS s, count(*)::HUGEINT AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, a, s, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+v AS (SELECT c.lang, c.phrase, c.a, cut, l.a AS l, r.a AS r, n, (1000 * c.a * n) // (l.a * r.a) AS score FROM c JOIN t USING (lang)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.s[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.s[cut + 1:], ' ')),
+m AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = m.lang AND f.a >= m.a AND f.phrase <> m.phrase AND contains(' ' || f.phrase || ' ', ' ' || m.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM o QUALIFY rank <= 2000"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash": OP4_SQL, "op9_embedding": OP9_SQL, "op10_topk": OP10_SQL}
+    return {"op4_minhash": OP4_SQL, "op9_embedding": OP9_SQL, "op10_topk": OP10_SQL, "op11_collocations": OP11_SQL}
