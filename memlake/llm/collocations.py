@@ -140,8 +140,9 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 20
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("head"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"))
     known = lambda name, count: exact.select("lang", F.col("phrase").alias(name), F.col("n").alias(count))
     scored = cuts.join(known("head", "l"), ["lang", "head"]).join(known("tail", "r"), ["lang", "tail"]).join(totals, "lang")
+    wide = lambda c: c.cast("decimal(19,0)")
     # No product has more than 38 digits in its type, so that none is rounded.
-    exactly = F.expr("(cast(1000 * a as decimal(19,0)) * cast(n as decimal(19,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
+    exactly = F.call_function("div", wide(1000 * F.col("a")) * wide(F.col("n")), wide(F.col("l")) * wide(F.col("r")))
     scored = scored.withColumn("score", exactly)
     least_cut = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x")).select("lang", "phrase", "x.*")
     left = least_cut.join(subsumed(phrases, share), ["lang", "phrase"], "left_anti")

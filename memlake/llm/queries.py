@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memlake.llm.best_fit import best_fit
 from memlake.llm.chosen_path import chosen_path_join
 from memlake.llm.collocations import collocations
+from memlake.llm.divergence import source_divergence
 from memlake.llm.impact_index import impact_topk
 from memlake.llm.language_mixture import language_mixture
 from memlake.llm.license_index import license_scan
@@ -79,8 +80,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_language, op4_minhash, op5_html, op6_toxicity, op7_packing, op8_license, op9_embedding, op10_topk, op11_collocations)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_language, op4_minhash, op5_html, op6_toxicity, op7_packing, op8_license, op9_embedding, op10_topk, op11_collocations, op13_divergence)}
 
 
 _COMPONENTS = """reach(id, other) AS (
@@ -126,6 +131,23 @@ o AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = m.lang AN
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM o QUALIFY rank <= 2000"""
 
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS total FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM k GROUP BY lang),
+gr AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+p AS (SELECT k.lang, source, term, coalesce(c.n, 0) AS count, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (coalesce(n.n, 0) + v) AS p, 1 + (1000000000 * (total + 1)) // (v.n + v) AS q
+  FROM k JOIN v USING (lang) JOIN gr USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+t AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE count > 0 AND p > q),
+o AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT gr.lang, gr.source, 'pair' AS part, g.source AS item, coalesce(value, 0) AS value FROM gr JOIN gr g ON gr.lang = g.lang AND gr.source <> g.source LEFT JOIN o ON o.lang = gr.lang AND o.source = gr.source AND o.item = g.source),
+u AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM t UNION ALL SELECT * FROM r))
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM u WHERE part = 'pair' OR rank <= 200"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash": OP4_SQL, "op9_embedding": OP9_SQL, "op10_topk": OP10_SQL, "op11_collocations": OP11_SQL}
+    return {"op4_minhash": OP4_SQL, "op9_embedding": OP9_SQL, "op10_topk": OP10_SQL, "op11_collocations": OP11_SQL, "op13_divergence": OP13_SQL}
