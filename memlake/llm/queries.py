@@ -17,6 +17,7 @@ from memlake.llm.license_index import license_scan
 from memlake.llm.main_text import main_text
 from memlake.llm.mixing import mix
 from memlake.llm.multi_index import multi_index_links
+from memlake.llm.partial_matching import partial_matching
 from memlake.llm.pii_labelers import pii_report
 from memlake.llm.toxicity_fm import toxicity
 
@@ -80,12 +81,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partial_matching(_table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_language, op4_minhash, op5_html, op6_toxicity, op7_packing, op8_license, op9_embedding, op10_topk, op11_collocations, op13_divergence)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_language, op4_minhash, op5_html, op6_toxicity, op7_packing, op8_license, op9_embedding, op10_topk, op11_collocations, op12_ppm, op13_divergence)}
 
 
 _COMPONENTS = """reach(id, other) AS (
