@@ -18,21 +18,21 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import cut
 from memlake.llm.count_min import SENT, answers, blocks_for, hot_cells, may_reach, sketch
-from memlake.llm.slices import LOWER, hashes, kinds, mix, numbered, slices, strings, text_seeds, tokens
+from memlake.llm.slices import hashes, kinds, mix, numbered, rows_of, slices, strings, text_seeds, tokens
 
 #: Words end at blanks and tabs, pieces at these marks.
 _KINDS = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Cells of the sketch for each word of the corpus; a word begins up to five n-grams.
-CELLS = 2.0
+#: Cells of the sketch for each word of the corpus. A word begins up to five n-grams, so a cell holds about ten, a tenth of the usual threshold.
+CELLS = 0.5
 
 
 def _words(row: dict, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Folded bytes, starts, ends, pieces and languages (places in the slice's list) of a slice's words, and hashes that tell languages apart."""
-    data = LOWER[np.frombuffer(row["text"], np.uint8)]
+    data = row["text"]
     starts, ends = tokens(data, _KINDS)
     piece = np.cumsum(_KINDS[data] == 2, dtype=np.int64)[starts] if len(starts) else starts
-    doc = np.searchsorted(np.asarray(row["ends"]), starts, "right")
+    doc = np.searchsorted(row["ends"], starts, "right")
     langs, lang = np.unique(np.asarray(row["lang"], dtype=object), return_inverse=True)
     lang = lang[doc]
     return data, starts, ends, piece, lang, mix(hashes(data, starts, ends, seed) ^ text_seeds(pa.array(langs), seed)[lang])
@@ -46,17 +46,16 @@ def _partial(blocks: int, least: int, most: int):
     """First reading: what each slice sends to the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                _, _, _, piece, _, word = _words(row, 1)
-                h, found = word, []
-                for n in range(1, most + 1):
-                    if n > 1:
-                        h = _longer(h[:-1], word[n - 1 :])
-                    found.append(h[piece[: len(h)] == piece[n - 1 :]])
-                grams = np.sort(np.concatenate(found))
-                first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-                yield from sketch(row["slice"], grams[first], np.diff(first, append=len(grams)), blocks, least)
+        for row in rows_of(batches):
+            _, _, _, piece, _, word = _words(row, 1)
+            h, found = word, []
+            for n in range(1, most + 1):
+                if n > 1:
+                    h = _longer(h[:-1], word[n - 1 :])
+                found.append(h[piece[: len(h)] == piece[n - 1 :]])
+            grams = np.sort(np.concatenate(found))
+            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+            yield from sketch(row["slice"], grams[first], np.diff(first, append=len(grams)), blocks, least)
 
     return run
 
@@ -65,42 +64,40 @@ def _survivors(blocks: int, most: int):
     """Second reading: the surviving n-grams of a slice, spelt out and counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                data, starts, ends, piece, lang, word = _words(row, 1)
-                langs, hot = pa.array(np.unique(np.asarray(row["lang"], dtype=object)), pa.string()), hot_cells(row["hot"])
-                first, number = numbered(word, mix(hashes(data, starts, ends, 2) ^ text_seeds(langs, 2)[lang]))
-                h, known, alive = word, number.astype(np.int64), may_reach(word[first], hot, blocks)[number]
-                for n in range(1, most + 1):
-                    at = np.flatnonzero(alive)
-                    if n > 1:
-                        at = at[at + n - 1 < len(word)]
-                        at = at[alive[at + 1] & (piece[at] == piece[at + n - 1])]
-                        h_at = _longer(h[at], word[at + n - 1])
-                        pair = (known[at] << 32) | number[at + n - 1]
-                        seen = may_reach(h_at, hot, blocks)
-                        at, h_at, pair = at[seen], h_at[seen], pair[seen]
-                        h, known, alive = np.zeros_like(h), np.zeros_like(known), np.zeros_like(alive)
-                        h[at], alive[at] = h_at, True
-                        _, known[at] = np.unique(pair, return_inverse=True)
-                    if not len(at):
-                        break
-                    _, one, counts = np.unique(known[at], return_index=True, return_counts=True)
-                    spelt = at[one]
-                    words = [strings(data, starts[spelt + i], ends[spelt + i]) for i in range(n)]
-                    phrase = words[0] if n == 1 else pc.binary_join_element_wise(*words, " ")
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[spelt])), phrase, pa.array(np.full(len(one), n, np.int32)), pa.array(counts)], names=["lang", "phrase", "size", "n"])
+        for row in rows_of(batches):
+            data, starts, ends, piece, lang, word = _words(row, 1)
+            langs, hot = pa.array(np.unique(np.asarray(row["lang"], dtype=object)), pa.string()), hot_cells(row["hot"])
+            first, number = numbered(word, mix(hashes(data, starts, ends, 2) ^ text_seeds(langs, 2)[lang]))
+            h, known, alive = word, number.astype(np.int64), may_reach(word[first], hot, blocks)[number]
+            for n in range(1, most + 1):
+                at = np.flatnonzero(alive)
+                if n > 1:
+                    at = at[at + n - 1 < len(word)]
+                    at = at[alive[at + 1] & (piece[at] == piece[at + n - 1])]
+                    h_at = _longer(h[at], word[at + n - 1])
+                    pair = (known[at] << 32) | number[at + n - 1]
+                    seen = may_reach(h_at, hot, blocks)
+                    at, h_at, pair = at[seen], h_at[seen], pair[seen]
+                    h, known, alive = np.zeros_like(h), np.zeros_like(known), np.zeros_like(alive)
+                    h[at], alive[at] = h_at, True
+                    _, known[at] = np.unique(pair, return_inverse=True)
+                if not len(at):
+                    break
+                _, one, counts = np.unique(known[at], return_index=True, return_counts=True)
+                spelt = at[one]
+                words = [strings(data, starts[spelt + i], ends[spelt + i]) for i in range(n)]
+                phrase = words[0] if n == 1 else pc.binary_join_element_wise(*words, " ")
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[spelt])), phrase, pa.array(np.full(len(one), n, np.int32)), pa.array(counts)], names=["lang", "phrase", "size", "n"])
 
     return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of words of each language in each slice."""
-    for b in batches:
-        for row in b.to_pylist():
-            _, _, _, _, lang, _ = _words(row, 1)
-            langs = np.unique(np.asarray(row["lang"], dtype=object))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.bincount(lang, minlength=len(langs)))], names=["lang", "n"])
+    for row in rows_of(batches):
+        _, _, _, _, lang, _ = _words(row, 1)
+        langs = np.unique(np.asarray(row["lang"], dtype=object))
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.bincount(lang, minlength=len(langs)))], names=["lang", "n"])
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, most: int = 5, lang: Column | None = None) -> tuple[DataFrame, DataFrame]:

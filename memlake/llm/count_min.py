@@ -19,9 +19,20 @@ from memlake.llm.slices import mix
 
 #: Rows of the sketch, and the bits of a cell's number inside its block.
 ROWS, BITS = 2, 20
-SENT = "slice long, sketch int, block long, gaps binary, counts binary"
-_SENT = pa.schema([("slice", pa.int64()), ("sketch", pa.int32()), ("block", pa.int64()), ("gaps", pa.binary()), ("counts", pa.binary())])
-_ANSWER = pa.schema([("slice", pa.int64()), ("sketch", pa.int32()), ("block", pa.int64()), ("cells", pa.binary())])
+SENT = "slice long, sketch int, block long, size int, cells binary"
+_SENT = pa.schema([("slice", pa.int64()), ("sketch", pa.int32()), ("block", pa.int64()), ("size", pa.int32()), ("cells", pa.binary())])
+
+
+def _packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ordered cells of a block and their counts: gaps between cells in two planes, of which the higher is mostly zero, compressed."""
+    gaps = np.diff(cells, prepend=cells.dtype.type(0))
+    return pa.compress((gaps & 255).astype(np.uint8).tobytes() + (gaps >> 8).astype(np.uint16).tobytes() + counts.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int, kind: type | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    raw = pa.decompress(data, size * (3 + (np.dtype(kind).itemsize if kind else 0)), codec="zstd", asbytes=True)
+    gaps = np.frombuffer(raw, np.uint8, size).astype(np.int64) + (np.frombuffer(raw, np.uint16, size, size).astype(np.int64) << 8)
+    return np.cumsum(gaps), np.frombuffer(raw, kind, size, 3 * size) if kind else None
 
 
 def blocks_for(items: int, cells: float) -> int:
@@ -56,11 +67,9 @@ def sketch(name: int, keys: np.ndarray, counts: np.ndarray, blocks: int, least:
         cells, sums = _summed(cells_of(keys, row, blocks), counts, least)
         block = (cells >> np.uint64(BITS)).astype(np.int64)
         bounds = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(cells)]
-        inside = (cells & np.uint64((1 << BITS) - 1)).astype(np.uint32)
+        inside = (cells & np.uint64((1 << BITS) - 1)).astype(np.int64)
         for a, b in zip(bounds, bounds[1:], strict=False):
-            gaps = np.diff(inside[a:b], prepend=np.uint32(0))
-            packed = gaps.astype(np.uint16 if gaps.max() < 1 << 16 else np.uint32)
-            for column, value in zip(out, (name, row, int(block[a]), packed.tobytes(), sums[a:b].astype(np.uint8 if least < 256 else np.uint32).tobytes()), strict=True):
+            for column, value in zip(out, (name, row, int(block[a]), b - a, _packed(inside[a:b], sums[a:b].astype(np.uint8 if least < 256 else np.uint32))), strict=True):
                 column.append(value)
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SENT, strict=True)], schema=_SENT)
 
@@ -71,22 +80,26 @@ def answers(sent: DataFrame, least: int) -> DataFrame:
 
     def merge(group: pa.Table) -> pa.Table:
         total = np.zeros(1 << BITS, np.int64)
-        gaps, counts = group.column("gaps").to_pylist(), [np.frombuffer(x, kind) for x in group.column("counts").to_pylist()]
-        cells = [np.cumsum(np.frombuffer(g, np.uint16 if len(g) == 2 * len(c) else np.uint32), dtype=np.int64) for g, c in zip(gaps, counts, strict=True)]
-        for at, n in zip(cells, counts, strict=True):
-            total[at] += n
-        hot = [at[total[at] >= least].astype(np.uint32).tobytes() for at in cells]
-        return pa.Table.from_arrays([group.column("slice"), group.column("sketch"), group.column("block"), pa.array(hot, pa.binary())], schema=_ANSWER)
+        sent = list(zip(group.column("cells").to_pylist(), group.column("size").to_pylist(), strict=True))
+        for data, size in sent:
+            cells, counts = _unpacked(data, size, kind)
+            total[cells] += counts
+        hot = []
+        for data, size in sent:
+            cells, _ = _unpacked(data, size, kind)
+            hot.append(cells[total[cells] >= least])
+        columns = [group.column("slice"), group.column("sketch"), group.column("block"), pa.array([len(x) for x in hot], pa.int32())]
+        return pa.Table.from_arrays([*columns, pa.array([_packed(x, np.zeros(0, kind)) for x in hot], pa.binary())], schema=_SENT)
 
-    merged = sent.groupBy("sketch", "block").applyInArrow(merge, "slice long, sketch int, block long, cells binary")
-    return merged.where(F.length("cells") > 0).groupBy("slice").agg(F.collect_list(F.struct("sketch", "block", "cells")).alias("hot"))
+    merged = sent.groupBy("sketch", "block").applyInArrow(merge, SENT)
+    return merged.where("size > 0").groupBy("slice").agg(F.collect_list(F.struct("sketch", "block", "size", "cells")).alias("hot"))
 
 
 def hot_cells(hot: list[dict] | None) -> list[np.ndarray]:
     """The answer to a slice as sorted cells of each row."""
     each: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(ROWS)]
     for x in hot or []:
-        each[x["sketch"]].append(np.frombuffer(x["cells"], np.uint32).astype(np.uint64) | np.uint64(x["block"] << BITS))
+        each[x["sketch"]].append(_unpacked(x["cells"], x["size"])[0].astype(np.uint64) | np.uint64(x["block"] << BITS))
     return [np.sort(np.concatenate(x)) for x in each]
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import cut
 from memlake.llm.count_min import SENT, answers, blocks_for, hot_cells, may_reach, sketch
-from memlake.llm.slices import LOWER, hashes, kinds, mix, numbered, slices, strings, text_seeds, tokens
+from memlake.llm.slices import hashes, kinds, mix, numbered, rows_of, slices, strings, text_seeds, tokens
 
 #: Everything but letters A-Z, a-z and what lies beyond ASCII parts terms.
 _KINDS = kinds(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -30,9 +30,9 @@ BILLION = 1_000_000_000
 
 def _terms(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Folded bytes, starts, ends and documents of a slice's terms; place of the first and number of each distinct (lang, term); their keys."""
-    data = LOWER[np.frombuffer(row["text"], np.uint8)]
+    data = row["text"]
     starts, ends = tokens(data, _KINDS)
-    doc = np.searchsorted(np.asarray(row["ends"]), starts, "right")
+    doc = np.searchsorted(row["ends"], starts, "right")
     langs, lang = np.unique(np.asarray(row["lang"], dtype=object), return_inverse=True)
     one, two = (mix(hashes(data, starts, ends, seed) ^ text_seeds(pa.array(langs, pa.string()), seed)[lang[doc]]) for seed in (3, 4))
     first, number = numbered(one, two)
@@ -49,11 +49,10 @@ def _partial(blocks: int, least: int):
     """First reading: the document frequencies of a slice's terms, for the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                *_, doc, first, number, keys = _terms(row)
-                term, _, _ = _distinct(number, doc, len(row["ends"]))
-                yield from sketch(row["slice"], keys, np.bincount(term, minlength=len(first)), blocks, least)
+        for row in rows_of(batches):
+            *_, doc, first, number, keys = _terms(row)
+            term, _, _ = _distinct(number, doc, len(row["ends"]))
+            yield from sketch(row["slice"], keys, np.bincount(term, minlength=len(first)), blocks, least)
 
     return run
 
@@ -62,18 +61,17 @@ def _survivors(blocks: int):
     """Second reading: occurrences and documents of the surviving terms, for each language and source of the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                data, starts, ends, doc, first, number, keys = _terms(row)
-                alive = may_reach(keys, hot_cells(row["hot"]), blocks)[number]
-                number, doc = number[alive], doc[alive]
-                sources, source = np.unique(np.asarray(row["source"], dtype=object), return_inverse=True)
-                term, group, n = _distinct(number, source[doc], len(sources))
-                once, at, _ = _distinct(number, doc, len(row["ends"]))
-                _, _, df = _distinct(once, source[at], len(sources))
-                lang = pa.array(row["lang"], pa.string()).take(pa.array(np.searchsorted(np.asarray(row["ends"]), starts[first], "right")[term]))
-                spelt = strings(data, starts[first], ends[first]).take(pa.array(term))
-                yield pa.RecordBatch.from_arrays([lang, pa.array(sources, pa.string()).take(pa.array(group)), spelt, pa.array(n), pa.array(df)], names=["lang", "source", "term", "n", "df"])
+        for row in rows_of(batches):
+            data, starts, ends, doc, first, number, keys = _terms(row)
+            alive = may_reach(keys, hot_cells(row["hot"]), blocks)[number]
+            number, doc = number[alive], doc[alive]
+            sources, source = np.unique(np.asarray(row["source"], dtype=object), return_inverse=True)
+            term, group, n = _distinct(number, source[doc], len(sources))
+            once, at, _ = _distinct(number, doc, len(row["ends"]))
+            _, _, df = _distinct(once, source[at], len(sources))
+            lang = pa.array(row["lang"], pa.string()).take(pa.array(np.searchsorted(row["ends"], starts[first], "right")[term]))
+            spelt = strings(data, starts[first], ends[first]).take(pa.array(term))
+            yield pa.RecordBatch.from_arrays([lang, pa.array(sources, pa.string()).take(pa.array(group)), spelt, pa.array(n), pa.array(df)], names=["lang", "source", "term", "n", "df"])
 
     return run
 

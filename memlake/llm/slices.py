@@ -22,8 +22,9 @@ LOWER[65:91] += 32
 
 
 def slices(docs: DataFrame, size: int = SLICE, **columns: Column) -> DataFrame:
-    """docs: text and what ``columns`` ask for -> slice, text (UTF-8 bytes, a line feed after every document, null read as empty),
-    ends (where each document ends, its line feed included), and each of ``columns`` as an array with a value a document.
+    """docs: text and what ``columns`` ask for -> slice, text (UTF-8 bytes, a line feed after every document, null read as empty;
+    compressed, ``rows_of`` undoes it), ends (where each document ends, its line feed included), and each of ``columns`` as an array with a
+    value a document.
 
     A slice holds ``size`` bytes or one longer document. No documents: no slices."""
     rows = docs.select(F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit("\n")).cast("binary").alias("text"), *[c.alias(k) for k, c in columns.items()])
@@ -38,7 +39,7 @@ def slices(docs: DataFrame, size: int = SLICE, **columns: Column) -> DataFrame:
             at = 0
             while at < len(text):
                 to = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + size, "right")) - 1)
-                data = text.buffers()[2].slice(int(offsets[at]), int(offsets[to] - offsets[at])).to_pybytes()
+                data = pa.compress(text.buffers()[2].slice(int(offsets[at]), int(offsets[to] - offsets[at])), codec="zstd", asbytes=True)
                 listed = [pa.array(offsets[at + 1 : to + 1] - offsets[at], pa.int32()), *[c.slice(at, to - at) for c in b.columns[1:]]]
                 lists = [pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), x) for x in listed]
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([data], pa.binary()), *lists], names=schema.names)
@@ -47,6 +48,16 @@ def slices(docs: DataFrame, size: int = SLICE, **columns: Column) -> DataFrame:
     return cut(rows.mapInArrow(run, schema))
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows one by one, the text of a slice as folded bytes (A-Z lower-cased)."""
+    for b in batches:
+        for i in range(b.num_rows):
+            row = b.slice(i, 1).to_pylist()[0]
+            row["ends"] = np.asarray(row["ends"], np.int64)
+            row["text"] = LOWER[np.frombuffer(pa.decompress(row["text"], int(row["ends"][-1]), codec="zstd"), np.uint8)]
+            yield row
+
+
 def kinds(*others: bytes) -> np.ndarray:
     """A table from byte to kind: 0 inside words; 1, 2, ... for the bytes of each of ``others``."""
     table = np.zeros(256, np.uint8)
