@@ -1,9 +1,10 @@
 """Phrase collocations: merged count-min sketches rule out rare n-grams, a second pass counts the survivors exactly, then scores and subsumes.
 
-Every text is read twice. The first reading sends to the sketch (``count_min``) how often each slice holds each n-gram of 1 to 5 words.
-An n-gram as frequent as asked has hot cells in every row, so it survives in all slices that hold it, and so do its parts, which are at
-least as frequent. The second reading counts survivors by their words, longer ones only where both shorter ones survive, and Spark adds
-the counts up by text. A chance survivor fails the exact threshold, so the sketch decides what is shuffled, never what is returned.
+Two sketches (``count_min``) are filled, first with how often each slice holds each word and pair of words, then with its longer n-grams whose
+pairs all survive the first. An n-gram as frequent as asked has hot cells in every row, so it survives in all slices that hold it, and so
+do its parts, which are at least as frequent. The last reading counts survivors by their words, longer ones only where both shorter ones
+survive, and Spark adds the counts up by text. A chance survivor fails the exact threshold, so the sketches decide what is shuffled,
+never what is returned.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.common import cut
-from memlake.llm.count_min import SENT, answers, blocks_for, hot_cells, may_reach, sketch
+from memlake.llm.count_min import SENT, answers, blocks_for, by_slice, hot_cells, may_reach, sketch
 from memlake.llm.slices import hashes, kinds, mix, numbered, rows_of, slices, strings, text_seeds, tokens
 
 #: Words end at blanks and tabs, pieces at these marks.
 _KINDS = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Cells of the sketch for each word of the corpus. A word begins up to five n-grams, so a cell holds about ten, a tenth of the usual threshold.
+#: Cells of a sketch for each word of the corpus. A word begins two n-grams of the first sketch, so a cell holds about four, far below usual thresholds.
 CELLS = 0.5
+#: Words of the n-grams of the first sketch.
+SHORT = 2
 
 
 def _words(row: dict, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,20 +45,37 @@ def _longer(h: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mix(h * _FACTOR + last)
 
 
-def _partial(blocks: int, least: int, most: int):
-    """First reading: what each slice sends to the sketch."""
+def _sent(name: int, found: list[np.ndarray], blocks: int, least: int, number: int) -> Iterator[pa.RecordBatch]:
+    grams = np.sort(np.concatenate(found))
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    return sketch(name, grams[first], np.diff(first, append=len(grams)), blocks, least, number)
+
+
+def _short(blocks: int, least: int, most: int):
+    """What each slice sends to the first sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             _, _, _, piece, _, word = _words(row, 1)
-            h, found = word, []
-            for n in range(1, most + 1):
-                if n > 1:
-                    h = _longer(h[:-1], word[n - 1 :])
-                found.append(h[piece[: len(h)] == piece[n - 1 :]])
-            grams = np.sort(np.concatenate(found))
-            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-            yield from sketch(row["slice"], grams[first], np.diff(first, append=len(grams)), blocks, least)
+            pair = _longer(word[:-1], word[1:])[piece[:-1] == piece[1:]] if most > 1 else word[:0]
+            yield from _sent(row["slice"], [word, pair], blocks, least, 0)
+
+    return run
+
+
+def _long(blocks: int, least: int, most: int):
+    """What each slice sends to the second sketch: n-grams of more words where every pair has survived the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            _, _, _, piece, _, word = _words(row, 1)
+            h, alive = _longer(word[:-1], word[1:]), piece[:-1] == piece[1:]
+            alive[alive] = may_reach(h[alive], hot_cells(row["hot"]), blocks)
+            found, pairs = [word[:0]], alive
+            for n in range(SHORT + 1, most + 1):
+                h, alive = _longer(h[:-1], word[n - 1 :]), alive[:-1] & pairs[n - 2 :]
+                found.append(h[alive])
+            yield from _sent(row["slice"], found, blocks, least, 1)
 
     return run
 
@@ -66,9 +86,9 @@ def _survivors(blocks: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             data, starts, ends, piece, lang, word = _words(row, 1)
-            langs, hot = pa.array(np.unique(np.asarray(row["lang"], dtype=object)), pa.string()), hot_cells(row["hot"])
+            langs, hot = pa.array(np.unique(np.asarray(row["lang"], dtype=object)), pa.string()), [hot_cells(row["hot"], i) for i in range(2)]
             first, number = numbered(word, mix(hashes(data, starts, ends, 2) ^ text_seeds(langs, 2)[lang]))
-            h, known, alive = word, number.astype(np.int64), may_reach(word[first], hot, blocks)[number]
+            h, known, alive = word, number.astype(np.int64), may_reach(word[first], hot[0], blocks)[number]
             for n in range(1, most + 1):
                 at = np.flatnonzero(alive)
                 if n > 1:
@@ -76,7 +96,7 @@ def _survivors(blocks: int, most: int):
                     at = at[alive[at + 1] & (piece[at] == piece[at + n - 1])]
                     h_at = _longer(h[at], word[at + n - 1])
                     pair = (known[at] << 32) | number[at + n - 1]
-                    seen = may_reach(h_at, hot, blocks)
+                    seen = may_reach(h_at, hot[n > SHORT], blocks, int(n > SHORT))
                     at, h_at, pair = at[seen], h_at[seen], pair[seen]
                     h, known, alive = np.zeros_like(h), np.zeros_like(known), np.zeros_like(alive)
                     h[at], alive[at] = h_at, True
@@ -105,8 +125,9 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most: int = 5, lang: Col
     parts = slices(docs, lang=F.coalesce(F.col("lang") if lang is None else lang, F.lit("und")))
     totals = cut(parts.select("text", "ends", "lang").mapInArrow(_counted, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
     blocks = blocks_for(totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], CELLS)
-    asked = answers(parts.mapInArrow(_partial(blocks, least, most), SENT), least)
-    both = parts.join(asked.hint("shuffle_hash"), "slice", "left")
+    asked = cut(answers(parts.mapInArrow(_short(blocks, least, most), SENT), least))
+    with_answers = lambda hot: parts.join(by_slice(hot).hint("shuffle_hash"), "slice", "left")
+    both = with_answers(asked.union(answers(with_answers(asked).mapInArrow(_long(blocks, least, most), SENT), least)))
     counted = both.mapInArrow(_survivors(blocks, most), "lang string, phrase string, size int, n long")
     exact = counted.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("n")).where(F.col("n") >= least)
     return cut(exact), totals

@@ -58,12 +58,12 @@ def _summed(cells: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarr
     return cells[first], np.minimum(np.add.reduceat(counts, first), least)
 
 
-def sketch(name: int, keys: np.ndarray, counts: np.ndarray, blocks: int, least: int) -> Iterator[pa.RecordBatch]:
-    """What the slice ``name`` sends: for each row and block, the gaps between its cells and their counts."""
+def sketch(name: int, keys: np.ndarray, counts: np.ndarray, blocks: int, least: int, number: int = 0) -> Iterator[pa.RecordBatch]:
+    """What the slice ``name`` sends to the sketch ``number``: for each row and block, the gaps between its cells and their counts."""
     if not len(keys):
         return
     out: list[list] = [[], [], [], [], []]
-    for row in range(ROWS):
+    for row in range(ROWS * number, ROWS * (number + 1)):
         cells, sums = _summed(cells_of(keys, row, blocks), counts, least)
         block = (cells >> np.uint64(BITS)).astype(np.int64)
         bounds = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(cells)]
@@ -75,7 +75,7 @@ def sketch(name: int, keys: np.ndarray, counts: np.ndarray, blocks: int, least:
 
 
 def answers(sent: DataFrame, least: int) -> DataFrame:
-    """sent: what ``sketch`` yields -> slice, hot: a list of (sketch, block, cells), those of the slice's cells whose merged count is at least ``least``."""
+    """sent: what ``sketch`` yields -> the same columns without counts: those of each slice's cells whose merged count is at least ``least``."""
     kind = np.uint8 if least < 256 else np.uint32
 
     def merge(group: pa.Table) -> pa.Table:
@@ -92,21 +92,26 @@ def answers(sent: DataFrame, least: int) -> DataFrame:
         return pa.Table.from_arrays([*columns, pa.array([_packed(x, np.zeros(0, kind)) for x in hot], pa.binary())], schema=_SENT)
 
     merged = sent.groupBy("sketch", "block").applyInArrow(merge, SENT)
-    return merged.where("size > 0").groupBy("slice").agg(F.collect_list(F.struct("sketch", "block", "size", "cells")).alias("hot"))
+    return merged.where("size > 0")
 
 
-def hot_cells(hot: list[dict] | None) -> list[np.ndarray]:
-    """The answer to a slice as sorted cells of each row."""
+def by_slice(hot: DataFrame) -> DataFrame:
+    """Answers, of one sketch or several -> slice, hot: the list of a slice's answers."""
+    return hot.groupBy("slice").agg(F.collect_list(F.struct("sketch", "block", "size", "cells")).alias("hot"))
+
+
+def hot_cells(hot: list[dict] | None, number: int = 0) -> list[np.ndarray]:
+    """The answer of the sketch ``number`` to a slice as sorted cells of each row."""
     each: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(ROWS)]
-    for x in hot or []:
-        each[x["sketch"]].append(_unpacked(x["cells"], x["size"])[0].astype(np.uint64) | np.uint64(x["block"] << BITS))
+    for x in (x for x in hot or [] if x["sketch"] // ROWS == number):
+        each[x["sketch"] % ROWS].append(_unpacked(x["cells"], x["size"])[0].astype(np.uint64) | np.uint64(x["block"] << BITS))
     return [np.sort(np.concatenate(x)) for x in each]
 
 
-def may_reach(keys: np.ndarray, hot: list[np.ndarray], blocks: int) -> np.ndarray:
-    """Which keys may have reached the threshold: those whose cell is hot in every row. Never false for one that has."""
+def may_reach(keys: np.ndarray, hot: list[np.ndarray], blocks: int, number: int = 0) -> np.ndarray:
+    """Which keys may have reached the threshold in the sketch ``number``: those whose cell is hot in every row. Never false for one that has."""
     out = np.ones(len(keys), bool)
-    for row, cells in enumerate(hot):
+    for row, cells in enumerate(hot, ROWS * number):
         mine = cells_of(keys, row, blocks)
         at = np.minimum(np.searchsorted(cells, mine), max(len(cells) - 1, 0))
         out &= cells[at] == mine if len(cells) else False

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.common import cut
-from memlake.llm.count_min import SENT, answers, blocks_for, hot_cells, may_reach, sketch
+from memlake.llm.count_min import SENT, answers, blocks_for, by_slice, hot_cells, may_reach, sketch
 from memlake.llm.slices import hashes, kinds, mix, numbered, rows_of, slices, strings, text_seeds, tokens
 
 #: Everything but letters A-Z, a-z and what lies beyond ASCII parts terms.
@@ -96,7 +96,7 @@ def term_counts(docs: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]
     parts = slices(docs, lang=F.coalesce("lang", F.lit("")), source=F.coalesce("source", F.lit("")))
     size = parts.agg(F.coalesce(F.sum(F.element_at("ends", -1).cast("long")), F.lit(0))).first()[0]
     blocks = blocks_for(size, CELLS)
-    asked = answers(parts.mapInArrow(_partial(blocks, least_docs), SENT), least_docs)
+    asked = by_slice(answers(parts.mapInArrow(_partial(blocks, least_docs), SENT), least_docs))
     counted = parts.join(asked.hint("shuffle_hash"), "slice", "left").mapInArrow(_survivors(blocks), "lang string, source string, term string, n long, df long")
     counts = cut(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")))
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("df").alias("docs")).where(F.col("docs") >= least_docs)

@@ -15,7 +15,7 @@ from test_corpus import empty_docs, odd_docs
 
 from memlake.llm import count_min, partial_matching, slices
 from memlake.llm.collocations import collocations
-from memlake.llm.count_min import answers, hot_cells, may_reach, sketch
+from memlake.llm.count_min import answers, by_slice, hot_cells, may_reach, sketch
 from memlake.llm.divergence import source_divergence
 from memlake.llm.slices import hashes, numbered
 
@@ -72,7 +72,7 @@ def test_collocations_whatever_the_slices_and_blocks(spark, monkeypatch):
     want = brute_collocations(rows, 4, 5, 2000)
     monkeypatch.setattr("memlake.llm.collocations.slices", lambda d, **c: slices.slices(d, 1, **c))
     assert {tuple(x) for x in collocations(docs, 4).collect()} == want
-    monkeypatch.setattr("memlake.llm.collocations.may_reach", lambda keys, hot, blocks: np.ones(len(keys), bool))
+    monkeypatch.setattr("memlake.llm.collocations.may_reach", lambda keys, hot, blocks, number=0: np.ones(len(keys), bool))
     assert {tuple(x) for x in collocations(docs, 4).collect()} == want
 
 
@@ -194,7 +194,7 @@ def test_a_sketch_never_underestimates(spark, least):
     blocks = count_min.blocks_for(keys.size, 100)
     held = [(i, keys[c > 0], c[c > 0]) for i, c in enumerate(counts)]
     sent = pa.Table.from_batches([b for i, k, c in held for b in sketch(i, k, c, blocks, least)])
-    back = {x.slice: x.hot for x in answers(spark.createDataFrame(sent.to_pandas(), count_min.SENT), least).collect()}
+    back = {x.slice: x.hot for x in by_slice(answers(spark.createDataFrame(sent.to_pandas(), count_min.SENT), least)).collect()}
     reached = counts.sum(axis=0) >= least
     for i, k, c in held:
         may = may_reach(k, hot_cells([y.asDict() for y in back.get(i, [])]), blocks)
