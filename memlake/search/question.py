@@ -67,9 +67,10 @@ def covers(alternatives: list[Alternative], at: dict[str, list[int]]) -> Iterato
 
 
 def score(question: tuple[Alternative, ...], at: dict[str, list[int]]) -> float | None:
-    """at: positions of the question's terms in a text. None if the text is no answer, else the sum over its covers: a cover without other
+    """at: positions of terms in a text; those that the question does not name are of no account. None if the text is no answer, else the sum over its covers: a cover without other
     words between counts whole, one with n other words a (1 + n)th."""
     met = [a for a in question if all(_begins(p, at) for p in a.wanted) and not any(_begins(p, at) for p in a.barred)]
     if not met:
         return None
-    return sum(WEIGHT / (1 + (q - p) - (n - 1)) for p, q, n in covers(met, at))
+    own = {t: at[t] for t in terms_of(question) if t in at}
+    return sum(WEIGHT / (1 + (q - p) - (n - 1)) for p, q, n in covers(met, own))
