@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.operators.folds import folded
 from memlake.operators.written import written
 
 
@@ -27,31 +30,79 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFram
     return met
 
 
-def supersede(claims: DataFrame) -> DataFrame:
-    """claims of one single-valued relation: subject, object, valid_from, fact_id (order of arrival) -> the facts they leave:
-    subject, object, fact_id, valid_from, valid_to, evidence.
-
-    A claim equal to an open fact is more evidence for it and may move its start back. Every claim closes, at its own date, the subject's other
-    open facts that start strictly earlier; an older claim that arrives late stays open beside the newer one. What a claim does
-    depends on the facts left by earlier ones, so each subject is folded in order of arrival."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        facts: list[dict] = []
-        for c in pdf.sort_values("fact_id").itertuples():
-            same = next((f for f in facts if f["valid_to"] is None and f["object"] == c.object), None)
-            if same:
-                same["evidence"] += 1
-                same["valid_from"] = min(same["valid_from"], c.valid_from)
-            else:
-                facts.append({"subject": c.subject, "object": c.object, "fact_id": c.fact_id, "valid_from": c.valid_from, "valid_to": None, "evidence": 1})
-            for f in facts:
-                if f["object"] != c.object and f["valid_to"] is None and f["valid_from"] < c.valid_from:
-                    f["valid_to"] = c.valid_from
-        out = pd.DataFrame(facts, columns=["subject", "object", "fact_id", "valid_from", "valid_to", "evidence"])
-        return out.assign(valid_to=pd.to_datetime(out.valid_to))
-
+@dataclass
+class Fact:
+    object: object
+    fact_id: object
+    valid_from: object
+    confidence: float | None
+    evidence: int = 1
+
+
+class OpenFacts:
+    """The facts of one subject and relation that are open, by object, and a heap by start, so that a claim looks only at what it closes."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.open, self.heap, self.pushed = key, {}, [], 0
+
+    def _push(self, fact: Fact) -> None:
+        self.pushed += 1
+        heapq.heappush(self.heap, (fact.valid_from, self.pushed, fact))
+
+    def row(self, fact: Fact, valid_to=None, by=None) -> tuple:
+        return (*self.key, fact.object, fact.fact_id, fact.valid_from, valid_to, fact.evidence, fact.confidence, by)
+
+    def claim(self, object_, fact_id, valid_from, confidence, single: bool) -> list[tuple]:
+        """The facts that the claim closes."""
+        fact = self.open.get(object_)
+        if fact is None:
+            fact = self.open[object_] = Fact(object_, fact_id, valid_from, confidence)
+            self._push(fact)
+        else:
+            fact.evidence += 1
+            fact.confidence = max((c for c in (fact.confidence, confidence) if c is not None), default=None)
+            if valid_from < fact.valid_from:
+                fact.valid_from = valid_from
+                self._push(fact)
+        closed = []
+        while single and self.heap and self.heap[0][0] < valid_from:
+            start, _, other = heapq.heappop(self.heap)
+            if other is fact:
+                closed.append(None)
+            elif self.open.get(other.object) is other and other.valid_from == start:
+                closed.append(self.row(self.open.pop(other.object), valid_from, fact.fact_id))
+        if None in closed:
+            self._push(fact)
+        return [x for x in closed if x]
+
+    def left(self) -> list[tuple]:
+        return [self.row(f) for f in self.open.values()]
+
+
+def facts_of_claims(claims: DataFrame, single_valued: tuple[str, ...]) -> DataFrame:
+    """claims: subject, predicate, object, valid_from, fact_id (order of arrival), confidence -> the facts they leave: subject, predicate, object,
+    fact_id, valid_from, valid_to, evidence, confidence, superseded_by.
+
+    A claim equal to an open fact is more evidence for it: it may move its start back, and the best confidence stands. A claim of a
+    single-valued relation closes, at its own date, the subject's other open facts of that relation that start strictly earlier; an older
+    claim that arrives late stays open beside the newer one, and facts of the same start contradict each other. Claims without a subject, an
+    object or a date state nothing and go."""
+    whole = claims.where("subject is not null and object is not null and valid_from is not null")
+    rows = whole.select(F.struct("subject", "predicate").alias("key"), "object", "valid_from", "fact_id", "confidence")
     kinds = dict(claims.dtypes)
-    return claims.groupBy("subject").applyInPandas(fold, f"subject {kinds['subject']}, object {kinds['object']}, fact_id {kinds['fact_id']}, valid_from {kinds['valid_from']}, valid_to {kinds['valid_from']}, evidence int")
+    schema = f"subject {kinds['subject']}, predicate string, object {kinds['object']}, fact_id {kinds['fact_id']}, valid_from {kinds['valid_from']}, valid_to {kinds['valid_from']}, evidence int, confidence double, superseded_by {kinds['fact_id']}"
+
+    def step(state: OpenFacts, row: dict) -> tuple[OpenFacts, list[tuple]]:
+        return state, state.claim(row["object"], row["fact_id"], row["valid_from"], row["confidence"], row["key"]["predicate"] in single_valued)
+
+    return folded(rows, "key", ["fact_id"], lambda k: OpenFacts((k["subject"], k["predicate"])), step, OpenFacts.left, schema)
+
+
+def supersede(claims: DataFrame) -> DataFrame:
+    """claims of one single-valued relation: subject, object, valid_from, fact_id -> the facts they leave: subject, object, fact_id, valid_from,
+    valid_to, evidence."""
+    named = claims.select("subject", F.lit("").alias("predicate"), "object", "valid_from", "fact_id", F.lit(None).cast("double").alias("confidence"))
+    return facts_of_claims(named, ("",)).select("subject", "object", "fact_id", "valid_from", "valid_to", "evidence")
 
 
 def conflicts(facts: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.operators.folds import folded
+
 
 def credits(tokens_in: Column, tokens_out: Column, cached: Column, embeds: Column) -> Column:
     """Whole credits of a call: generation weighs tokens 1, 4 and 0.25, embedding 0.1, 0 and 0, per thousand and rounded up; at
@@ -23,15 +24,13 @@ def token_bucket(calls: DataFrame, capacity: float, per_hour: float) -> DataFram
     """calls: key, ts, event_id, credits -> key, event_id, admitted, level. The bucket leaks ``per_hour`` credits; a call is admitted
     if its credits fit under ``capacity``. State depends on all earlier calls of a key, so each key is folded in order."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        level, before, out = 0.0, None, []
-        for t, c in zip(pdf.ts, pdf.credits, strict=True):
-            if before is not None:
-                level = max(0.0, level - (t - before).total_seconds() / 3600 * per_hour)
-            before, ok = t, level + c <= capacity
-            level += c if ok else 0
-            out.append((ok, round(level, 6)))
-        return pd.DataFrame({"key": pdf.key, "event_id": pdf.event_id, "admitted": [x[0] for x in out], "level": [x[1] for x in out]})
-
-    return calls.groupBy("key").applyInPandas(fold, "key long, event_id long, admitted boolean, level double")
+    def step(state: tuple, row: dict) -> tuple[tuple, list[tuple]]:
+        level, before = state
+        if before is not None:
+            level = max(0.0, level - (row["ts"] - before).total_seconds() / 3600 * per_hour)
+        ok = level + row["credits"] <= capacity
+        level += row["credits"] if ok else 0
+        return (level, row["ts"]), [(row["key"], row["event_id"], ok, round(level, 6))]
+
+    rows = calls.select("key", "ts", "event_id", "credits")
+    return folded(rows, "key", ["ts", "event_id"], lambda _: (0.0, None), step, lambda _: (), "key long, event_id long, admitted boolean, level double")

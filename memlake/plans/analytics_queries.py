@@ -91,7 +91,15 @@ def budget_binding(spark, sf_dir):
     return rows.select(F.col("c_custkey").alias("user_id"), binding_limit(own, project, org).alias("budget"))
 
 
-@query()
+_BUCKET_SQL = f"""WITH RECURSIVE {_USAGE_SQL}, s AS (SELECT user_id AS key, event_id, ts, credits, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM costed),
+f AS (SELECT DISTINCT key, 0::BIGINT AS i, 0::BIGINT AS event_id, false AS admitted, 0.0::DOUBLE AS level, NULL::TIMESTAMP AS before FROM s
+  UNION ALL SELECT key, i, event_id, left_over + credits <= 20, CASE WHEN left_over + credits <= 20 THEN left_over + credits ELSE left_over END, ts FROM (
+    SELECT s.key, s.i, s.event_id, s.credits, s.ts, CASE WHEN before IS NULL THEN level ELSE greatest(0.0::DOUBLE, level - (epoch_us(s.ts) - epoch_us(before)) / 1000000.0::DOUBLE / 3600 * 2.0::DOUBLE) END AS left_over
+    FROM f JOIN s ON s.key = f.key AND s.i = f.i + 1))
+SELECT key, event_id, admitted, round(level, 6) AS level FROM f WHERE i > 0"""
+
+
+@query(_BUCKET_SQL)
 def token_bucket_admission(spark, sf_dir):
     """Admission by a leaky bucket per user, folded in event order."""
     e = _costed(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", "event_id", "credits")

@@ -49,7 +49,19 @@ def fact_evidence(spark, sf_dir):
     return claims(spark, sf_dir).groupBy("subject", "object").agg(F.countDistinct("fact_id").alias("evidence"), F.min("valid_from").alias("valid_from"), F.max("valid_from").alias("last_seen"), F.array_join(first, ",").alias("sources"))
 
 
-@query()
+#: Claims one after another over the list of a subject's facts.
+_SUPERSEDE_SQL = f"""WITH RECURSIVE {CLAIMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY fact_id) AS i FROM claims),
+f AS (SELECT DISTINCT subject, 0::BIGINT AS i, []::STRUCT(o VARCHAR, id BIGINT, s TIMESTAMP, e TIMESTAMP, n INT)[] AS facts FROM claims
+  UNION ALL SELECT subject, i, list_transform(met, lambda x: CASE WHEN x.o <> object AND x.e IS NULL AND x.s < valid_from THEN struct_pack(o := x.o, id := x.id, s := x.s, e := valid_from, n := x.n) ELSE x END) FROM (
+    SELECT n.subject, n.i, n.object, n.valid_from::TIMESTAMP AS valid_from, CASE WHEN len(list_filter(facts, lambda x: x.o = n.object AND x.e IS NULL)) > 0
+      THEN list_transform(facts, lambda x: CASE WHEN x.o = n.object AND x.e IS NULL THEN struct_pack(o := x.o, id := x.id, s := least(x.s, n.valid_from::TIMESTAMP), e := x.e, n := x.n + 1) ELSE x END)
+      ELSE list_append(facts, struct_pack(o := n.object, id := n.fact_id, s := n.valid_from::TIMESTAMP, e := NULL::TIMESTAMP, n := 1)) END AS met
+    FROM f JOIN n ON n.subject = f.subject AND n.i = f.i + 1)),
+l AS (SELECT subject, unnest(facts) AS x FROM (SELECT * FROM f QUALIFY i = max(i) OVER (PARTITION BY subject)))
+SELECT subject, x.o AS object, x.id AS fact_id, x.s AS valid_from, x.e AS valid_to, x.n AS evidence FROM l"""
+
+
+@query(_SUPERSEDE_SQL)
 def fact_supersession(spark, sf_dir):
     return supersede(claims(spark, sf_dir))
 

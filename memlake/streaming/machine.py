@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from memlake.operators.folds import folded
+
 OUT = "instance long, seq long, input string, from_state string, to_state string, outcome string"
 STATE = "state string, seq long, spent int"
 
@@ -58,10 +60,14 @@ def replay(inputs: DataFrame, machine: dict, budget: int = 1000, start: str = "n
     """inputs: instance, seq, input, actor -> what each did. What an input does depends on the state left by those before it, so each
     instance is folded in order; an input whose seq is not above the last one is a repeat and does nothing."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _advance(machine, budget, (start, -1, 0), pdf)[1]
+    def one(held: tuple, row: dict) -> tuple[tuple, list[tuple]]:
+        state, last, spent = held
+        if row["seq"] <= last:
+            return held, []
+        after, outcome = step(machine, state, spent, row["input"], row["actor"], budget)
+        return (after, row["seq"], spent + (outcome == "applied")), [(row["instance"], row["seq"], row["input"], state, after, outcome)]
 
-    return inputs.groupBy("instance").applyInPandas(fold, OUT)
+    return folded(inputs.select("instance", "seq", "input", "actor"), "instance", ["seq"], lambda _: (start, -1, 0), one, lambda _: (), OUT)
 
 
 def replay_stream(inputs: DataFrame, machine: dict, budget: int = 1000, start: str = "new") -> DataFrame:
