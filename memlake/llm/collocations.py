@@ -45,37 +45,47 @@ def _longer(h: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mix(h * _FACTOR + last)
 
 
-def _sent(name: int, found: list[np.ndarray], blocks: int, least: int, number: int) -> Iterator[pa.RecordBatch]:
-    grams = np.sort(np.concatenate(found))
+def _sent(name: int, grams: np.ndarray, blocks: int, least: int, number: int) -> Iterator[pa.RecordBatch]:
+    grams = np.sort(grams)
     first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
     return sketch(name, grams[first], np.diff(first, append=len(grams)), blocks, least, number)
 
 
+def _short_grams(piece: np.ndarray, word: np.ndarray, most: int) -> np.ndarray:
+    """The words and pairs of a slice, for the first sketch."""
+    return np.concatenate([word, _longer(word[:-1], word[1:])[piece[:-1] == piece[1:]]]) if most > 1 else word
+
+
+def _long_grams(piece: np.ndarray, word: np.ndarray, most: int, hot: list[np.ndarray], blocks: int) -> np.ndarray:
+    """Its n-grams of more words where every pair has survived the first sketch, for the second."""
+    h, alive = _longer(word[:-1], word[1:]), piece[:-1] == piece[1:]
+    alive[alive] = may_reach(h[alive], hot, blocks)
+    found, pairs = [word[:0]], alive
+    for n in range(SHORT + 1, most + 1):
+        h, alive = _longer(h[:-1], word[n - 1 :]), alive[:-1] & pairs[n - 2 :]
+        found.append(h[alive])
+    return np.concatenate(found)
+
+
 def _short(blocks: int, least: int, most: int):
     """What each slice sends to the first sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             _, _, _, piece, _, word = _words(row, 1)
-            pair = _longer(word[:-1], word[1:])[piece[:-1] == piece[1:]] if most > 1 else word[:0]
-            yield from _sent(row["slice"], [word, pair], blocks, least, 0)
+            yield from _sent(row["slice"], _short_grams(piece, word, most), blocks, least, 0)
 
     return run
 
 
 def _long(blocks: int, least: int, most: int):
-    """What each slice sends to the second sketch: n-grams of more words where every pair has survived the first."""
+    """What each slice sends to the second sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             _, _, _, piece, _, word = _words(row, 1)
-            h, alive = _longer(word[:-1], word[1:]), piece[:-1] == piece[1:]
-            alive[alive] = may_reach(h[alive], hot_cells(row["hot"]), blocks)
-            found, pairs = [word[:0]], alive
-            for n in range(SHORT + 1, most + 1):
-                h, alive = _longer(h[:-1], word[n - 1 :]), alive[:-1] & pairs[n - 2 :]
-                found.append(h[alive])
-            yield from _sent(row["slice"], found, blocks, least, 1)
+            hot = hot_cells(row["hot"], _short_grams(piece, word, most), blocks)
+            yield from _sent(row["slice"], _long_grams(piece, word, most, hot, blocks), blocks, least, 1)
 
     return run
 
@@ -86,7 +96,8 @@ def _survivors(blocks: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             data, starts, ends, piece, lang, word = _words(row, 1)
-            langs, hot = pa.array(np.unique(np.asarray(row["lang"], dtype=object)), pa.string()), [hot_cells(row["hot"], i) for i in range(2)]
+            langs, hot = pa.array(np.unique(np.asarray(row["lang"], dtype=object)), pa.string()), [hot_cells(row["hot"], _short_grams(piece, word, most), blocks)]
+            hot.append(hot_cells(row["hot"], _long_grams(piece, word, most, hot[0], blocks), blocks, 1))
             first, number = numbered(word, mix(hashes(data, starts, ends, 2) ^ text_seeds(langs, 2)[lang]))
             h, known, alive = word, number.astype(np.int64), may_reach(word[first], hot[0], blocks)[number]
             for n in range(1, most + 1):

@@ -2,7 +2,7 @@
 
 A sketch that one task can hold is too narrow for a large corpus, where its cells fill up and rule nothing out. Here the width is in
 proportion to what is counted, and no task ever holds more than one block of it. A slice sends the cells that it touches; a block adds up
-what all slices send to it; each slice gets back those of its own cells whose sum reaches the threshold. A slice names a cell once
+what all slices send to it; each slice gets back a bit for each of its own cells, in order: whether its sum reaches the threshold. A slice names a cell once
 whatever the number of occurrences behind it, and cells are spread by hash, so that blocks are even however skewed the counts.
 """
 
@@ -29,10 +29,10 @@ def _packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
     return pa.compress((gaps & 255).astype(np.uint8).tobytes() + (gaps >> 8).astype(np.uint16).tobytes() + counts.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(data: bytes, size: int, kind: type | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    raw = pa.decompress(data, size * (3 + (np.dtype(kind).itemsize if kind else 0)), codec="zstd", asbytes=True)
+def _unpacked(data: bytes, size: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(data, size * (3 + np.dtype(kind).itemsize), codec="zstd", asbytes=True)
     gaps = np.frombuffer(raw, np.uint8, size).astype(np.int64) + (np.frombuffer(raw, np.uint16, size, size).astype(np.int64) << 8)
-    return np.cumsum(gaps), np.frombuffer(raw, kind, size, 3 * size) if kind else None
+    return np.cumsum(gaps), np.frombuffer(raw, kind, size, 3 * size)
 
 
 def blocks_for(items: int, cells: float) -> int:
@@ -75,7 +75,8 @@ def sketch(name: int, keys: np.ndarray, counts: np.ndarray, blocks: int, least:
 
 
 def answers(sent: DataFrame, least: int) -> DataFrame:
-    """sent: what ``sketch`` yields -> the same columns without counts: those of each slice's cells whose merged count is at least ``least``."""
+    """sent: what ``sketch`` yields -> the same columns, with a bit for each cell sent in place of the cells: whether its merged count is at
+    least ``least``. Blocks without a hot cell send no answer."""
     kind = np.uint8 if least < 256 else np.uint32
 
     def merge(group: pa.Table) -> pa.Table:
@@ -84,15 +85,12 @@ def answers(sent: DataFrame, least: int) -> DataFrame:
         for data, size in sent:
             cells, counts = _unpacked(data, size, kind)
             total[cells] += counts
-        hot = []
-        for data, size in sent:
-            cells, _ = _unpacked(data, size, kind)
-            hot.append(cells[total[cells] >= least])
-        columns = [group.column("slice"), group.column("sketch"), group.column("block"), pa.array([len(x) for x in hot], pa.int32())]
-        return pa.Table.from_arrays([*columns, pa.array([_packed(x, np.zeros(0, kind)) for x in hot], pa.binary())], schema=_SENT)
+        hot = [total[_unpacked(data, size, kind)[0]] >= least for data, size in sent]
+        bits = [pa.compress(np.packbits(x).tobytes(), codec="zstd", asbytes=True) if x.any() else None for x in hot]
+        return pa.Table.from_arrays([*(group.column(c) for c in ("slice", "sketch", "block", "size")), pa.array(bits, pa.binary())], schema=_SENT)
 
     merged = sent.groupBy("sketch", "block").applyInArrow(merge, SENT)
-    return merged.where("size > 0")
+    return merged.where("cells is not null")
 
 
 def by_slice(hot: DataFrame) -> DataFrame:
@@ -100,12 +98,19 @@ def by_slice(hot: DataFrame) -> DataFrame:
     return hot.groupBy("slice").agg(F.collect_list(F.struct("sketch", "block", "size", "cells")).alias("hot"))
 
 
-def hot_cells(hot: list[dict] | None, number: int = 0) -> list[np.ndarray]:
-    """The answer of the sketch ``number`` to a slice as sorted cells of each row."""
-    each: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(ROWS)]
-    for x in (x for x in hot or [] if x["sketch"] // ROWS == number):
-        each[x["sketch"] % ROWS].append(_unpacked(x["cells"], x["size"])[0].astype(np.uint64) | np.uint64(x["block"] << BITS))
-    return [np.sort(np.concatenate(x)) for x in each]
+def hot_cells(hot: list[dict] | None, keys: np.ndarray, blocks: int, number: int = 0) -> list[np.ndarray]:
+    """The answer of the sketch ``number`` to a slice that sent ``keys`` (in any order, with or without repeats), as sorted cells of each row."""
+    out = []
+    for row in range(ROWS * number, ROWS * (number + 1)):
+        cells = np.sort(cells_of(keys, row, blocks))
+        cells = cells[np.concatenate([[True], cells[1:] != cells[:-1]])] if len(cells) else cells
+        bits = np.zeros(len(cells), bool)
+        for x in (x for x in hot or [] if x["sketch"] == row):
+            a, b = np.searchsorted(cells, np.array([x["block"], x["block"] + 1], np.uint64) << np.uint64(BITS))
+            raw = pa.decompress(x["cells"], (x["size"] + 7) // 8, codec="zstd", asbytes=True)
+            bits[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=x["size"])
+        out.append(cells[bits])
+    return out
 
 
 def may_reach(keys: np.ndarray, hot: list[np.ndarray], blocks: int, number: int = 0) -> np.ndarray:

@@ -66,7 +66,7 @@ def _survivors(blocks: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             data, starts, ends, doc, first, number, keys = _terms(row)
-            alive = may_reach(keys, hot_cells(row["hot"]), blocks)
+            alive = may_reach(keys, hot_cells(row["hot"], keys, blocks), blocks)
             number, doc = np.where(alive, np.cumsum(alive) - 1, -1)[number], doc[: len(number)]
             first, keys, number, doc = first[alive], keys[alive], number[number >= 0], doc[number >= 0]
             if not len(first):

@@ -197,7 +197,7 @@ def test_a_sketch_never_underestimates(spark, least):
     back = {x.slice: x.hot for x in by_slice(answers(spark.createDataFrame(sent.to_pandas(), count_min.SENT), least)).collect()}
     reached = counts.sum(axis=0) >= least
     for i, k, c in held:
-        may = may_reach(k, hot_cells([y.asDict() for y in back.get(i, [])]), blocks)
+        may = may_reach(k, hot_cells([y.asDict() for y in back.get(i, [])], k, blocks), blocks)
         true = reached[counts[i] > 0]
         assert may[true].all()
         assert may[~true].mean() < 0.05
