@@ -1,6 +1,6 @@
-"""A table that changes: bucketed Parquet, and a manifest for each version that says which folder holds each bucket.
+"""A table that changes: bucketed Parquet, and a manifest for each version that says which folders hold each bucket.
 
-A change rewrites the buckets that hold its keys and no others, then publishes a manifest by a rename that fails where the version is
+A change rewrites the buckets that hold its keys and no others, an append only adds folders; either then publishes a manifest by a rename that fails where the version is
 taken. So readers see whole versions only, a writer that lost the race finds out and starts again, and old versions stay readable. On an
 object store without atomic renames, publish through its conditional writes instead.
 """
@@ -52,7 +52,7 @@ class Versions:
         """The latest version; 0 before the first change."""
         return max(self._manifests(), default=0)
 
-    def _manifest(self, version: int) -> dict[int, str]:
+    def _manifest(self, version: int) -> dict[int, list[str]]:
         if not version:
             return {}
         text = self.spark.read.text(f"{self.path}/manifests/v{version}", wholetext=True).first()[0]
@@ -64,10 +64,10 @@ class Versions:
     def read(self, version: int | None = None, only: list[int] | None = None) -> DataFrame:
         """The rows of a version, the latest by default; ``only``: of these buckets."""
         manifest = self._manifest(self.version() if version is None else version)
-        paths = [p for b, p in sorted(manifest.items()) if only is None or b in only]
+        paths = [p for b, held in sorted(manifest.items()) if only is None or b in only for p in held]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def _publish(self, version: int, manifest: dict[int, str]) -> None:
+    def _publish(self, version: int, manifest: dict[int, list[str]]) -> None:
         jvm, fs = self._fs()
         path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{name}")
         draft = path(f"draft-{uuid.uuid4().hex}")
@@ -86,6 +86,19 @@ class Versions:
                 raise Taken(f"version {version}") from e
             raise
 
+    def _write(self, rows: DataFrame) -> dict[int, list[str]]:
+        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        rows.select(*self.schema.names).withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        jvm, fs = self._fs()
+        found = [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder))]
+        return {int(n.removeprefix("bucket=")): [f"{folder}/{n}"] for n in found if n.startswith("bucket=")}
+
+    def append(self, rows: DataFrame, base: int) -> int:
+        """Publishes version ``base`` + 1 with ``rows`` added. Where another writer was first, raises ``Taken``: what was worked out from ``base`` may no longer hold."""
+        manifest, made = self._manifest(base), self._write(rows)
+        self._publish(base + 1, {b: [*manifest.get(b, []), *made.get(b, [])] for b in {*manifest, *made}})
+        return base + 1
+
     def change(self, touched: DataFrame, rewrite: Callable[[DataFrame], DataFrame]) -> int:
         """Publishes the version in which ``rewrite`` has replaced the rows of every bucket that ``touched`` (the keys) falls into, and
         returns its number. ``rewrite`` gets those rows as they stand and may only return rows of the same buckets. Nothing touched: no new
@@ -96,11 +109,7 @@ class Versions:
         for attempt in range(TRIES):
             base = self.version()
             manifest = self._manifest(base)
-            folder = f"{self.path}/data/{uuid.uuid4().hex}"
-            after = rewrite(self.read(base, hit)).select(*self.schema.names).withColumn("bucket", self.bucket())
-            after.repartition("bucket").write.partitionBy("bucket").parquet(folder)
-            jvm, fs = self._fs()
-            made = {b: f"{folder}/bucket={b}" for b in hit if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/bucket={b}"))}
+            made = self._write(rewrite(self.read(base, hit)))
             try:
                 self._publish(base + 1, {b: p for b, p in manifest.items() if b not in hit} | made)
                 return base + 1
