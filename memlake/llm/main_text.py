@@ -7,9 +7,12 @@ priors for tags that the sample may lack. Tokens inside boilerplate containers a
 finds the best run; boilerplate inside an article or main, left out anyway, costs nothing there. Inside the run, scripts, styles, forms and containers that are boilerplate by name are left out, character references
 are decoded, inline tags join and block tags separate words.
 
-Never boilerplate: html and body; what holds an article or main, or, on pages that mark none, most of the words; inside an
-article or main what holds most of its words, the headings of a header, and names that are usual for its own text (INNER_NOISE has the others). Aside, nav,
-footer and the like stay boilerplate whatever they hold, unless the page's only article or main is in them.
+What is boilerplate is decided by names and structure, never by size. Reader comments are boilerplate wherever they stand, an article
+element inside them or named as a comment included, unless the name only tells a state (comments-open). Other boilerplate names do not
+count on html and body, on what holds an article or main, on a page's layout (names such as layout or page beside them), on what holds all
+top headings of a page without article, and where nothing else would be left of the page or of its article. Inside an article or main
+the headings of a header stay, and so do names that are usual for its own text (INNER_NOISE has the others). Aside, nav, footer and
+the like are boilerplate whatever they hold, unless all articles of the page are in them.
 
 Defined results: null or empty html, and pages where no run scores above zero, give the empty text. Whole pages are read,
 whatever their length. Extra columns are ignored.
@@ -21,6 +24,7 @@ import html as htmllib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 from memlake.llm.common import sampled
 
 SAMPLE = 800
+#: A key seen in fewer than one of so many tokens of the sample is left to the priors, so there are at most as many.
+RARE = 100_000
 
 #: Elements by their HTML role.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "object", "math"}
@@ -39,6 +45,11 @@ BOILERPLATE = {"nav", "header", "footer", "aside", "form", "button", "select", "
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|sidebar|related|recommend\w*|comments?|reply|replies|disqus|breadcrumbs?|nav\w*|menu|footer|header|widget|login|signup|pagination|pager|tags|meta|byline|skip)(?:$|[\s_-])", re.I)
 #: Names that also inside an article are boilerplate; a notice, a line of meta data or a section on related work is text there.
 INNER_NOISE = re.compile(r"(?:^|[\s_-])(?:(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|popup|modal|newsletter|subscribe|share|sharing|social|sidebar|recommend\w*|comments?|reply|replies|disqus|breadcrumbs?|nav\w*|menu|footer|widget|login|signup|pagination|pager)(?:$|[\s_-])|related(?:[_-](?:articles?|content|items?|links?|news|posts?|stories))?(?:$|\s))", re.I)
+#: Names of reader comments, those that only tell a state, and how a comment that is an article element is named.
+COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|disqus|replies|respond)(?:$|[_-])", re.I)
+STATE = re.compile(r"^(?:has|no|with|is|show|hide)[_-]|[_-](?:open|closed|enabled|disabled|on|off)$", re.I)
+COMMENT_ARTICLE = re.compile(r"(?:(?:user|reader|single|child|nested|blog)[_-])?comments?(?:[_-](?:body|item|content|text|entry|single|card|box|thread|post|wrap|main))?", re.I)
+LAYOUT = re.compile(r"(?:^|\s)(?:layout|page|site|app|root|post|hentry|story|single|article)(?:$|\s)", re.I)
 MAIN = {"article", "main"}
 ROOT = {"html", "body"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -68,74 +79,117 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 at = close.start() if close else end
 
 
-def _key(name: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """A container's key (element, and boilerplate class if it has one) and whether it is boilerplate by name."""
+def _key(name: str, attributes: str, inside: bool) -> tuple[str, bool, bool, bool]:
+    """A container's key (element, and boilerplate class if it has one), whether it is boilerplate by name, whether of comments, and whether it is named as a layout."""
+    names = " ".join(x for g in _NAMED.findall(attributes) for x in g if x) if attributes and name not in ROOT else ""
+    if name in MAIN:
+        said = any(COMMENT_ARTICLE.fullmatch(x) for x in names.split())
+        return (f"{name}.noise" if said else name), said, said, False
+    comments = any(COMMENTS.search(x) and not STATE.search(x) for x in names.split())
     if name in BOILERPLATE:
-        return name, True
-    names = " ".join(x for g in _NAMED.findall(attributes) for x in g if x) if attributes and name not in MAIN | ROOT else ""
-    return (f"{name}.noise", True) if names and (INNER_NOISE if inside else NOISE).search(names) else (name, False)
-
-
-def _holders(nodes: list[list]) -> None:
-    """Clears the boilerplate mark of elements that hold the text itself; nodes: name, marked, parent, main element around it, words,
-    outermost article and main elements in it. Parents come before children."""
-    for i in range(len(nodes) - 1, 0, -1):
-        name, _, parent, around, n, holds = nodes[i]
-        nodes[parent][4] += n
-        nodes[parent][5] += holds + (name in MAIN and not around)
-    page, own = nodes[0][4], nodes[0][5]
+        return name, True, comments, False
+    marked = bool(names) and (comments or bool((INNER_NOISE if inside else NOISE).search(names)))
+    return (f"{name}.noise" if marked else name), marked, comments, bool(LAYOUT.search(names))
+
+
+@dataclass
+class Node:
+    """An element: its mark, whether it stands in comments, the article or main around it; then what it holds outside comments."""
+
+    name: str
+    marked: bool
+    parent: int
+    around: int
+    comments: bool = False
+    layout: bool = False
+    words: int = 0
+    articles: int = 0
+    titles: int = 0
+    paragraphs: int = 0
+
+
+def _emptied(nodes: list[Node], scope: int) -> None:
+    """Where marks leave no word of a page (0) or of an article, the outermost marked names lose theirs, level by level; those with paragraphs first."""
+    own = [i for i in range(1, len(nodes)) if scope in (0, nodes[i].around)]
+    while True:
+        hidden, outer = {}, []
+        left = nodes[scope].words
+        for i in own:
+            node = nodes[i]
+            hidden[i] = hidden.get(node.parent, False) or node.marked
+            left += 0 if hidden[i] else node.words
+            if node.marked and not hidden.get(node.parent, False) and not node.comments and (node.name not in BOILERPLATE or node.name in WRAPPERS):
+                outer.append(node)
+        if left or not outer:
+            return
+        for node in [x for x in outer if x.paragraphs] or outer:
+            node.marked = False
+
+
+def _holders(nodes: list[Node]) -> None:
+    """Clears the marks of elements that hold the text itself. Parents come before children."""
+    for node in reversed(nodes[1:]):
+        up = nodes[node.parent]
+        if not node.comments:
+            up.articles += node.articles + (node.name in MAIN and not node.around)
+            up.titles += node.titles + (node.name == "h1")
+            up.paragraphs += node.paragraphs + (node.name == "p")
+    own, titles = nodes[0].articles, nodes[0].titles
     for node in nodes[1:]:
-        name, marked, _, around, n, holds = node
-        if not marked:
+        if not node.marked or node.comments:
             continue
-        if around:
-            node[1] = name in BOILERPLATE or 2 * n <= nodes[around][4]
-        elif name in BOILERPLATE and name not in WRAPPERS:
-            node[1] = not holds or holds < own
+        if node.around:
+            node.marked = node.name in BOILERPLATE or not node.titles
+        elif node.name in BOILERPLATE and node.name not in WRAPPERS:
+            node.marked = not node.articles or node.articles < own
         else:
-            node[1] = not (holds or not own and 2 * n > page)
+            node.marked = not (node.articles or node.layout or not own and titles and node.titles == titles)
+    for scope in [i for i, x in enumerate(nodes) if x.name in MAIN and not x.around and not x.comments] or [0]:
+        _emptied(nodes, scope)
 
 
 def parse(page: str) -> list[tuple]:
     """Tokens with context: (is_word, key, main, noise, text). Words' key is the innermost block container, tags' their own."""
-    found, stack, nodes = [], [0], [["", False, 0, 0, 0, 0]]
+    found, stack, nodes = [], [0], [Node("", False, 0, 0)]
     named, standing = [""], Counter()
     for kind, name, data in tokens(page):
         if kind == "text":
             if data:
                 found.append(("text", stack[-1], data))
-                nodes[stack[-1]][4] += len(data.split())
+                nodes[stack[-1]].words += len(data.split())
         elif kind == "open":
-            if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and nodes[stack[-1]][0] == name and name not in VOID and not data.rstrip().endswith("/"):
-                standing[nodes[stack.pop()][0]] -= 1
-            around = nodes[stack[-1]][3] or (stack[-1] if nodes[stack[-1]][0] in MAIN else 0)
-            key, bad = _key(name, data, around > 0)
-            nodes.append([name, bad, stack[-1], around, 0, 0])
+            if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and nodes[stack[-1]].name == name and name not in VOID and not data.rstrip().endswith("/"):
+                standing[nodes[stack.pop()].name] -= 1
+            up = nodes[stack[-1]]
+            around = up.around or (stack[-1] if up.name in MAIN and not up.comments else 0)
+            key, bad, comments, layout = _key(name, data, around > 0)
+            nodes.append(Node(name, bad, stack[-1], around, comments or up.comments, layout))
             named.append(key)
             found.append(("open", len(nodes) - 1, name))
             if name not in VOID and not data.rstrip().endswith("/") and name not in RAW:
                 stack.append(len(nodes) - 1)
                 standing[name] += 1
         elif standing[name]:
-            while nodes[stack[-1]][0] != name:
-                standing[nodes[stack.pop()][0]] -= 1
+            while nodes[stack[-1]].name != name:
+                standing[nodes[stack.pop()].name] -= 1
             standing[name] -= 1
             found.append(("close", stack.pop(), name))
         else:
             found.append(("stray", stack[-1], name))
-    if any(x[1] for x in nodes):
+    if any(x.marked for x in nodes):
         _holders(nodes)
     noise, keys, block, cause = [False], [""], ["body"], [0]
-    for i, ((name, bad, parent, _, _, _), key) in enumerate(zip(nodes[1:], named[1:], strict=True), 1):
-        cause.append(cause[parent] or (i if bad else 0))
-        headline = name in HEADINGS and nodes[cause[i]][0] == "header" and nodes[cause[i]][3] > 0
+    for i, (node, key) in enumerate(zip(nodes[1:], named[1:], strict=True), 1):
+        bad, name = node.marked, node.name
+        cause.append(cause[node.parent] or (i if bad else 0))
+        headline = name in HEADINGS and nodes[cause[i]].name == "header" and nodes[cause[i]].around > 0
         cause[i] *= not headline
         noise.append(cause[i] > 0)
         keys.append(key if bad else name)
-        block.append(block[parent] if name in INLINE or name in MAIN else keys[-1])
+        block.append(block[node.parent] if name in INLINE or name in MAIN else keys[-1])
     out = []
     for kind, i, data in found:
-        name, _, _, around, _, _ = nodes[i]
+        name, around = nodes[i].name, nodes[i].around
         main = around > 0 or kind in ("text", "stray") and name in MAIN
         if kind == "text":
             out.append((True, block[i], main, noise[i], data))
@@ -218,7 +272,8 @@ def learn(pages: DataFrame, sample: int = SAMPLE, rows: int | None = None) -> We
             yield pd.DataFrame({"key": list(seen), "inside": [float(inside[k]) for k in seen], "seen": [float(x) for x in seen.values()]})
 
     counts = picked.mapInPandas(count, "key string, inside double, seen double").groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("seen").alias("seen"))
-    rows = counts.orderBy(F.desc("seen"), "key").limit(4096).collect()
+    every = counts.agg(F.coalesce(F.sum("seen"), F.lit(0.0))).first()[0]
+    rows = counts.where(F.col("seen") * RARE >= every).collect()
     return Weights({r.key: r.inside for r in rows}, {r.key: r.seen for r in rows})
 
 

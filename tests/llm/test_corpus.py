@@ -285,6 +285,48 @@ def test_main_text_without_teasers_and_comments():
     assert extract("<ul><li class='menu'>home<li>first<li>second</ul>", Weights({}, {})) == "first second"
 
 
+ARTICLE = f"<h1>The title</h1><p>{words(1, 60)}</p><p>{words(2, 30)}</p>"
+TEXT = f"The title {words(1, 60)} {words(2, 30)}"
+
+
+@pytest.mark.parametrize("n", [5, 400])
+@pytest.mark.parametrize("learnt", [False, True])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article>@<div class='comments'>#</div></article>",
+        "<article>@</article><section id='comments'><article class='comment-body'><p>#</p></article><article class='comment-body'>#</article></section>",
+        "<main>@<section class='comments'><article>#</article><article><h1>a reader's title</h1>#</article></section></main>",
+        "<div class='entry'>@</div><div class='comments'><h2>Comments</h2><p>#</p></div>",
+        "<div class='entry'>@</div><ol class='comment-list'><li id='comment-7'>#</li></ol><div id='respond'>#</div>",
+        "<article>@<div class='sidebar'><p>#</p></div></article>",
+        "<article class='post comments-open'>@<aside>#</aside></article><article class='user-comment'>#</article>",
+        "<div class='page has-sidebar'><div class='sidebar'>#</div><div>@</div></div>",
+        "<body class='single'><main><article>@</article><div class='related-posts'><h2>Read on</h2><ul><li>#</li></ul></div></main><footer>#</footer></body>",
+        "<div id='page' class='comments-open'><div class='menu'>#</div><article>@<nav class='pagination'>#</nav></article><div id='disqus_thread'>#</div></div>",
+    ],
+)
+def test_main_text_does_not_depend_on_the_size_of_boilerplate(page, learnt, n):
+    weights = Weights({"w:p": 900.0, "p": 90.0, "w:article": 100.0}, {"w:p": 1000.0, "p": 100.0, "w:article": 110.0, "w:p~": 900.0, "p~": 90.0}) if learnt else Weights({}, {})
+    assert extract(page.replace("@", ARTICLE).replace("#", words(9, n)), weights) == TEXT
+
+
+def test_best_run_matches_every_run():
+    """The linear scan against all runs of tokens."""
+    from memlake.llm.main_text import parse
+
+    r = random.Random(6)
+    for _ in range(150):
+        page = "".join(r.choice(["<p>", "</p>", "<li>", "<a href=x>", "</a>", "<div class=ad>", "</div>", "one two ", "three ", "<nav>", "</nav>", "<hr>"]) for _ in range(r.randrange(1, 16)))
+        weights = Weights({"w:p": 5.0, "w:li": 0.0}, {"w:p": 6.0, "w:li": 30.0, "a": 8.0})
+        found = [(w, k, m, x, d) for w, k, m, x, d in parse(page) if not (w and not d.split()) and not (x and m)]
+        value = [weights.of(w, k, x, len(d.split()) if w else 1) for w, k, m, x, d in found]
+        runs = [(sum(value[a:b]), -a, b) for a in range(len(found)) for b in range(a + 1, len(found) + 1)]
+        best = max((v for v, _, _ in runs), default=0)
+        kept = {" ".join("".join(d if w and not x else " " if not w and d not in ("a",) else "" for w, _, _, x, d in found[-a:b]).split()) for v, a, b in runs if abs(v - best) < 1e-9}
+        assert extract(page, weights) in (kept if best > 1e-9 else {""})
+
+
 def test_packing(spark):
     r = random.Random(2)
     sizes = sorted((r.randrange(1, 65) for _ in range(500)), reverse=True)
