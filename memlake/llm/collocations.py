@@ -3,7 +3,7 @@
 Two sketches (``count_min``) are filled, first with how often each slice holds each word and pair of words, then with its longer n-grams whose
 pairs all survive the first. An n-gram as frequent as asked has hot cells in every row, so it survives in all slices that hold it, and so
 do its parts, which are at least as frequent. The last reading counts survivors by their words, longer ones only where both shorter ones
-survive, and Spark adds the counts up by text. A chance survivor fails the exact threshold, so the sketches decide what is shuffled,
+survive, and sends them packed to the block of their hash, where the counts of a phrase are added up by its text. A chance survivor fails the exact threshold, so the sketches decide what is shuffled,
 never what is returned.
 """
 
@@ -28,6 +28,8 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 CELLS = 0.5
 #: Words of the n-grams of the first sketch.
 SHORT = 2
+#: Words of the corpus whose surviving phrases meet in one block.
+PART = 1 << 23
 
 
 def _words(row: dict, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,8 +92,8 @@ def _long(blocks: int, least: int, most: int):
     return run
 
 
-def _survivors(blocks: int, most: int):
-    """Second reading: the surviving n-grams of a slice, spelt out and counted."""
+def _survivors(blocks: int, most: int, parts: int):
+    """The surviving n-grams of a slice, spelt out, counted and packed for each of ``parts`` blocks of phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -99,6 +101,7 @@ def _survivors(blocks: int, most: int):
             langs, hot = pa.array(np.unique(np.asarray(row["lang"], dtype=object)), pa.string()), [hot_cells(row["hot"], _short_grams(piece, word, most), blocks)]
             hot.append(hot_cells(row["hot"], _long_grams(piece, word, most, hot[0], blocks), blocks, 1))
             first, number = numbered(word, mix(hashes(data, starts, ends, 2) ^ text_seeds(langs, 2)[lang]))
+            phrases, found = [], []
             h, known, alive = word, number.astype(np.int64), may_reach(word[first], hot[0], blocks)[number]
             for n in range(1, most + 1):
                 at = np.flatnonzero(alive)
@@ -118,7 +121,53 @@ def _survivors(blocks: int, most: int):
                 spelt = at[one]
                 words = [strings(data, starts[spelt + i], ends[spelt + i]) for i in range(n)]
                 phrase = words[0] if n == 1 else pc.binary_join_element_wise(*words, " ")
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[spelt])), phrase, pa.array(np.full(len(one), n, np.int32)), pa.array(counts)], names=["lang", "phrase", "size", "n"])
+                phrases.append(phrase)
+                found.append(np.stack([h[spelt] if n > 1 else word[spelt], lang[spelt].astype(np.uint64), np.full(len(one), n, np.uint64), counts.astype(np.uint64)]))
+            if phrases:
+                yield _packed(pa.concat_arrays(phrases), np.concatenate(found, axis=1), langs, parts)
+
+    return run
+
+
+_PACKED = pa.schema([("langs", pa.list_(pa.string())), ("part", pa.int64()), ("phrases", pa.int32()), ("size", pa.int64()), ("data", pa.binary())])
+_EXACT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
+
+
+def _packed(phrase: pa.Array, found: np.ndarray, langs: pa.Array, parts: int) -> pa.RecordBatch:
+    """Phrases with hash, language, number of words and count, a row for each part; in order, so that they compress well."""
+    order = pc.sort_indices(phrase).to_numpy()
+    part = ((found[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)[order]
+    order = order[np.argsort(part, kind="stable")]
+    part, planes = np.sort(part), found[1:, order].astype(np.uint32)
+    spelt = phrase.take(pa.array(order)).cast(pa.large_string())
+    offsets = np.frombuffer(spelt.buffers()[1], np.int64)[: len(spelt) + 1]
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    rows = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        raw = planes[:, a:b].tobytes() + np.diff(offsets[a : b + 1]).astype(np.uint32).tobytes() + spelt.buffers()[2][int(offsets[a]) : int(offsets[b])].to_pybytes()
+        rows.append((langs.to_pylist(), int(part[a]), b - a, len(raw), pa.compress(raw, codec="zstd", asbytes=True)))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+
+
+def _merged(least: int):
+    """The exact counts of a part's phrases."""
+
+    def run(group: pa.Table) -> pa.Table:
+        langs, columns = {}, []
+        for row in group.to_pylist():
+            raw, k = pa.decompress(row["data"], row["size"], codec="zstd", asbytes=True), row["phrases"]
+            lang, size, n, lens = (np.frombuffer(raw, np.uint32, k, 4 * k * i) for i in range(4))
+            ends = np.cumsum(lens, dtype=np.int64)
+            spelt = strings(np.frombuffer(raw, np.uint8, offset=16 * k), ends - lens, ends)
+            columns.append((spelt, np.array([langs.setdefault(x, len(langs)) for x in row["langs"]], np.int64)[lang], size, n))
+        spelt = pa.chunked_array([x[0] for x in columns]).combine_chunks().dictionary_encode()
+        lang, size, n = (np.concatenate([x[i] for x in columns]) for i in range(1, 4))
+        keys, first, at = np.unique(spelt.indices.to_numpy() * len(langs) + lang, return_index=True, return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, at, n)
+        keep = total >= least
+        name = pa.array(list(langs), pa.string()).take(pa.array((keys % len(langs))[keep]))
+        return pa.Table.from_arrays([name, spelt.dictionary.take(pa.array((keys // len(langs))[keep])), pa.array(size[first][keep].astype(np.int32)), pa.array(total[keep])], schema=_EXACT)
 
     return run
 
@@ -135,12 +184,13 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most: int = 5, lang: Col
     """docs: text, lang -> exact counts (lang, phrase, size, n) of every phrase of 1 to ``most`` words with n >= ``least``, and (lang, n), the number of words."""
     parts = slices(docs, lang=F.coalesce(F.col("lang") if lang is None else lang, F.lit("und")))
     totals = cut(parts.select("text", "ends", "lang").mapInArrow(_counted, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
-    blocks = blocks_for(totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], CELLS)
+    words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = blocks_for(words, CELLS)
     asked = cut(answers(parts.mapInArrow(_short(blocks, least, most), SENT), least))
     with_answers = lambda hot: parts.join(by_slice(hot).hint("shuffle_hash"), "slice", "left")
     both = with_answers(asked.union(answers(with_answers(asked).mapInArrow(_long(blocks, least, most), SENT), least)))
-    counted = both.mapInArrow(_survivors(blocks, most), "lang string, phrase string, size int, n long")
-    exact = counted.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    packed = both.mapInArrow(_survivors(blocks, most, words // PART + 1), "langs array<string>, part long, phrases int, size long, data binary")
+    exact = packed.groupBy("part").applyInArrow(_merged(least), "lang string, phrase string, size int, n long")
     return cut(exact), totals
 
 
