@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.access import strictest
+from memlake.operators.running import running
+
 from memlake.operators.written import written
 
 
@@ -59,9 +62,21 @@ def duplicates(records: DataFrame) -> DataFrame:
 
 def summary_spans(records: DataFrame, group: str) -> DataFrame:
     """Where each record's text stands in its group's concatenation (two line feeds between texts)."""
-    run = Window.partitionBy(group).orderBy("data_id").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 2).over(run), F.lit(0))
-    return records.select(group, "data_id", start.cast("long").alias("span_start"), (start + F.length("text")).cast("long").alias("span_end"))
+    sized = records.select(group, "data_id", F.length("text").alias("size"))
+    at = running(sized, [group], ["data_id"], {"span_start": F.col("size") + 2})
+    return at.select(group, "data_id", F.col("span_start").cast("long").alias("span_start"), (F.col("span_start") + F.col("size")).cast("long").alias("span_end"))
+
+
+def summaries(records: DataFrame, group: str, most: int = 200) -> DataFrame:
+    """One artifact over the first ``most`` records of each group, by data_id: group, text (trimmed texts with two line feeds between), level
+    (the strictest of what it was made of), principals, sources (data_id, span_start, span_end). A group of one record has none: a summary
+    of one record is the record. A null text is empty."""
+    batch = running(records.select(group, "data_id", F.trim(F.coalesce("text", F.lit(""))).alias("text"), "access_level", "shared_with"), [group], ["data_id"], {"at": F.length(F.trim(F.coalesce("text", F.lit("")))) + 2}).where(F.col("n") <= most)
+    level, principals = strictest()
+    parts = F.array_sort(F.collect_list(F.struct("data_id", "at", "text")))
+    g = batch.groupBy(group).agg(parts.alias("parts"), level.alias("level"), principals.alias("principals")).where(F.size("parts") > 1)
+    sources = F.transform("parts", lambda p: F.struct(p["data_id"].alias("data_id"), p["at"].cast("long").alias("span_start"), (p["at"] + F.length(p["text"])).cast("long").alias("span_end")))
+    return g.select(group, F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("text"), "level", "principals", sources.alias("sources"))
 
 
 def route_cases(records: DataFrame, cases: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.operators.folds import folded
@@ -105,9 +105,24 @@ def supersede(claims: DataFrame) -> DataFrame:
     return facts_of_claims(named, ("",)).select("subject", "object", "fact_id", "valid_from", "valid_to", "evidence")
 
 
+def evidence_of(claims: DataFrame, shown: int = 3, salts: int = 32) -> DataFrame:
+    """claims: subject, object, fact_id, valid_from -> subject, object, evidence (distinct claims), valid_from, last_seen, sources (the ``shown`` least claims).
+
+    Claims are made distinct and ranked within salted parts of an edge first, so no state grows with an edge however often it is asserted."""
+    edge = ["subject", "object"]
+    once = claims.groupBy(*edge, "fact_id").agg(F.min("valid_from").alias("valid_from"), F.max("valid_from").alias("last_seen")).withColumn("salt", F.pmod(F.xxhash64("fact_id"), F.lit(salts)))
+    whole = once.groupBy(*edge).agg(F.count("*").alias("evidence"), F.min("valid_from").alias("valid_from"), F.max("last_seen").alias("last_seen"))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("fact_id"))
+    few = once.select(*edge, "salt", "fact_id").withColumn("place", place(*edge, "salt")).where(F.col("place") <= shown).withColumn("place", place(*edge)).where(F.col("place") <= shown)
+    named = few.groupBy(*edge).agg(F.array_join(F.transform(F.array_sort(F.collect_list("fact_id")), lambda x: x.cast("string")), ",").alias("sources"))
+    return whole.join(named, edge)
+
+
 def conflicts(facts: DataFrame) -> DataFrame:
-    """Subjects with more than one open fact, their objects by start."""
-    g = facts.where("valid_to is null").groupBy("subject")
+    """facts: subject, predicate (perhaps), object, valid_from, valid_to. Relations of a subject with more than one open fact, their objects by start;
+    facts without a predicate are of one relation."""
+    by = ["subject", "predicate"] if "predicate" in facts.columns else ["subject"]
+    g = facts.where("valid_to is null").groupBy(*by)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("valid_from", "object"))), lambda x: x["object"])
     return g.agg(F.count("*").alias("claims"), F.array_join(listed, ",").alias("objects")).where("claims > 1")
 

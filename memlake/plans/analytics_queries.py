@@ -1,9 +1,9 @@
 """Roll-ups: staircase, overview, tags, usage and credits."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.operators.access import visible
+from memlake.operators.running import running
 from memlake.operators.usage import binding_limit, credits, token_bucket
 from memlake.plans.lens import ITEMS_SQL, READER, items
 from memlake.plans.registry import query, table
@@ -125,6 +125,5 @@ def latest_run_lateral(spark, sf_dir):
 SELECT event_type, date_trunc('day', ts) AS day, count(*) AS on_time_or_late, sum(n)::BIGINT AS arrival_sum FROM e GROUP BY 1, 2""")
 def late_data_event_time(spark, sf_dir):
     """Records are placed by event time whatever their order of arrival."""
-    n = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    e = table(spark, sf_dir, "events").withColumn("n", n)
+    e = running(table(spark, sf_dir, "events").select("event_type", "event_id", "ts"), ["event_type"], ["event_id"])
     return e.groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("on_time_or_late"), F.sum("n").cast("long").alias("arrival_sum"))

@@ -1,10 +1,10 @@
 """Memories, cases, compaction and lifecycle."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.operators.access import visible
-from memlake.operators.containers import closure, duplicates, effective_expiry, expiry, purged, remaining, route_cases, summary_spans, would_cycle
+from memlake.operators.containers import closure, duplicates, effective_expiry, expiry, purged, remaining, route_cases, summaries, summary_spans, would_cycle
+from memlake.operators.running import running
 from memlake.plans.lens import ITEMS_SQL, MEMBERS_SQL, READER, items, members
 from memlake.plans.registry import query, table
 
@@ -78,6 +78,15 @@ def summary_span(spark, sf_dir):
     return summary_spans(items(spark, sf_dir).where(visible(READER)), "project_id")
 
 
+@query(f"""WITH {ITEMS_SQL}, b AS (SELECT project_id, data_id, trim(text, ' ') AS t, access_level, row_number() OVER (PARTITION BY project_id ORDER BY data_id) AS n FROM items WHERE NOT deleted QUALIFY n <= 20)
+SELECT project_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY data_id)) AS content, ['private','restricted','shared','org','public'][min(list_position(['private','restricted','shared','org','public'], access_level))::INT] AS level,
+  count(*) AS sources, (sum(length(t) + 2) - 2)::BIGINT AS last_end FROM b GROUP BY 1 HAVING count(*) > 1""")
+def summary_artifacts(spark, sf_dir):
+    """One artifact for the first twenty records of each project, as strict as its strictest source."""
+    made = summaries(items(spark, sf_dir).where(~F.col("deleted")), "project_id", 20)
+    return made.select("project_id", F.md5("text").alias("content"), "level", F.size("sources").cast("long").alias("sources"), F.element_at("sources", -1)["span_end"].alias("last_end"))
+
+
 _CASES_SQL = """r AS (SELECT o_orderkey AS data_id, 'c' || o_custkey AS external_id, ['p' || o_orderpriority, 'd' || o_orderkey] AS ids FROM orders),
 k AS (SELECT c_custkey AS case_id, 'c' || c_custkey AS case_key, ['d' || (c_custkey * 7), 'x' || c_nationkey] AS ids FROM customer),
 b AS (SELECT data_id, case_id, max(f) AS confidence FROM (SELECT data_id, case_id, 1.0 AS f FROM r JOIN k ON external_id = case_key
@@ -147,9 +156,9 @@ def reconcile_sweep(spark, sf_dir):
 @query("""SELECT doc_id AS data_id, source AS item, row_number() OVER w AS revision, coalesce(md5(text) <> lag(md5(text)) OVER w, false) AS revised
   FROM documents WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id)""")
 def version_revisions(spark, sf_dir):
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.md5("text").alias("sum"))
-    return d.select(F.col("doc_id").alias("data_id"), F.col("source").alias("item"), F.row_number().over(w).cast("long").alias("revision"), F.coalesce(F.col("sum") != F.lag("sum").over(w), F.lit(False)).alias("revised"))
+    numbered = running(d, ["source", "lang"], ["doc_id"], before={"last": F.col("sum")})
+    return numbered.select(F.col("doc_id").alias("data_id"), F.col("source").alias("item"), F.col("n").alias("revision"), F.coalesce(F.col("sum") != F.col("last"), F.lit(False)).alias("revised"))
 
 
 @query("""SELECT n_nationkey AS scope_id, CASE WHEN r_regionkey = 2 THEN 'locked' ELSE coalesce(CASE WHEN n_nationkey % 2 = 0 THEN 'project' END, CASE WHEN r_regionkey % 2 = 1 THEN 'org' END, 'platform') END AS value
@@ -167,5 +176,6 @@ def model_resolve(spark, sf_dir):
     """An exact data type beats ``*``."""
     a = spark.createDataFrame([("error", "m1"), ("*", "m0"), ("click", "m2")], "data_type string, model string")
     t = table(spark, sf_dir, "events").select(F.col("event_type").alias("t")).distinct()
-    met = t.join(F.broadcast(a), F.col("data_type").isin("*") | (F.col("data_type") == F.col("t")))
-    return met.groupBy(F.col("t").alias("data_type")).agg(F.max_by("model", F.col("data_type") != "*").alias("model"))
+    exact = t.join(a.select(F.col("data_type").alias("t"), F.col("model").alias("exact")), "t", "left")
+    other = a.where("data_type = '*'").select(F.lit(1).alias("any"), F.col("model").alias("other"))
+    return exact.withColumn("any", F.lit(1)).join(other, "any", "left").select(F.col("t").alias("data_type"), F.coalesce("exact", "other").alias("model"))

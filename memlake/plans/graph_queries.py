@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.functions.names import normalize_identifier, normalize_name
-from memlake.operators.graph import co_mentioned, conflicts, holds_at, neighbourhood, supersede
+from memlake.operators.graph import co_mentioned, conflicts, evidence_of, holds_at, neighbourhood, supersede
 from memlake.plans.lens import CLAIMS_SQL, claims
 from memlake.plans.registry import query, table
 
@@ -45,8 +45,7 @@ def comention(spark, sf_dir):
 @query(f"""WITH {CLAIMS_SQL} SELECT subject, object, count(DISTINCT fact_id) AS evidence, min(valid_from) AS valid_from, max(valid_from) AS last_seen,
   array_to_string(list_sort(list(DISTINCT fact_id))[1:3], ',') AS sources FROM claims GROUP BY 1, 2""")
 def fact_evidence(spark, sf_dir):
-    first = F.transform(F.slice(F.array_sort(F.collect_set("fact_id")), 1, 3), lambda x: x.cast("string"))
-    return claims(spark, sf_dir).groupBy("subject", "object").agg(F.countDistinct("fact_id").alias("evidence"), F.min("valid_from").alias("valid_from"), F.max("valid_from").alias("last_seen"), F.array_join(first, ",").alias("sources"))
+    return evidence_of(claims(spark, sf_dir))
 
 
 #: Claims one after another over the list of a subject's facts.
