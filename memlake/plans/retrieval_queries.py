@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from memlake.functions.chunking import chunks, hash_embed
 from memlake.operators.access import visible
 from memlake.operators.retrieval import exclusions, fuse, lexical_arm, over_fetch, passages, terms, vector_arm
+from memlake.operators.vector_index import write_index
+from memlake.operators.written import new_path
 from memlake.plans.analytics_queries import _STATE_SQL, _stated
 from memlake.plans.lens import ITEMS_SQL, READER, items
 from memlake.plans.registry import query, table
@@ -88,3 +90,25 @@ def vector_spaces(spark, sf_dir):
 def dimension_guard(spark, sf_dir):
     """Must be empty: one vector length for each model."""
     return table(spark, sf_dir, "embeddings").groupBy((F.col("label") % 2).alias("model_id")).agg(F.countDistinct(F.size("embedding")).alias("dims")).where("dims > 1")
+
+
+def _indexed(spark, sf_dir):
+    """The probe, its model's index over all vectors, and the records that the reader may see."""
+    e = table(spark, sf_dir, "embeddings")
+    probe = e.where("vec_id = 0").select("embedding", (F.col("label") % 2).alias("model")).first()
+    own = e.where(F.col("label") % 2 == probe.model).select(F.col("vec_id").alias("data_id"), F.col("embedding").alias("vector"))
+    return probe.embedding, own, write_index(own, new_path(spark, "vectors"))
+
+
+@query(f"WITH {ITEMS_SQL}, {_VECTOR_SQL} SELECT data_id, score, rank::INT AS rank FROM vector")
+def vector_topk_all_cells(spark, sf_dir):
+    """The index told to read all its cells: the exact form."""
+    probe, _, index = _indexed(spark, sf_dir)
+    return index.search(probe, over_fetch(LIMIT), 1.0, items(spark, sf_dir).where(visible(READER)).select("data_id"))
+
+
+@query()
+def vector_index_probe(spark, sf_dir):
+    """Health of the index: for every hundredth vector, how many of its ten nearest are in the quarter of the cells that a search reads."""
+    _, own, index = _indexed(spark, sf_dir)
+    return index.recall(own.where("data_id % 100 = 0").select(F.col("data_id").alias("probe_id"), "vector"))
