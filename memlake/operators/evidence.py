@@ -64,3 +64,47 @@ def seeds(entities: DataFrame, mentioned: DataFrame, question: str, least: int =
 def history(facts: DataFrame, entity: str) -> DataFrame:
     """Every visible fact that touched an entity, closed, open and retracted alike."""
     return facts.where((F.col("subject") == entity) | (F.col("object") == entity))
+
+
+def asserted(facts: DataFrame, claims: DataFrame, entities: DataFrame, predicates: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """States facts outright. facts and claims: fact_id, subject, predicate, object, valid_from, recorded_at, retracted_at, valid_to, basis, confidence,
+    the level; entities: id. Returns the facts after it, and what was refused: fact_id, error.
+
+    An unknown relation, an entity related to itself and an entity that is not there are refused. A claim equal to an open fact is that
+    fact: its start may move back and the best confidence stands; others are new facts with ``basis`` asserted. A claim counts once."""
+    known = entities.select("id").distinct()
+    ends = claims.join(known.select(F.col("id").alias("subject"), F.lit(True).alias("_s")), "subject", "left").join(known.select(F.col("id").alias("object"), F.lit(True).alias("_o")), "object", "left")
+    error = F.when(~F.coalesce(F.col("predicate").isin(*predicates), F.lit(False)), "unknown_predicate").when(F.col("subject") == F.col("object"), "related_to_itself").when(F.col("_s").isNull() | F.col("_o").isNull(), "entity_not_found")
+    told = ends.withColumn("error", error)
+    key = ["subject", "predicate", "object"]
+    good = told.where("error is null").select(*claims.columns)
+    first = good.groupBy(*key).agg(F.min_by(F.struct(*[c for c in claims.columns if c not in key]), "fact_id").alias("x"), F.min("valid_from").alias("_from"), F.max("confidence").alias("_best"))
+    is_open = F.col("valid_to").isNull() & F.col("retracted_at").isNull()
+    met = facts.join(first.select(*key, "_from", "_best"), key, "left")
+    kept = met.select(*[F.when(is_open, F.least("valid_from", "_from")).otherwise(F.col(c)).alias(c) if c == "valid_from" else F.when(is_open, F.greatest("confidence", "_best")).otherwise(F.col(c)).alias(c) if c == "confidence" else F.col(c) for c in facts.columns])
+    fresh = first.join(facts.where(is_open).select(*key), key, "left_anti")
+    new = fresh.select(*[F.lit("asserted").alias(c) if c == "basis" else F.col("_from").alias(c) if c == "valid_from" else F.col("_best").alias(c) if c == "confidence" else F.col(c) if c in key else F.col(f"x.{c}").alias(c) for c in facts.columns])
+    return kept.unionByName(new), told.where("error is not null").select("fact_id", "error")
+
+
+def retracted(facts: DataFrame, which: DataFrame, at: Column) -> DataFrame:
+    """which: fact_id, reason. Claims withdrawn and kept: what was believed before ``at`` can still be told; one that was withdrawn before stays as it is."""
+    met = facts.join(which.groupBy("fact_id").agg(F.min("reason").alias("_why"), F.lit(True).alias("_hit")), "fact_id", "left")
+    now = F.col("_hit") & F.col("retracted_at").isNull()
+    changed = {"retracted_at": at, "retracted_reason": F.col("_why")}
+    return met.select(*[F.when(now, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in facts.columns])
+
+
+def listed_entities(mentioned: DataFrame) -> DataFrame:
+    """mentioned: id, data_id of readable mentions -> id, records: an entity is there for a reader as far as they can read of it."""
+    return mentioned.groupBy("id").agg(F.countDistinct("data_id").alias("records"))
+
+
+def entity_view(entity: str, mentioned: DataFrame, facts: DataFrame, top: int = 5) -> DataFrame:
+    """One row for an entity as a reader sees it: id, records, facts (held, of either end), open_facts, beside: the ``top`` entities named in most of the same
+    records, with their number. facts: those that the reader sees. An entity of which nothing can be read has no row."""
+    mine = mentioned.where(F.col("id") == entity).select("data_id").distinct()
+    beside = mentioned.where(F.col("id") != entity).join(mine, "data_id", "left_semi").groupBy("id").agg(F.countDistinct("data_id").alias("n"))
+    first = beside.orderBy(F.desc("n"), "id").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "id"))), lambda x: F.concat(x["id"], F.lit("="), (-x["less"]).cast("string"))), ",").alias("beside"))
+    own = history(facts, entity).agg(F.count("*").alias("facts"), F.count_if(F.col("valid_to").isNull() & F.col("retracted_at").isNull()).alias("open_facts"))
+    return mine.agg(F.count("*").alias("records")).where("records > 0").select(F.lit(entity).alias("id"), "records").crossJoin(own).crossJoin(first)
