@@ -30,6 +30,8 @@ CELLS = 0.5
 SHORT = 2
 #: Words of the corpus whose surviving phrases meet in one block.
 PART = 1 << 23
+#: Phrases that a task gathers before it sends them.
+GATHERED = 400_000
 
 
 def _words(row: dict, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,9 +95,10 @@ def _long(blocks: int, least: int, most: int):
 
 
 def _survivors(blocks: int, most: int, parts: int):
-    """The surviving n-grams of a slice, spelt out, counted and packed for each of ``parts`` blocks of phrases."""
+    """The surviving n-grams of a task's slices, spelt out, counted and packed for each of ``parts`` blocks of phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for row in rows_of(batches):
             data, starts, ends, piece, lang, word = _words(row, 1)
             langs, hot = pa.array(np.unique(np.asarray(row["lang"], dtype=object)), pa.string()), [hot_cells(row["hot"], _short_grams(piece, word, most), blocks)]
@@ -124,7 +127,12 @@ def _survivors(blocks: int, most: int, parts: int):
                 phrases.append(phrase)
                 found.append(np.stack([h[spelt] if n > 1 else word[spelt], lang[spelt].astype(np.uint64), np.full(len(one), n, np.uint64), counts.astype(np.uint64)]))
             if phrases:
-                yield _packed(pa.concat_arrays(phrases), np.concatenate(found, axis=1), langs, parts)
+                held.append((pa.concat_arrays(phrases), *np.concatenate(found, axis=1), langs))
+            if sum(len(x[0]) for x in held) > GATHERED:
+                yield _packed(*_together(held), parts)
+                held = []
+        if held:
+            yield _packed(*_together(held), parts)
 
     return run
 
@@ -133,6 +141,18 @@ _PACKED = pa.schema([("langs", pa.list_(pa.string())), ("part", pa.int64()), ("p
 _EXACT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
 
 
+def _together(held: list[tuple]) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """The phrases of several slices (phrases, hashes, languages, sizes, counts, names of languages) with their counts added up."""
+    names: dict = {}
+    lang = np.concatenate([np.array([names.setdefault(x, len(names)) for x in h[5].to_pylist()], np.int64)[h[2].astype(np.int64)] for h in held])
+    spelt = pa.concat_arrays([h[0] for h in held]).dictionary_encode()
+    keys, first, at = np.unique(spelt.indices.to_numpy() * len(names) + lang, return_index=True, return_inverse=True)
+    total = np.zeros(len(keys), np.uint64)
+    np.add.at(total, at, np.concatenate([h[4] for h in held]))
+    one, size = (np.concatenate([h[i] for h in held])[first] for i in (1, 3))
+    return spelt.dictionary.take(pa.array(keys // len(names))), np.stack([one, (keys % len(names)).astype(np.uint64), size, total]), pa.array(list(names), pa.string())
+
+
 def _packed(phrase: pa.Array, found: np.ndarray, langs: pa.Array, parts: int) -> pa.RecordBatch:
     """Phrases with hash, language, number of words and count, a row for each part; in order, so that they compress well."""
     order = pc.sort_indices(phrase).to_numpy()
