@@ -1,12 +1,14 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Candidates come from the base patterns (matches that fail a check are kept as negative evidence) and from looser patterns
-(national phone numbers, spelt-out mail addresses). Four labelers vote on each: the pattern's own checks, gazetteers (top-level
+(spelt-out mail addresses, addresses of eight groups, masked and dotted cards, national and grouped phone numbers). Four labelers vote on each: the pattern's own checks, gazetteers (top-level
 domains, calling codes, issuer digits, address ranges), the words around it, and its borders; a vote is 1, -1 or 0 (abstains).
 The number of candidates with each pattern of votes is counted over all documents (at most 4 kinds x 2 x 81 rows);
 expectation-maximisation on that table estimates each labeler's reliability and each pattern's probability, and a logistic
-classifier of single candidates is trained on those probabilities. Base spans that pass their checks always stay; other
-candidates are added if the classifier accepts them, no check speaks against them, and no span is overlapped.
+classifier of single candidates is trained on those probabilities. Base matches are anchors: what their check says is held while the
+reliabilities of the other labelers are learnt, so that these explain labelers and not kinds; an abstaining labeler says nothing. Base spans
+that pass their checks always stay; other candidates are added if the classifier accepts them, two labelers at least speak for them (one
+of them the gazetteer or the context), none of the checks speaks against them, and no span is overlapped.
 
 Everything else happens in the row of the text: its candidates are found once and written, fitting and selecting read them. Positions
 are code points, end exclusive. Matches are found by splitting the text at the pattern: the lengths of the pieces give the positions. Defined results: null and empty texts have no spans; repeated
@@ -33,8 +35,10 @@ BASE_PATTERNS = {
 }
 #: Looser patterns, no part of the base.
 LOOSE_PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9A-Za-z+.-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[(](?:at|AT)[\])] ?| (?:at|AT) )[A-Za-z0-9-]++(?:(?: ?[\[(](?:dot|DOT)[\])] ?| (?:dot|DOT) |\.)[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9A-Za-z*.-])(?:(?:[*xX]{4}[\x20-]?){2,3}[0-9]{4}|[0-9]{4}(?:\.[0-9]{4}){3})(?![0-9A-Za-z*]|[.-][0-9A-Za-z*])",
+    "phone": r"(?<![0-9A-Za-z+.-])(?:\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[.-][0-9]{4}|0[0-9]{1,4}[\x20/-][0-9]{2,4}(?:[\x20-][0-9]{2,4}){1,3})(?![0-9A-Za-z-])",
 }
 #: Gazetteers and context words.
 TOP_LEVEL = "com|org|net|edu|gov|info|biz|io|co|de|fr|es|it|uk|us|eu|ch|at|nl|be|pl|se|no|dk|fi|pt|ie|ca|au|jp|cn|in|br|mx|ru"
@@ -135,13 +139,19 @@ def _candidates(kind: str, base: bool, found: Column) -> Column:
         if kind == "email":
             tail = F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)\W*$", 1))
             gazetteer = _vote(tail.rlike(f"^(?:{TOP_LEVEL})$"), ~tail.rlike("[a-z]"))
+        elif kind == "ip" and not base:
+            gazetteer = _vote(m.rlike("^[23fF]"), m.rlike("^0+:"))
+        elif kind == "card" and not base:
+            gazetteer = _vote(m.rlike("^[*xX]") | (_digits(m).rlike("^[3-6]|^2[2-7]") & _luhn(_digits(m))), ~m.rlike("^[*xX]") & ~_luhn(_digits(m)))
+        elif kind == "phone" and not base:
+            gazetteer = _vote(m.rlike(r"^\(?[2-9][0-8][0-9]\)?[\x20.-][2-9]") | F.length(_digits(m)).between(9, 12), F.length(_digits(m)) < 8)
         elif kind == "ip":
             first = F.regexp_extract(m, "^0*([0-9]{1,3})", 1).cast("int")
             gazetteer = _vote(first.between(1, 223), (first == 0) | (first > 223))
         elif kind == "card":
             gazetteer = _vote(_digits(m).rlike("^[3-6]|^2[2-7]"), _digits(m).rlike("^0"))
         else:
-            gazetteer = _vote(_digits(m).rlike(f"^(?:{CALLING})") if base else F.lit(False), _digits(m).rlike("^0"))
+            gazetteer = _vote(_digits(m).rlike(f"^(?:{CALLING})"), _digits(m).rlike("^0"))
         word = lambda w: rf"(?:^|[^a-z0-9])(?:{w})[^a-z0-9]{{0,4}}$"
         context = _vote(before.rlike(word(FOR[kind])) | after.rlike(rf"^[^a-z0-9]{{0,3}}(?:{FOR[kind]})(?:[^a-z0-9]|$)"), before.rlike(word(AGAINST)))
         glued = before.rlike("[a-z0-9]$") | after.rlike("^[a-z0-9]")
@@ -166,47 +176,53 @@ def candidates(text: Column) -> Column:
         parts = []
         for base, patterns in ((True, BASE_PATTERNS), (False, LOOSE_PATTERNS)):
             for kind, pattern in patterns.items():
-                cheap = {"email": F.instr(t, "@") > 0 if base else F.lower(t).rlike(r"[\[(]at[\])]"), "phone": F.instr(t, "+") > 0 if base else t.rlike("[0-9]{3}[.-][0-9]{4}")}.get(kind, F.lit(True))
+                loose = {"email": r"(?:[\[(\x20](?:at|AT)[\])\x20])", "ip": "(?:[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:)", "card": r"(?:[*xX]{4}|[0-9]{4}\.[0-9]{4}\.)", "phone": r"(?:[0-9][\x20./-][0-9]{2})"}
+                cheap = t.rlike(loose[kind]) if not base else {"email": F.instr(t, "@") > 0, "phone": F.instr(t, "+") > 0}.get(kind, F.lit(True))
                 parts.append(F.coalesce(F.when(cheap, let(_found(t, pattern), judged(kind, base))), empty))
         return F.concat(*parts)
 
     return let(F.coalesce(text.cast("string"), F.lit("")), each)
 
 
+#: What labelers are taken to be before any evidence, in votes: more often right than wrong.
+BELIEF = {(1, 1): 4.0, (1, 0): 2.0, (1, -1): 1.0, (0, 1): 1.0, (0, 0): 2.0, (0, -1): 4.0}
+#: Probability of an anchor that passes its check, and bounds of the share of personal data among other candidates.
+SURE, RARE, COMMON = 0.97, 0.1, 0.5
+
+
 def expectation_maximisation(table: list[tuple[int, tuple[int, ...], int]], rounds: int = 40) -> tuple[list[float], list[dict[tuple[int, int], float]]]:
     """table: (kind, votes, count). Each row's probability of being personal data, and per labeler the chances of its votes:
-    {(truth, vote): chance}. Starts from the checks' votes and, without one, from the sum of the others."""
-    prob = [0.95 if v[0] > 0 else 0.05 if v[0] < 0 else min(0.9, max(0.1, 0.5 + 0.2 * sum(v[1:]))) for _, v, _ in table]
+    {(truth, vote): chance}. Rows on which the check votes are anchors and keep their probability; the others start from the sum of their votes."""
+    anchor = [v[0] != 0 for _, v, _ in table]
+    prob = [SURE if v[0] > 0 else 1 - SURE if v[0] < 0 else min(0.9, max(0.1, 0.5 + 0.2 * sum(v[1:]))) for _, v, _ in table]
     rates: list[dict[tuple[int, int], float]] = []
     for _ in range(rounds):
         rates = []
         for j in range(len(LABELERS)):
-            mass = {(t, v): 1.0 for t in (0, 1) for v in (-1, 0, 1)}
+            mass = dict(BELIEF)
             for (_, votes, n), p in zip(table, prob, strict=True):
                 mass[1, votes[j]] += n * p
                 mass[0, votes[j]] += n * (1 - p)
             sums = {t: sum(mass[t, v] for v in (-1, 0, 1)) for t in (0, 1)}
             rates.append({k: m / sums[k[0]] for k, m in mass.items()})
-        prior = {}
-        for k in {k for k, _, _ in table}:
-            own = [(n, p) for (kind, _, n), p in zip(table, prob, strict=True) if kind == k]
-            prior[k] = (sum(n * p for n, p in own) + 1) / (sum(n for n, _ in own) + 2)
-        prob = []
-        for kind, votes, _ in table:
-            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(r[1, v] / r[0, v]) for r, v in zip(rates, votes, strict=True))
-            prob.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
+        own = [(n, p) for (_, _, n), p, held in zip(table, prob, anchor, strict=True) if not held]
+        prior = min(COMMON, max(RARE, (sum(n * p for n, p in own) + 1) / (sum(n for n, _ in own) + 2)))
+        for i, (_, votes, _) in enumerate(table):
+            if not anchor[i]:
+                odds = math.log(prior / (1 - prior)) + sum(math.log(r[1, v] / r[0, v]) for r, v in zip(rates, votes, strict=True) if v)
+                prob[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return prob, rates
 
 
-def _features(kind: int, votes: tuple[int, ...]) -> list[float]:
-    return [1.0, *[float(kind == k) for k in range(len(KINDS))], *[float(v == s) for v in votes for s in (-1, 1)]]
+def _features(votes: tuple[int, ...]) -> list[float]:
+    return [1.0, *[float(v == s) for v in votes for s in (-1, 1)]]
 
 
 def train(table: list[tuple[int, tuple[int, ...], int]], prob: list[float], rounds: int = 300) -> list[float]:
     """Logistic weights of the span classifier, fitted to the patterns' probabilities weighted by log counts."""
-    x = [_features(k, v) for k, v, _ in table]
+    x = [_features(v) for _, v, _ in table]
     c = [math.log(n + 1) for _, _, n in table]
-    w = [0.0] * (1 + len(KINDS) + 2 * len(LABELERS))
+    w = [0.0] * (1 + 2 * len(LABELERS))
     for _ in range(rounds):
         grad = [0.05 * v for v in w]
         for xi, ci, pi in zip(x, c, prob, strict=True):
@@ -222,20 +238,21 @@ def fit(rows: DataFrame) -> list[float]:
     found = rows.select(F.explode("candidates").alias("c"))
     counted = found.groupBy("c.kind", *[F.col(f"c.votes.{n}") for n in LABELERS]).count().collect()
     table = sorted((r.kind, tuple(r[n] for n in LABELERS), r["count"]) for r in counted)
-    return train(table, expectation_maximisation(table)[0]) if table else [-1.0] + [0.0] * (len(KINDS) + 2 * len(LABELERS))
+    return train(table, expectation_maximisation(table)[0]) if table else [-1.0] + [0.0] * (2 * len(LABELERS))
 
 
 def accepted(weights: list[float]):
-    """Condition on a candidate struct: the classifier accepts it and its check does not speak against it."""
+    """Condition on a candidate struct: the classifier accepts it, its check does not speak against it, and two labelers speak for it, the
+    gazetteer or the context among them."""
 
     def test(c: Column) -> Column:
         z = F.lit(weights[0])
-        for k in range(len(KINDS)):
-            z = z + F.when(c["kind"] == k, weights[1 + k]).otherwise(0.0)
         for j, n in enumerate(LABELERS):
             v = c["votes"][n]
-            z = z + F.when(v == -1, weights[1 + len(KINDS) + 2 * j]).when(v == 1, weights[2 + len(KINDS) + 2 * j]).otherwise(0.0)
-        return (1 / (1 + F.exp(-z)) >= ACCEPT) & (c["votes"]["check"] >= 0)
+            z = z + F.when(v == -1, weights[1 + 2 * j]).when(v == 1, weights[2 + 2 * j]).otherwise(0.0)
+        yes = lambda n: (c["votes"][n] == 1).cast("int")
+        voices = yes("gazetteer") + yes("context") + yes("border")
+        return (1 / (1 + F.exp(-z)) >= ACCEPT) & (c["votes"]["check"] >= 0) & (voices >= 2) & (yes("gazetteer") + yes("context") >= 1)
 
     return test
 
