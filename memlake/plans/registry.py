@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return add
 
 
-from memlake.plans import access_queries, analytics_queries, container_queries, entity_queries, erasure_queries, fact_queries, graph_queries, ingest_queries, lifecycle_queries, passage_queries, reading_queries, retrieval_queries, seen_graph_queries, source_queries, speech_queries, state_queries, store_queries, stream_queries, text_queries, watch_queries  # noqa: E402, F401
+from memlake.plans import access_queries, analytics_queries, container_queries, entity_queries, erasure_queries, fact_queries, graph_queries, ingest_queries, lifecycle_queries, passage_queries, reading_queries, retrieval_queries, seen_graph_queries, source_queries, speech_queries, state_queries, store_queries, stream_queries, text_queries, upkeep_queries, watch_queries  # noqa: E402, F401
