@@ -31,14 +31,14 @@ SHORT = 2
 #: Words of the corpus whose surviving phrases meet in one block.
 PART = 1 << 23
 #: Phrases that a task gathers before it sends them.
-GATHERED = 400_000
+GATHERED = 200_000
 
 
 def _words(row: dict, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Folded bytes, starts, ends, pieces and languages (places in the slice's list) of a slice's words, and hashes that tell languages apart."""
     data = row["text"]
     starts, ends = tokens(data, _KINDS)
-    piece = np.cumsum(_KINDS[data] == 2, dtype=np.int64)[starts] if len(starts) else starts
+    piece = np.cumsum(_KINDS[data] == 2, dtype=np.int32)[starts] if len(starts) else starts
     doc = np.searchsorted(row["ends"], starts, "right")
     langs, lang = np.unique(np.asarray(row["lang"], dtype=object), return_inverse=True)
     lang = lang[doc]

@@ -95,7 +95,7 @@ def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(chars)).cast(pa.string())
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, block: int = 1 << 20) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, block: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash for each span: the sum of its bytes weighted by place, mixed. Worked in blocks, so that memory stays small."""
     out = np.zeros(len(starts), np.uint64)
     if not len(starts):
