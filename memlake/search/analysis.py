@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from memlake.search.english import stem
 
 #: English words too common to be searched for. They keep their positions, so phrases stay exact.
@@ -36,13 +32,3 @@ def positions(text: str | None, language: str) -> dict[str, list[int]]:
         if term:
             found.setdefault(term, []).append(at)
     return found
-
-
-def analysed(text: Column, language: str) -> Column:
-    """array of (term, positions), a term once."""
-
-    @F.pandas_udf("array<struct<term string, positions array<int>>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"term": k, "positions": v} for k, v in positions(t, language).items()])
-
-    return run(text)

@@ -143,3 +143,21 @@ def test_fusion_trace_and_answer(spark):
     said = spark.createDataFrame([("a [2] b [1] c [9] [2] [x] [0]",)], "t string").select(resolved(F.col("t"), 3).alias("n"))
     assert said.first().n == [1, 2]
     assert [(x.data_id, x.ordinal) for x in opening(chunks.withColumn("ordinal", F.col("ordinal") + 2), arm((2, 0, 1.0, 1)).drop("ordinal")).collect()] == [(2, 2)]
+
+
+def test_a_shared_word_is_sent_once_a_chunk(spark):
+    """Many questions with one common word: what is grouped is the chunks, not the chunks of every question."""
+    rows = [(i, 0, f"the word{i % 20} and the rest") for i in range(300)]
+    postings = write_postings(spark.createDataFrame(rows, "data_id long, ordinal int, chunk string"), new_path(spark, "test-postings"), "simple")
+    found = search(postings, {f"q{i}": f"the word{i}" for i in range(20)}, 100, "simple")
+    assert found.count() == 300 and {x.question for x in found.collect()} == {f"q{i}" for i in range(20)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [data_id" in plan and "Join Inner" not in plan
+
+
+def test_postings_hold_a_term_once_a_piece(spark):
+    rows = [(i, i % 3, "common Common word" + str(i)) for i in range(500)]
+    chunks = spark.createDataFrame(rows, "data_id long, ordinal int, chunk string").coalesce(1)
+    postings = write_postings(chunks, new_path(spark, "test-postings"), "simple")
+    held = postings.where("term = 'common'").collect()
+    assert len(held) == 1 and sorted(zip(held[0].data_ids, held[0].ordinals, map(tuple, held[0].positions), strict=True)) == [(i, i % 3, (1, 2)) for i in range(500)]
