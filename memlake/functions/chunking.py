@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: what parts paragraphs.
+#: What parts paragraphs, and characters of chunks that leave a task together.
 _BREAK = re.compile(r"\n\s*\n")
+PIECE = 1 << 20
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -45,14 +48,30 @@ def spans(text: str, most: int = 1200, overlap: int = 150) -> list[tuple[int, in
 
 
 def chunks(texts: DataFrame, most: int = 1200, overlap: int = 150) -> DataFrame:
-    """data_id, text -> data_id, ordinal, span_start, span_end, chunk."""
-
-    @F.pandas_udf("array<struct<span_start int, span_end int>>")
-    def cut(t: pd.Series) -> pd.Series:
-        return pd.Series([[{"span_start": a, "span_end": b} for a, b in spans(x, most, overlap)] if x else [] for x in t])
-
-    each = texts.select("data_id", "text", F.posexplode(cut("text")).alias("ordinal", "s"))
-    return each.select("data_id", "ordinal", "s.span_start", "s.span_end", F.substring("text", F.col("s.span_start") + 1, F.col("s.span_end") - F.col("s.span_start")).alias("chunk"))
+    """data_id, text -> data_id, ordinal, span_start, span_end, chunk. Texts are read one by one, and chunks leave a task a ``PIECE`` at a time."""
+    key = texts.schema["data_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, held = [], 0
+
+            def taken(b=b):
+                of, *rest = zip(*rows, strict=True)
+                columns = [b.column(0).take(pa.array(of)), *[pa.array(x, k) for x, k in zip(rest, (pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)]]
+                return pa.RecordBatch.from_arrays(columns, names=["data_id", "ordinal", "span_start", "span_end", "chunk"])
+
+            for i in range(b.num_rows):
+                text = b.column(1)[i].as_py()
+                for ordinal, (a, z) in enumerate(spans(text, most, overlap) if text else []):
+                    rows.append((i, ordinal, a, z, text[a:z]))
+                    held += z - a
+                    if held > PIECE:
+                        yield taken()
+                        rows, held = [], 0
+            if rows:
+                yield taken()
+
+    return texts.select("data_id", "text").mapInArrow(run, f"data_id {key}, ordinal int, span_start int, span_end int, chunk string")
 
 
 def hash_embedding(text: str | None, dim: int) -> np.ndarray:

@@ -74,3 +74,16 @@ def test_envelopes(spark):
     assert len(got[2].keywords) == KEYWORDS and got[2].summary == "s" * SUMMARY + "…" and got[2].entities is None
     assert (got[3].title, got[3].summary, list(got[3].keywords)) == ("Only later", "", [])
     assert merged_envelopes(spark.createDataFrame([], ENVELOPE)).count() == 0
+
+
+def test_chunks_leave_a_task_in_pieces(spark):
+    """More chunks than one piece holds, from texts that no plan carries beside their chunks."""
+    from memlake.functions.chunking import PIECE, chunks, spans
+
+    text = "word " * (PIECE // 12)
+    rows = spark.range(8).select(F.col("id").alias("data_id"), F.when(F.col("id") % 4 != 3, F.lit(text)).alias("text")).coalesce(1)
+    cut = chunks(rows)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "ArrowEvalPython" not in plan
+    want = [(i, n, a, b, text[a:b]) for i in range(8) if i % 4 != 3 for n, (a, b) in enumerate(spans(text))]
+    assert sorted(map(tuple, cut.collect())) == want
