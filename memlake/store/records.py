@@ -21,8 +21,8 @@ PAYLOAD = ("text", "mime_type", "event_time", "access_level", "tags")
 
 def admitted(items: DataFrame, waiting: DataFrame | None = None) -> DataFrame:
     """items: write_id, index, text, ... with ``refused`` beside them: a write is refused whole if it has more than ``ITEMS`` items or
-    ``BYTES`` bytes of text (a producer sends smaller writes), and when ``BACKLOG`` records already wait (it comes back later); an item
-    without a key is refused alone."""
+    ``BYTES`` bytes of text (a producer sends smaller writes), and when ``BACKLOG`` of the records in ``waiting`` already wait (it comes back
+    later; None: nothing is held back); an item without a key is refused alone."""
     size = items.groupBy("write_id").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"))
     backlog = F.lit(0) if waiting is None else F.lit(waiting.count())
     whole = F.when(F.col("n") > ITEMS, "too_many_items").when(F.col("bytes") > BYTES, "too_large").when(backlog >= BACKLOG, "backlog_full")
@@ -42,14 +42,16 @@ class Records:
         self.table = Versions(self.spark, f"{self.path}/records", RECORDS, KEY, self.buckets)
         self.history = Versions(self.spark, f"{self.path}/revisions", REVISIONS, ("data_id",), self.buckets)
 
-    def write(self, items: DataFrame, at: str) -> DataFrame:
-        """items: write_id, index, the key and the payload -> write_id, index, status (created, updated, refused), data_id, error.
+    def write(self, items: DataFrame, at: str, live: bool = True) -> DataFrame:
+        """items: write_id, index, the key and the payload -> write_id, index, status (created, updated, refused), data_id, error. ``live``: the
+        writes of producers, who are sent away while too many records wait for enrichment and come back later; a batch that nobody will send
+        again (a load, a replay) is taken whole, whatever waits.
 
         Of several items with one key the last of the write counts, the earlier ones are updates of the same record. A record that exists
         keeps its data_id; its payload is overwritten, its state starts again, and a tombstone is cleared, as somebody supplied the content
         again. Every write adds a revision, numbered from the history, that says whether the content changed. Writing a batch again
         changes no content and adds no second record."""
-        checked = written(admitted(items, self.table.read().where("state = 'stored' and deleted_at is null")))
+        checked = written(admitted(items, self.table.read().where("state = 'stored' and deleted_at is null") if live else None))
         taken = checked.where("refused is null")
         place = Window.partitionBy(*KEY).orderBy(F.desc("write_id"), F.desc("index"))
         last = taken.withColumn("place", F.row_number().over(place)).where("place = 1")

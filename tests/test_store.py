@@ -154,3 +154,12 @@ def test_a_backtest_writes_nothing_and_a_race_records_once(spark):
     assert raced == [12] and after.window_from == 12
     held = [x.sequence for x in w.matches().collect()]
     assert len(held) == len(set(held))
+
+
+def test_a_load_is_taken_whole_whatever_waits(spark):
+    s = Records(spark, new_path(spark, "test-records"), 4)
+    item = lambda frm, to: spark.range(frm, to).select((F.col("id") / 400).cast("long").alias("write_id"), F.col("id").alias("index"), F.lit("p").alias("project_id"), F.lit("w").alias("producer_id"), F.concat(F.lit("x"), "id").alias("external_id"), F.lit("t").alias("text"), F.lit("text/plain").alias("mime_type"), F.lit(None).cast("timestamp_ntz").alias("event_time"), F.lit("org").alias("access_level"), F.array(F.lit("a")).alias("tags"))
+    assert s.write(item(0, BACKLOG), "2024-01-01", live=False).where("error is null").count() == BACKLOG
+    late = item(BACKLOG - 1, BACKLOG + 2)
+    assert {x.error for x in s.write(late, "2024-01-02").collect()} == {"backlog_full"}
+    assert sorted(x.status for x in s.write(late, "2024-01-03", live=False).collect()) == ["created", "created", "updated"]
