@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.operators.written import dealt
+
 
 def stem(word: Column) -> Column:
     """Plural and verb endings dropped: a short approximation of an English dictionary."""
@@ -44,8 +46,9 @@ def cited(answer: Column, n_passages: Column) -> Column:
 
 
 def keywords(records: DataFrame, stop: tuple[str, ...], top: int = 8) -> DataFrame:
-    """data_id, text -> data_id, rank, word, n: a record's most frequent words of more than 3 letters; of equal counts the one met first."""
-    at = records.select("data_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("at", "word"))
+    """data_id, text -> data_id, rank, word, n: a record's most frequent words of more than 3 letters; of equal counts the one met first. Whole texts
+    are shuffled, compressed, and never their words."""
+    at = dealt(records.select("data_id", "text"), ["data_id"], 2048).select("data_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("at", "word"))
     counted = at.where((F.length("word") > 3) & ~F.col("word").isin(*stop)).groupBy("data_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", "word")))
     best = counted.groupBy("data_id").agg(F.slice(ordered, 1, top).alias("best"))

@@ -30,3 +30,9 @@ def written(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "written")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``rows`` by their keys, about ``size`` of them to a task, whatever their number. What is grouped by the keys and more after this, exploded or not, needs
+    no other shuffle, and no task groups more than its share."""
+    return rows.repartition(rows.count() // size + 1, *keys)
