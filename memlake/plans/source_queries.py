@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from memlake.operators.written import dealt
 from memlake.plans.registry import query, table
 from memlake.sources.feeds import delivered_items, fetch_refusal, rebuilt_text, repository, run_watermarks, traverse, video_id
 from memlake.sources.formats import dependencies, file_kind, jsonl
@@ -21,7 +22,8 @@ def webhook_items(spark, sf_dir):
 @query("SELECT doc_id AS data_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
 def inverted_text(spark, sf_dir):
     """Texts rebuilt from an index of words and their positions are the texts."""
-    placed = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("data_id"), F.posexplode(F.split("text", " ")).alias("at", "word"))
+    texts = dealt(table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("data_id"), "text"), ["data_id"], 2048)
+    placed = texts.select("data_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
     postings = placed.groupBy("data_id", "word").agg(F.collect_list("at").alias("positions"))
     return rebuilt_text(postings).select("data_id", F.sha2("text", 256).alias("digest"))
 
