@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.names import normalize_identifier, normalize_name
 from memlake.operators.graph import co_mentioned, conflicts, evidence_of, holds_at, neighbourhood, supersede
+from memlake.operators.written import dealt
 from memlake.plans.lens import CLAIMS_SQL, claims
 from memlake.plans.registry import query, table
 
@@ -98,8 +99,8 @@ def neighbourhood_2hop(spark, sf_dir):
 @query("""SELECT l_suppkey AS subject, l_partkey AS object, count(DISTINCT l_orderkey) AS evidence, max(l_shipdate) AS last_seen FROM lineitem
   GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 200""")
 def graph_overview(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("object"))
-    return g.agg(F.countDistinct("l_orderkey").alias("evidence"), F.max("l_shipdate").alias("last_seen")).orderBy(F.desc("evidence"), "subject", "object").limit(200)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("object"), "l_orderkey", "l_shipdate")
+    return dealt(lines, ["subject", "object"], 1 << 18).groupBy("subject", "object").agg(F.countDistinct("l_orderkey").alias("evidence"), F.max("l_shipdate").alias("last_seen")).orderBy(F.desc("evidence"), "subject", "object").limit(200)
 
 
 @query("""WITH n AS (SELECT c_nationkey AS k FROM customer WHERE c_custkey = 1), near AS (SELECT c_custkey AS entity, CASE WHEN c_custkey = 1 THEN 0 ELSE 1 END AS hops FROM customer JOIN n ON c_nationkey = k)
