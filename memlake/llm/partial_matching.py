@@ -5,6 +5,9 @@ below the longest context that the trie holds. Where it is not there, the code p
 furthest byte, with the symbols excluded that the longer context has seen. An escape weighs as many as the context has symbols (method
 C). What follows a context holds everything that follows a longer one, so the exclusion below a context depends on that context alone:
 escapes and denominators are numbers of the trie's nodes, and texts are scored by lookups of their distinct n-grams, in numpy.
+
+Every executor holds the contexts that occur most. Where those are not all, the n-grams below the other contexts are scored once in groups
+that share the nearest two bytes, each with all its contexts, and slices ask for those that they hold: a bound on what is held drops nothing.
 """
 
 from __future__ import annotations
@@ -18,13 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import cut
-from memlake.llm.slices import hashes, kinds, numbered, rows_of, slices, tokens
+from memlake.llm.slices import hashes, kinds, mix, numbered, rows_of, slices, tokens
 from memlake.llm.totals import ASKED, answered, ask, totals_of
 
 #: Bytes of the longest context, and the symbol that stands before and after a text; no UTF-8 text holds it.
 ORDER, EDGE = 4, 0xFF
-#: Most n-grams in the trie, so that it can be sent to every executor: 16 bytes for each and 40 for a context, under 120 MB in all.
+#: Most n-grams in the trie that every executor holds: 16 bytes for each and 40 for a context, under 120 MB in all.
 NODES = 1 << 21
+#: N-grams that are scored together where that trie is not whole (or those of one pair of bytes, if they are more).
+GROUP = 1 << 18
+LEFT = "slice long, block long, grams binary, lps binary"
+_LEFT = pa.schema([("slice", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("lps", pa.binary())])
 SLICE, HELD = 2 << 20, 10
 _KINDS = kinds(b" \t\n\x0b\x0c\r")
 
@@ -118,7 +125,7 @@ def code(trie: list[Level], keys: np.ndarray) -> np.ndarray:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of training texts with their counts, added up over a task's slices while they are few."""
+    """The n-grams of all texts with their counts in training texts, added up over a task's slices while they are few."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def added() -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +139,11 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for row in rows_of(batches):
         ends = row["ends"]
-        keys = grams(row["text"], ends)
-        keys = np.sort(keys[np.repeat(~np.asarray(row["held_out"]), np.diff(ends, prepend=0))])
-        if len(keys):
-            first = runs(keys)
-            held.append((keys[first], np.diff(first, append=len(keys))))
+        learnt = np.repeat(~np.asarray(row["held_out"]), np.diff(ends, prepend=0))
+        marked = np.sort(grams(row["text"], ends) << np.uint64(1) | learnt)
+        keys = marked >> np.uint64(1)
+        first = runs(keys)
+        held.append((keys[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)))
         if sum(len(x[0]) for x in held) > 1 << 21:
             held = [added()]
             if len(held[0][0]) > 1 << 20:
@@ -145,28 +152,116 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*added())
 
 
-def train(parts: DataFrame, nodes: int = NODES) -> list[Level]:
-    """The trie of the training texts of ``parts``. Counts cover all of them. The trie keeps the contexts that occur most, with all
-    their symbols, as many as ``nodes`` allows; a context's shorter ones occur more often, so they are kept before it."""
-    counted = cut(parts.select("text", "ends", "held_out").mapInArrow(_train, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+def counted_grams(parts: DataFrame) -> DataFrame:
+    """gram, n: every n-gram that occurs, and how often in training texts (0: only elsewhere)."""
+    return cut(parts.select("text", "ends", "held_out").mapInArrow(_train, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+
+
+def _by_order(rows: DataFrame, orders: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """rows: order, context, symbol, n -> for each length of context its n-grams in order and their counts."""
+    flat = rows.select("order", F.shiftleft("context", 8).bitwiseOR(F.col("symbol")).alias("gram"), "n").toArrow()
+    order, gram, n = (flat.column(c).to_numpy() for c in ("order", "gram", "n"))
+    place = np.lexsort([gram, order])
+    order, gram, n = order[place], gram[place].astype(np.uint64), n[place].astype(np.int64)
+    bounds = np.searchsorted(order, np.arange(orders + 1))
+    return [(gram[a:b], n[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _frequent(counted: DataFrame, nodes: int) -> tuple[list[Level], list[tuple[np.ndarray, np.ndarray]] | None]:
+    """The trie of the contexts that occur most, with all their symbols, as many as ``nodes`` allows; a context's shorter ones occur more often,
+    so they are kept before it. Beside it all n-grams below contexts of no and one byte, 65,792 at most, if any context is left out."""
     each = F.explode(F.array(*[F.struct(F.lit(o).alias("order"), F.shiftright("gram", 8 * (ORDER + 1 - o)).alias("context"), (F.col("gram").bitwiseAND(255)).alias("symbol")) for o in range(ORDER + 1)]))
-    below = cut(counted.select(each.alias("x"), "n").groupBy("x.order", "x.context", "x.symbol").agg(F.sum("n").alias("n")))
+    below = cut(counted.where("n > 0").select(each.alias("x"), "n").groupBy("x.order", "x.context", "x.symbol").agg(F.sum("n").alias("n")))
     contexts = below.groupBy("order", "context").agg(F.sum("n").alias("total"), F.count("*").alias("q"))
     step = F.floor(8 * F.log2(F.col("total").cast("double"))).cast("int")
     sizes = sorted(contexts.groupBy(step.alias("step")).agg(F.sum("q").alias("q")).collect(), reverse=True)
-    kept, least = 0, 0
+    kept, least = 0, None
     for at, q in sizes:
         if kept + q > nodes:
             least = at + 1
             break
         kept += q
-    below = below.join(contexts.where(step >= least).select("order", "context"), ["order", "context"], "left_semi") if least else below
-    flat = below.select("order", F.shiftleft("context", 8).bitwiseOR(F.col("symbol")).alias("gram"), "n").toArrow()
-    order, gram, n = (flat.column(c).to_numpy() for c in ("order", "gram", "n"))
-    place = np.lexsort([gram, order])
-    order, gram, n = order[place], gram[place].astype(np.uint64), n[place].astype(np.int64)
-    bounds = np.searchsorted(order, np.arange(ORDER + 2))
-    return levels([(gram[a:b], n[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
+    if least is None:
+        return levels(_by_order(below, ORDER + 1)), None
+    frequent = below.join(contexts.where(step >= least).select("order", "context"), ["order", "context"], "left_semi")
+    return levels(_by_order(frequent, ORDER + 1)), _by_order(below.where("order < 2"), 2)
+
+
+def train(parts: DataFrame, nodes: int = NODES) -> list[Level]:
+    """The trie of the training texts of ``parts`` that every executor holds. Counts cover all texts."""
+    return _frequent(counted_grams(parts), nodes)[0]
+
+
+def _held(trie: list[Level], keys: np.ndarray) -> np.ndarray:
+    """Of n-grams, which ones the trie scores as if it held every context: those whose longest context is there, and with it all shorter ones."""
+    return _place(trie[ORDER].contexts, keys >> np.uint64(8)) >= 0
+
+
+def _shortened(keys: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams with contexts of ``order`` bytes, and their counts."""
+    short = keys >> np.uint64(8 * (ORDER + 1 - order)) << np.uint64(8) | (keys & np.uint64(255))
+    place = np.argsort(short)
+    first = runs(short[place])
+    return short[place][first], np.add.reduceat(n[place], first) if len(first) else n
+
+
+def _blocks(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of n-grams by blocks of hash values, in order within a block, and each block with where it begins and ends."""
+    block = ((mix(keys) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    if not len(keys):
+        return order, []
+    first = runs(block[order])
+    return order, [(int(block[order[a]]), int(a), int(b)) for a, b in zip(first, np.append(first[1:], len(keys)), strict=True)]
+
+
+def _sent(name: int, keys: np.ndarray, blocks: int, lps: np.ndarray | None = None) -> pa.RecordBatch:
+    """Distinct n-grams in order, by block, as differences, which pack well; with their scores, or asking for them."""
+    order, spans = _blocks(keys, blocks)
+    packed = [np.diff(keys[order[a:b]], prepend=np.uint64(0)).tobytes() for _, a, b in spans]
+    scores = [None if lps is None else lps[order[a:b]].tobytes() for _, a, b in spans]
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(spans), pa.int64()), pa.array([x[0] for x in spans], pa.int64()), pa.array(packed, pa.binary()), pa.array(scores, pa.binary())], schema=_LEFT)
+
+
+def _left_out(counted: DataFrame, trie, top, blocks: int) -> DataFrame:
+    """Scores of the n-grams that the trie does not hold, by block. Groups share the nearest two bytes of their contexts, so that they hold all
+    longer contexts that a lookup meets, and a group has 256 ** 3 n-grams at most, whatever the corpus; shorter contexts are in ``top``."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, n = group.column("gram").to_numpy().astype(np.uint64), group.column("n").to_numpy()
+        place = np.argsort(keys)
+        keys, n = keys[place], n[place]
+        learnt = n > 0
+        own = levels([*top.value, *[_shortened(keys[learnt], n[learnt], o) for o in range(2, ORDER + 1)]])
+        keys = keys[~_held(trie.value, keys)]
+        return pa.Table.from_batches([_sent(-1, keys, blocks, code(own, keys))], _LEFT)
+
+    groups = counted.count() // GROUP + 1
+    pair = F.shiftright("gram", 8 * (ORDER - 1))
+    return counted.groupBy(F.pmod(F.xxhash64(pair), F.lit(groups)).alias("group")).applyInArrow(run, LEFT)
+
+
+def _answers(group: pa.Table) -> pa.Table:
+    """One block: the scores that each slice asks for, in the order in which it asks."""
+    unpacked = lambda x: np.cumsum(np.frombuffer(x, np.uint64), dtype=np.uint64)
+    rows = group.to_pylist()
+    known = [(unpacked(x["grams"]), np.frombuffer(x["lps"], np.float64)) for x in rows if x["slice"] < 0]
+    keys, lps = (np.concatenate(x) for x in zip(*known, strict=True))
+    place = np.argsort(keys)
+    keys, lps = keys[place], lps[place]
+    asked = [x for x in rows if x["slice"] >= 0]
+    told = [lps[np.searchsorted(keys, unpacked(x["grams"]))].tobytes() for x in asked]
+    return pa.table([pa.array([x["slice"] for x in asked], pa.int64()), pa.array([x["block"] for x in asked], pa.int64()), pa.array(told, pa.binary())], ["slice", "block", "lps"])
+
+
+def _asked_left(trie, blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            keys = np.sort(grams(row["text"], row["ends"]))
+            keys = keys[runs(keys)]
+            yield _sent(row["slice"], keys[~_held(trie.value, keys)], blocks)
+
+    return run
 
 
 def _words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -189,8 +284,9 @@ def _asked(blocks: int):
     return run
 
 
-def _scored(trie, learnt: int, words: int, distinct: int):
-    """trie: a broadcast of levels; learnt: training texts; words and distinct: their words, counted all and once."""
+def _scored(trie, blocks: int | None, learnt: int, words: int, distinct: int):
+    """trie: a broadcast of levels; blocks: how many answer for what it leaves out, if anything; learnt: training texts; words and distinct:
+    their words, counted all and once."""
     tokens_, kinds_ = words + learnt, distinct + (learnt > 0)
     base = lambda c: np.log10((c + 0.1) / (tokens_ + 0.1 * (kinds_ + 1)))
 
@@ -203,7 +299,12 @@ def _scored(trie, learnt: int, words: int, distinct: int):
             packed = np.sort((grams(data, ends) << np.uint64(24)) | np.repeat(np.arange(count, dtype=np.uint64), np.diff(ends, prepend=0)))
             keys, owner = packed >> np.uint64(24), (packed & np.uint64((1 << 24) - 1)).astype(np.int64)
             first = runs(keys)
-            lp = np.repeat(code(trie.value, keys[first]), np.diff(first, append=len(keys)))
+            once = code(trie.value, keys[first])
+            if blocks is not None:
+                left = np.flatnonzero(~_held(trie.value, keys[first]))
+                told = [np.frombuffer(x["lps"], np.float64) for x in sorted(row["told"] or [], key=lambda x: x["block"])]
+                once[left[_blocks(keys[first][left], blocks)[0]]] = np.concatenate([np.zeros(0), *told])
+            lp = np.repeat(once, np.diff(first, append=len(keys)))
             known = per((c > 0).astype(float)).astype(np.int64) + (learnt > 0)
             columns = [pa.array(row["id"], pa.int64()), pa.array(row["held_out"]), pa.array(np.bincount(doc, minlength=count) + 1), pa.array(known), pa.array(np.full(count, tokens_)), pa.array(per(base(c)) + base(learnt)), pa.array(np.bincount(owner, weights=lp, minlength=count))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -217,8 +318,9 @@ def partial_matching(docs: DataFrame, nodes: int = NODES) -> DataFrame:
     Documents whose crc32 of the id as text is a multiple of 10 are held out; all others are learnt from. Texts are read whole, with A-Z
     lower-cased. ``base_score`` is the log10 probability of the words and the end under smoothed counts of the training words, and ``score``
     that of the bytes and the end under partial matching with what the training texts taught (a training text is scored by a model
-    that has seen it). The counts that ``base_score`` needs come by request from blocks of words (``totals``), whatever their number; the
-    trie is bounded by ``nodes``, a parameter, and holds the most frequent contexts of all training texts.
+    that has seen it). The counts that ``base_score`` needs come by request from blocks of words (``totals``), whatever their number.
+    ``nodes`` bounds the n-grams that every executor holds, those of the most frequent contexts; scores below all other contexts come by
+    request, so that it changes no score.
 
     A null text is read as empty, and its score is that of the end alone; a null id stays null and is held out; rows that repeat are
     each scored and each learnt from; other columns are never read. Without training texts every byte has the probability 1/256. No documents:
@@ -226,9 +328,17 @@ def partial_matching(docs: DataFrame, nodes: int = NODES) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % HELD == 0
     parts = slices(docs, SLICE, id=F.col("doc_id").cast("long"), held_out=held)
     sums = parts.agg(F.coalesce(F.sum(F.element_at("ends", -1).cast("long")), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held_out", lambda h: ~h))), F.lit(0))).first()
-    answer = cut(answered(parts.select("slice", "text", "ends", "held_out").mapInArrow(_asked(sums[0] // (16 << 20) + 1), ASKED)))
+    blocks = sums[0] // (16 << 20) + 1
+    answer = cut(answered(parts.select("slice", "text", "ends", "held_out").mapInArrow(_asked(blocks), ASKED)))
     words = answer.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    trie = parts.sparkSession.sparkContext.broadcast(train(parts, nodes))
+    counted = counted_grams(parts)
+    frequent, top = _frequent(counted, nodes)
+    sent = parts.sparkSession.sparkContext.broadcast
+    trie = sent(frequent)
     each = answer.groupBy("slice").agg(F.collect_list(F.struct("block", "totals")).alias("answer"))
     both = parts.join(each.hint("shuffle_hash"), "slice", "left")
-    return both.mapInArrow(_scored(trie, sums[1], words[0], words[1]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    if top is not None:
+        asked = parts.select("slice", "text", "ends").mapInArrow(_asked_left(trie, blocks), LEFT)
+        told = _left_out(counted, trie, sent(top), blocks).union(asked).groupBy("block").applyInArrow(_answers, "slice long, block long, lps binary")
+        both = both.join(told.groupBy("slice").agg(F.collect_list(F.struct("block", "lps")).alias("told")).hint("shuffle_hash"), "slice", "left")
+    return both.mapInArrow(_scored(trie, None if top is None else blocks, sums[1], words[0], words[1]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

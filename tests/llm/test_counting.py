@@ -178,6 +178,17 @@ def test_a_bounded_trie_is_a_trie_and_prefers_text_to_noise(spark):
     assert score(plain) > score(scrambled)
 
 
+@pytest.mark.parametrize("nodes", [0, 400, 3000])
+def test_what_a_bounded_trie_leaves_out_is_asked_for(spark, nodes, monkeypatch):
+    """Scores are those of all contexts, whatever the executors hold; groups of 500 n-grams."""
+    monkeypatch.setattr(partial_matching, "GROUP", 500)
+    docs = some_docs(spark)[0]
+    rows = docs.select("doc_id", "text").collect()
+    want = dict(zip([x.doc_id for x in rows], brute_matching([x.text for x in rows], [crc32(str(x.doc_id).encode()) % 10 == 0 for x in rows]), strict=True))
+    got = partial_matching.partial_matching(docs, nodes).collect()
+    assert len(got) == len(rows) and all(x.score == pytest.approx(want[x.doc_id], rel=1e-9) for x in got)
+
+
 def test_empty_tables(spark):
     for run in (collocations, source_divergence, partial_matching.partial_matching):
         assert run(empty_docs(spark)).count() == 0
