@@ -6,6 +6,7 @@ A row holds a term's postings in one piece of the chunks, so that what is shuffl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,17 @@ def _answers(asked: dict):
     return run
 
 
+def may_answer(questions: dict[str, str], language: str, text: Column) -> Column:
+    """Whether a text holds, somewhere among its letters, all words that an alternative of one of a few questions wants: without a look at its terms,
+    no text that is left out has a chunk that answers. Where words are stemmed, and for words beyond a-z and 0-9, whose lower case may depend
+    on what stands beside them, nothing is left out."""
+    if language != "simple":
+        return F.lit(True)
+    wanted = {frozenset(t for p in a.wanted for t, _ in p if t.isascii()) for q in questions.values() for a in parse(q, language)}
+    holds = [reduce(Column.__and__, [F.contains(F.lower(text), F.lit(t)) for t in sorted(need)], F.lit(True)) for need in sorted(wanted, key=sorted)]
+    return reduce(Column.__or__, holds, F.lit(False))
+
+
 def search(postings: DataFrame, questions: dict[str, str], k: int, language: str = "english", allowed: DataFrame | None = None) -> DataFrame:
     """question, data_id, ordinal, score, rank: for each question (named) its k best chunks by cover density; ties by record and ordinal.
 

@@ -6,11 +6,12 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from memlake.functions.chunking import chunks
 from memlake.operators.passages import answer, fuse_passages, opening, resolved, trace
 from memlake.operators.written import new_path
 from memlake.search.analysis import positions, words
 from memlake.search.english import stem
-from memlake.search.postings import read_postings, search, write_postings
+from memlake.search.postings import may_answer, read_postings, search, write_postings
 from memlake.search.question import parse, score
 
 #: Published samples of the stemming rules.
@@ -161,3 +162,18 @@ def test_postings_hold_a_term_once_a_piece(spark):
     postings = write_postings(chunks, new_path(spark, "test-postings"), "simple")
     held = postings.where("term = 'common'").collect()
     assert len(held) == 1 and sorted(zip(held[0].data_ids, held[0].ordinals, map(tuple, held[0].positions), strict=True)) == [(i, i % 3, (1, 2)) for i in range(500)]
+
+
+def test_what_may_answer_holds_all_that_answers(spark):
+    """Random texts, with capitals, signs, and letters whose lower case has other letters: the same answers with and without the texts that cannot."""
+    r = random.Random(4)
+    bits = ["one", "Two", "three", "ONE two", "\u212aey", "\u0130on", "\u039f\u03a3", "four-five", "twone", "\n\n"]
+    texts = spark.createDataFrame([(i, None if i % 50 == 7 else " ".join(r.choices(bits, k=r.randrange(0, 5)))) for i in range(400)], "data_id long, text string")
+    questions = {"a": '"one two" or "three four"', "b": "key -three", "c": "\u03bf\u03c2", "d": "-one", "e": "two five or ion"}
+    run = lambda rows, asked, where: sorted(map(tuple, search(write_postings(chunks(rows), new_path(spark, where), "simple"), asked, 500, "simple").collect()))
+    for name, question in questions.items():
+        may = may_answer({name: question}, "simple", F.col("text"))
+        want = run(texts, {name: question}, "all")
+        assert run(texts.where(may), {name: question}, "some") == want and (want or name == "d")
+    assert texts.where(may_answer({"a": questions["a"]}, "simple", F.col("text"))).count() < 200
+    assert texts.where(may_answer({"a": "running"}, "english", F.col("text"))).count() == 400
