@@ -1,6 +1,7 @@
 """Small worlds with results worked out by hand: access, chunks, embeddings, names, sniffing, selectors, facts, hierarchy, merges."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,12 +10,14 @@ from memlake.functions.chunking import hash_embedding, spans
 from memlake.functions.names import normalize_name
 from memlake.functions.selectors import compile_selector
 from memlake.operators.access import Principal, assigned, strictest, visible
+from memlake.operators.components import on_circles
 from memlake.operators.containers import closure, would_cycle
 from memlake.operators.evidence import drawn_under, from_source, known_at, readable, seeds, visible_facts, walk
 from memlake.operators.graph import conflicts, supersede
 from memlake.operators.lifecycle import merged
 from memlake.operators.retrieval import Filter, narrowed
 from memlake.operators.routing import fan_out, poll, route
+from memlake.operators.upkeep import linked
 from memlake.sources.parsing import sniffed, sniffed_bytes
 
 
@@ -209,3 +212,38 @@ def test_narrowing_keeps_rows_single(spark):
     assert found(Filter(memories=("m", "n"))) == [1, 2]
     assert found(Filter(memories=("m", "n"), keywords=("k",), entities=("e",), tags=("t",), project="p", since="2024-01-01", until="2024-01-01")) == [1]
     assert found(Filter(template="z")) == found(Filter(tags=("u",))) == found(Filter(until="2023-12-31")) == []
+
+
+def test_circles_of_any_length(spark):
+    """Random links, a circle of 12 with a tail into it and one out of it, one of two, a link to itself and missing ends, against a plain walk."""
+    r = random.Random(2)
+    names = [f"v{i}" for i in r.sample(range(1000), 200)]
+    ring = names[:12]
+    pairs = [*zip(ring, ring[1:] + ring[:1]), (names[80], ring[0]), (ring[5], names[81]), (names[81], names[82]), (names[83], names[84]), (names[84], names[83]), (names[85], names[85]), (None, names[86]), (names[86], None)]
+    pairs += [(r.choice(names[90:]), r.choice(names[90:])) for _ in range(110)]
+    on: dict = {}
+    for a, b in pairs:
+        on.setdefault(a, set()).add(b)
+
+    def reached(a):
+        found, todo = set(), [a]
+        while todo:
+            for b in on.get(todo.pop(), ()):
+                if b is not None and b not in found:
+                    found.add(b)
+                    todo.append(b)
+        return found
+
+    want = {(a, b) for a, b in pairs if a and b and a != b and a in reached(b)}
+    got = [tuple(x) for x in on_circles(spark.createDataFrame(pairs, "a string, b string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 14
+    assert on_circles(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_a_long_circle_is_refused(spark):
+    """Of 80 links in a row one is asked for that leads back from the end to the start."""
+    link = "source string, relation string, target string, created_by string, confidence double"
+    standing = spark.createDataFrame([(f"m{i}", "about", f"m{i + 1}", "explicit", None) for i in range(80)], link)
+    asked = spark.createDataFrame([("m80", "about", "m0", "agent", 0.5, 1), ("m80", "continues", "m0", "agent", 0.5, 2)], link + ", seq long")
+    after, refused = linked(standing, asked, spark.createDataFrame([(f"m{i}",) for i in range(81)], "memory_id string"))
+    assert [tuple(x) for x in refused.collect()] == [(1, "closes_a_circle")] and after.count() == 81
